@@ -78,7 +78,7 @@ class Tiles:
             for name, kind in (part.split() for part in schema.split(","))
         }
 
-        def apply(key, table: pa.Table) -> pa.Table:
+        def apply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             a, b = key[0].as_py(), key[1].as_py()
             tile = table["tile"].to_numpy()
             ids = table["id"].to_numpy()

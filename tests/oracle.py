@@ -66,7 +66,7 @@ def main():
     from cohortlens.session import get_spark
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = get_spark(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = get_spark(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     wanted = sys.argv[1:]
