@@ -154,11 +154,13 @@ def full_applicants(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select(
         F.col("doc_id").alias("row_id"), "lang", "source", F.split("text", "\n").alias("_lines")
     )
-    raw = []
-    for i, role in enumerate(TEXT_ROLES):
-        mine = F.filter("_lines", lambda line, n, i=i: (n % 9 == i) & (F.length(line) > 0))
+
+    def field(slot: int) -> Column:
+        mine = F.filter("_lines", lambda line, n: (n % 9 == slot) & (F.length(line) > 0))
         joined = F.array_join(mine, " ")
-        raw.append(F.when(joined != "", joined).alias(role))
+        return F.when(joined != "", joined)
+
+    raw = [field(i).alias(role) for i, role in enumerate(TEXT_ROLES)]
     opening = F.slice(F.split(F.lower(F.element_at("_lines", 1)), " "), 1, (1 + F.col("row_id") % 5).cast("int"))
     keywords = F.array_join(opening, "; ")
     docs = docs.select(
