@@ -142,7 +142,8 @@ def business_age(text: Column, year: Column) -> Column:
     start = F.regexp_extract(lowered, SINCE_YEAR, 1)
     years = F.regexp_extract(lowered, FOR_YEARS, 1)
     duration = F.when(years != "", years.try_cast("int"))
-    return F.when(start != "", F.greatest(F.lit(0), year - start.try_cast("int"))).otherwise(
+    since = year - start.try_cast("int")
+    return F.when(start != "", F.when(since.isNotNull(), F.greatest(F.lit(0), since))).otherwise(
         F.when(duration <= MAX_BUSINESS_YEARS, duration)
     )
 

@@ -124,12 +124,13 @@ def feat_demographic(df: DataFrame) -> DataFrame:
 def feat_registration(df: DataFrame) -> DataFrame:
     cr = flag(F.col("has_commercial_registration") == "Yes")
     earlier = F.col("previous_participant_year").try_cast("double")
+    gap = F.col("app_year") - earlier
     return df.withColumns(
         {
             "cr": cr,
             "cr_and_team": cr * F.col("is_team"),
             "in_two_cohorts": F.col("in_two_cohorts").cast("int"),
-            "prev_year_recency": F.when(earlier.isNotNull(), F.greatest(F.lit(0.0), F.col("app_year") - earlier)),
+            "prev_year_recency": F.when(gap.isNotNull(), F.greatest(F.lit(0.0), gap)),
             "prev_year_missing_flag": flag(earlier.isNull()),
         }
     )

@@ -217,13 +217,15 @@ def _both_ways(left: Side, right: Side, same: bool):
 def nearest_kernel(threshold: float, k: int, only_marked: bool = False) -> Kernel:
     """Up to ``k`` best partners per row as (v, u, sim, v_load, u_load).
 
-    Best means larger similarity, then smaller edge (l, r). With ``only_marked`` just the
-    rows whose load is non-zero ask for partners and ties go to the smaller partner.
+    Best means larger similarity, then smaller edge (l, r). With ``only_marked`` rows whose
+    load is non-zero ask, the other rows answer, and ties go to the smaller partner.
     """
 
     def kernel(left: Side, right: Side, same: bool):
         for one, two in _both_ways(left, right, same):
             for start, sims in _strips(one, two, same, threshold):
+                if only_marked:
+                    sims[:, two.load != 0] = -np.inf
                 for row in np.flatnonzero((sims > -np.inf).any(axis=1)):
                     me = start + row
                     if only_marked and not one.load[me]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,7 +13,9 @@ from ..functions import labels as L
 from ..functions.documents import with_sections
 from ..functions.text import snippet
 from ..session import stage
-from .tiles import NORM_FLOOR, SIM_DIGITS, build_tiles, matrix_of, top_pairs_kernel, unit_rows
+from .tiles import (
+    NORM_FLOOR, SIM_DIGITS, build_tiles, matrix_of, nearest_kernel, top_pairs_kernel, unit_rows,
+)
 
 # Defaults of the similarity reports.
 STRICTNESS = {"Very similar": 0.92, "Similar": 0.87, "Somewhat similar": 0.80}
@@ -22,7 +23,7 @@ DEFAULT_STRICTNESS = "Very similar"
 PAIR_LIMIT = 25
 TOP_K = 3
 MIN_SCORE = 0.50
-MAX_QUERY_BYTES = 64 << 20  # query vectors handed to every task at a time
+MAX_QUERY_BYTES = 32 << 20  # largest query set handed to every task
 IDENTITY_COLUMNS = ("project_name", "year", "cohort_id", "sector")
 
 
@@ -80,7 +81,7 @@ def top_similar_pairs(index: DataFrame, level: str = DEFAULT_STRICTNESS, limit:
     return similar_pairs(index, STRICTNESS.get(level, STRICTNESS[DEFAULT_STRICTNESS]), limit)
 
 
-def _match_slab(index: DataFrame, queries: Sequence, top_k: int, min_score: float) -> DataFrame:
+def _match_scan(index: DataFrame, queries: Sequence, top_k: int, min_score: float) -> DataFrame:
     ids = np.array([r.query_id for r in queries], dtype=np.int64)
     matrix = unit_rows(np.array([r.vec for r in queries], dtype=np.float64))
 
@@ -111,24 +112,38 @@ def _match_slab(index: DataFrame, queries: Sequence, top_k: int, min_score: floa
     return data.mapInArrow(best, "query_id long, row_index long, sim double")
 
 
+def _match_tiles(index: DataFrame, queries: DataFrame, top_k: int, min_score: float) -> DataFrame:
+    """Both sides shuffled as tiles; queries are the marked rows and only they ask."""
+    rows = index.select((F.col("row_index").cast("long") * 2).alias("id"), F.col("vec"), F.lit(0).alias("asks"))
+    asked = queries.select((F.col("query_id").cast("long") * 2 + 1).alias("id"), F.col("vec"), F.lit(1).alias("asks"))
+    tiles = build_tiles(rows.unionByName(asked), min_score, F.col("asks"))
+    found = tiles.run(
+        nearest_kernel(min_score, top_k, only_marked=True),
+        "v long, u long, sim double, v_load long, u_load long",
+    )
+    return found.select(
+        F.shiftright("v", 1).alias("query_id"), F.shiftright("u", 1).alias("row_index"), "sim"
+    )
+
+
 def match_ids(index: DataFrame, queries: DataFrame, top_k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
     """(query_id, row_index, sim, rank): the best rows per query above a floor.
 
-    The index is scanned in place: each task keeps its own best ``top_k`` per query and
-    only those are shuffled. Query vectors travel to the tasks in slabs of bounded size;
-    a larger query set makes more slabs, not a bigger one.
+    Queries of a checked, bounded size travel to the tasks and the index is scanned in
+    place; each task keeps its own best ``top_k`` per query and only those are shuffled.
+    A larger query set is matched by tile pairs instead.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    schema = "query_id long, row_index long, sim double, rank int"
     if not size.n:
+        schema = "query_id long, row_index long, sim double, rank int"
         return index.sparkSession.createDataFrame([], schema)
-    slabs = math.ceil(size.n * size.dim * 8 / (MAX_QUERY_BYTES / 2)) if size.n * size.dim * 8 > MAX_QUERY_BYTES else 1
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
-    found = None
-    for slab in range(slabs):
-        part = asked if slabs == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(slabs)) == slab)
-        part_found = _match_slab(index, part.collect(), top_k, min_score)
-        found = part_found if found is None else found.unionByName(part_found)
+    if size.n * size.dim * 8 <= MAX_QUERY_BYTES:
+        asked = queries.select(
+            F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")
+        )
+        found = _match_scan(index, asked.collect(), top_k, min_score)
+    else:
+        found = _match_tiles(index, queries, top_k, min_score)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("sim"), "row_index")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_k)
 

@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import ranking, reporting, rubric, similarity  # noqa: F401
+    from . import features, learning, ranking, reporting, rubric, similarity  # noqa: F401
