@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Character classes and limits that results depend on.
 WHITESPACE = " \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u3000"
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_SPACE = f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+"  # any whitespace run but a lone blank
 ARABIC_WIDE = r"[\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF]"
 ARABIC_NARROW = r"[\u0600-\u06FF]"
 MEASURED_WORD = r"[A-Za-z0-9\u0600-\u06FF]+"
@@ -26,7 +28,7 @@ def strip(col: Column) -> Column:
 def clean_text(col: Column) -> Column:
     """Null becomes '', whitespace runs become one blank."""
     text = F.coalesce(col.cast("string"), F.lit(""))
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, ODD_SPACE, " "))
 
 
 def text_value(col: Column) -> Column:
@@ -101,7 +103,7 @@ def has_any(word_set: Column, text: Column, terms: Sequence[str]) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    parts = F.split(F.coalesce(col, F.lit("")), r"(?U)\s+")
+    parts = F.split(F.coalesce(col, F.lit("")), f"[{SPACE}]+")
     return F.size(F.filter(parts, lambda w: w != ""))
 
 

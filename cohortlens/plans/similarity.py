@@ -143,7 +143,7 @@ _QUERY_LEVEL = "CASE WHEN {s} >= 0.65 THEN 'Very similar' WHEN {s} >= 0.58 THEN
 @register("similar_pairs", f"""WITH {INDEX}, e AS (
   SELECT a.row_index AS l, b.row_index AS r, list_inner_product(a.u, b.u) AS s FROM idx a JOIN idx b ON a.row_index < b.row_index),
 top AS (SELECT * FROM e WHERE s >= {PAIR_THRESHOLD} ORDER BY s DESC, l, r LIMIT 100)
-SELECT l, r, round(s, 6) AS sim, {_LEVEL.format(s="s")} AS level, a.project_name AS left_project_name, a.year AS left_year,
+SELECT l, r, round(round(s, 9), 6) AS sim, {_LEVEL.format(s="s")} AS level, a.project_name AS left_project_name, a.year AS left_year,
   {snippet("a.text")} AS left_snippet, b.project_name AS right_project_name, b.cohort_id AS right_cohort_id, {section("b.text", "Problem")} AS right_problem
 FROM top JOIN idx a ON l = a.row_index JOIN idx b ON r = b.row_index""")
 def similar_pairs(spark, d):
@@ -156,7 +156,7 @@ def similar_pairs(spark, d):
 
 @register("rank_matches", f"""WITH {INDEX}, q AS (SELECT row_index AS query_id, u AS v FROM units WHERE row_index IN (SELECT min(row_index) FROM idx GROUP BY sector)),
 m AS (SELECT query_id, row_index, list_inner_product(u, v) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(u, v) DESC, row_index) AS rank FROM idx, q)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, row_index, round(s, 6) AS sim, {_QUERY_LEVEL.format(s="s")} AS level, project_name, {snippet("text")} AS snippet, sha256({section("text", "Solution")}) AS solution
+SELECT query_id, CAST(rank AS INTEGER) AS rank, row_index, round(round(s, 9), 6) AS sim, {_QUERY_LEVEL.format(s="s")} AS level, project_name, {snippet("text")} AS snippet, sha256({section("text", "Solution")}) AS solution
 FROM m JOIN idx USING (row_index) WHERE rank <= 3 AND s >= 0.3""")
 def rank_matches(spark, d):
     index = R.idea_index(spark, d)
@@ -177,29 +177,62 @@ def dedup_exact(spark, d):
     return greedy.dedup_exact(R.idea_index(spark, d)).select("row_index", "project_name")
 
 
-@register("dedup_near")
+def greedy_drop(base: str) -> str:
+    """Recursive walk over the pairs of ``base``, most similar first."""
+    return f"""e AS MATERIALIZED (SELECT l, r, ll, rl, row_number() OVER (ORDER BY s DESC, l, r) AS n FROM (
+    SELECT a.row_index AS l, b.row_index AS r, round(list_inner_product(a.u, b.u), 9) AS s, length({clean("a.text")}) AS ll, length({clean("b.text")}) AS rl
+    FROM {base} a JOIN {base} b ON a.row_index < b.row_index AND list_inner_product(a.u, b.u) >= {MERGE_THRESHOLD} - 1e-8) WHERE s >= {MERGE_THRESHOLD}),
+walk(n, dead) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT e.n, CASE WHEN list_contains(dead, l) OR list_contains(dead, r) THEN dead ELSE list_append(dead, CASE WHEN ll >= rl THEN r ELSE l END) END FROM walk JOIN e ON e.n = walk.n + 1)
+SELECT row_index, project_name FROM {base} WHERE NOT list_contains((SELECT arg_max(dead, n) FROM walk), row_index)"""
+
+
+@register("dedup_near", f"WITH RECURSIVE {INDEX}, {greedy_drop('idx')}")
 def dedup_near(spark, d):
     return greedy.dedup_near(R.idea_index(spark, d), MERGE_THRESHOLD).select("row_index", "project_name")
 
 
-@register("dedup_index")
+_EXACT = f"""k AS (SELECT *, lower({clean("text")}) AS t, {norm_name("project_name")} AS n, length({clean("text")}) AS len FROM idx),
+one AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY t ORDER BY row_index) = 1),
+kept AS MATERIALIZED (SELECT row_index, project_name, text, u FROM (SELECT * FROM one WHERE n <> '' QUALIFY row_number() OVER (PARTITION BY n ORDER BY len DESC, year DESC, cohort_id DESC, row_index) = 1)
+  UNION ALL SELECT row_index, project_name, text, u FROM one WHERE n = '')"""
+
+
+@register("dedup_index", f"WITH RECURSIVE {INDEX}, {_EXACT}, {greedy_drop('kept')}")
 def dedup_index(spark, d):
     return greedy.dedup_index(R.idea_index(spark, d), MERGE_THRESHOLD).select("row_index", "project_name")
 
 
-@register("cluster_members")
+GROUPS = f"""pr AS MATERIALIZED (SELECT a.row_index AS v, b.row_index AS u, round(list_inner_product(a.u, b.u), 9) AS s FROM units a JOIN units b
+    ON a.row_index <> b.row_index AND list_inner_product(a.u, b.u) >= {GROUP_THRESHOLD} - 1e-8 SEMI JOIN idx i ON i.row_index = a.row_index SEMI JOIN idx j ON j.row_index = b.row_index),
+p AS MATERIALIZED (SELECT v, list(u ORDER BY s DESC, u) AS near, row_number() OVER (ORDER BY count(*) DESC, max(s) DESC, v) AS n FROM pr WHERE s >= {GROUP_THRESHOLD} GROUP BY v),
+walk(n, used, fresh) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL
+  SELECT n, list_concat(used, fresh), fresh FROM (SELECT p.n, used, CASE WHEN list_contains(used, v) OR len(list_filter(near, lambda x: NOT list_contains(used, x))) = 0 THEN CAST([] AS BIGINT[])
+    ELSE list_prepend(v, list_filter(near, lambda x: NOT list_contains(used, x))[1:11]) END AS fresh FROM walk JOIN p ON p.n = walk.n + 1)),
+members AS (SELECT cluster_id, unnest(fresh) AS row_index, fresh[1] AS anchor FROM (SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS INTEGER) AS cluster_id, fresh FROM walk WHERE len(fresh) > 0)),
+inside AS (SELECT a.cluster_id, a.row_index AS left_row_index, b.row_index AS right_row_index, s AS similarity,
+  CASE WHEN s >= 0.92 THEN 'Very similar (likely same idea)' ELSE 'Similar (different idea, same concept)' END AS band
+  FROM members a JOIN members b ON a.cluster_id = b.cluster_id AND a.row_index < b.row_index JOIN pr ON v = a.row_index AND u = b.row_index WHERE s >= {GROUP_THRESHOLD})"""
+
+
+@register("cluster_members", f"""WITH RECURSIVE {INDEX}, {GROUPS} SELECT cluster_id, m.row_index, anchor = m.row_index AS is_anchor, project_name, year, cohort_id, sector,
+  {snippet("text")} AS snippet, {section("text", "Problem")} AS problem, {section("text", "Solution")} AS solution FROM members m JOIN idx ON idx.row_index = m.row_index""")
 def cluster_members(spark, d):
     return greedy.clusters(R.idea_index(spark, d), GROUP_THRESHOLD)[0]
 
 
-@register("cluster_edges")
+@register("cluster_edges", f"WITH RECURSIVE {INDEX}, {GROUPS} SELECT cluster_id, left_row_index, right_row_index, round(similarity, 6) AS similarity, band FROM inside")
 def cluster_edges(spark, d):
-    return greedy.clusters(R.idea_index(spark, d), GROUP_THRESHOLD)[1]
+    edges = greedy.clusters(R.idea_index(spark, d), GROUP_THRESHOLD)[1]
+    return edges.withColumn("similarity", F.round("similarity", 6))
 
 
-@register("closest_partner")
+@register("closest_partner", f"""WITH RECURSIVE {INDEX}, {GROUPS}, ends AS (SELECT *, left_row_index AS row_index, right_row_index AS partner FROM inside UNION ALL SELECT *, right_row_index, left_row_index FROM inside)
+SELECT cluster_id, row_index, partner, round(similarity, 6) AS similarity, string_split(band, ' (')[1] AS band FROM ends
+QUALIFY row_number() OVER (PARTITION BY cluster_id, row_index ORDER BY similarity DESC, left_row_index, right_row_index) = 1""")
 def closest_partner(spark, d):
-    return greedy.closest_partner(greedy.clusters(R.idea_index(spark, d), GROUP_THRESHOLD)[1])
+    partners = greedy.closest_partner(greedy.clusters(R.idea_index(spark, d), GROUP_THRESHOLD)[1])
+    return partners.withColumn("similarity", F.round("similarity", 6))
 
 
 # --- search ------------------------------------------------------------------------------------
@@ -246,7 +279,10 @@ def pack_batches(spark, d):
     return search.pack_batches(docs, budget=20_000)
 
 
-@register("arrivals")
+@register("arrivals", f"""WITH {UNITS}, d AS (SELECT doc_id AS query_id, trim(string_split(text, chr(10))[1]) AS idea, trim(text) AS description, u AS v FROM documents JOIN units ON row_index = doc_id),
+f AS (SELECT min(query_id) AS query_id FROM d WHERE idea <> '' AND length(idea) + length(description) >= 15 GROUP BY idea || chr(10) || description),
+m AS (SELECT d.query_id, units.row_index, list_inner_product(u, v) AS s, row_number() OVER (PARTITION BY d.query_id ORDER BY list_inner_product(u, v) DESC, units.row_index) AS rank FROM units, d JOIN f ON f.query_id = d.query_id)
+SELECT query_id, row_index, round(round(s, 9), 6) AS sim, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3 AND s >= 0.3""")
 def arrivals(spark, d):
     index = R.idea_vectors(spark, d)
     docs = R.read(spark, d, "documents").select(
@@ -254,4 +290,4 @@ def arrivals(spark, d):
         F.col("text").alias("description"),
     )
     incoming = docs.join(index.withColumnRenamed("row_index", "query_id"), "query_id")
-    return check_batch(incoming, index, min_score=0.3)
+    return check_batch(incoming, index, min_score=0.3).withColumn("sim", F.round("sim", 6))

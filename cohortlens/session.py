@@ -50,3 +50,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan of fewer partitions than cores before CPU-heavy column work.
+
+    A table of a few small files would otherwise run in as many tasks. Tables with at
+    least one partition per core are left alone, so large inputs are never reshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

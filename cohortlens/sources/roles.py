@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from ..session import spread
 from .tables import load_applications, load_attendance
 
 # Label cycles of the derived columns.
@@ -31,8 +32,12 @@ TEXT_ROLES = (
 )
 
 
+TEXT_HEAVY = ("documents", "orders", "events", "pages")
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_HEAVY else df
 
 
 def cycle(key: Column, labels) -> Column:
