@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes and limits that results depend on.
-WHITESPACE = " \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u3000"
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_SPACE = f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+"  # any whitespace run but a lone blank
 ARABIC_WIDE = r"[\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF]"
@@ -103,14 +106,14 @@ def has_any(word_set: Column, text: Column, terms: Sequence[str]) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    parts = F.split(F.coalesce(col, F.lit("")), f"[{SPACE}]+")
-    return F.size(F.filter(parts, lambda w: w != ""))
+    text = strip(F.coalesce(col, F.lit("")))
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, f"[{SPACE}]+")))
 
 
 def measured_words(col: Column) -> Column:
     """Latin, digit and Arabic word runs; a missing text counts as the word 'nan'."""
-    text = F.lower(F.coalesce(col, F.lit("nan")))
-    return F.regexp_extract_all(text, F.lit(f"({MEASURED_WORD})"))
+    found = F.regexp_extract_all(F.lower(col), F.lit(f"({MEASURED_WORD})"))
+    return F.when(col.isNull(), F.array(F.lit("nan"))).otherwise(found)
 
 
 def unique_ratio(tokens: Column) -> Column:

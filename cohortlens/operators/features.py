@@ -323,18 +323,23 @@ def feat_keywords(
     return out.fillna({"kw_mean_freq": 0.0, "kw_min_freq": 0, "kw_novel_share": 0.0})
 
 
-def _with_words(df: DataFrame) -> DataFrame:
-    """Joined text and its distinct words; one tokenisation for all term lists."""
+def _with_words(df: DataFrame, lists: Sequence[Sequence[str]]) -> DataFrame:
+    """Joined text and those of its words that any list asks for.
+
+    One tokenisation and one intersection serve all lists; each list then meets only the
+    few words left.
+    """
     fields = ("keywords", "problem_en", "solution_en", "project_name", "impact_en")
     joined = df.withColumn("_all", F.concat_ws(" | ", *[text_of(c) for c in fields]))
-    return joined.withColumn("_words", X.words(F.col("_all")))
+    asked = F.array(*[F.lit(t) for t in sorted({t for terms in lists for t in terms if t.isalnum()})])
+    return joined.withColumn("_words", F.array_intersect(X.words(F.col("_all")), asked))
 
 
 def theme_flags(df: DataFrame, signals: bool = False) -> DataFrame:
     """Theme flags and their number; ``signals`` adds the signal flags from the same words."""
     themes = {f"theme_{t}": terms for t, terms in THEMES.items()}
     wanted = {**themes, **(SIGNALS if signals else {})}
-    out = _with_words(df).withColumns(
+    out = _with_words(df, list(wanted.values())).withColumns(
         {n: flag(X.has_any(F.col("_words"), F.col("_all"), terms)) for n, terms in wanted.items()}
     )
     total = sum((F.col(n) for n in themes), F.lit(0))
@@ -342,7 +347,7 @@ def theme_flags(df: DataFrame, signals: bool = False) -> DataFrame:
 
 
 def feat_signals(df: DataFrame) -> DataFrame:
-    return _with_words(df).withColumns(
+    return _with_words(df, list(SIGNALS.values())).withColumns(
         {n: flag(X.has_any(F.col("_words"), F.col("_all"), terms)) for n, terms in SIGNALS.items()}
     ).drop("_all", "_words")
 

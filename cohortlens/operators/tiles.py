@@ -28,7 +28,8 @@ NORM_FLOOR = 1e-12  # fixed value
 MAX_TILE_ROWS = 4096
 MIN_TILE_ROWS = 256
 MAX_TILE_BYTES = 16 << 20
-MAX_CELLS = 256  # pivots (at most 256 vectors) are the only rows that visit the driver
+MAX_CELLS = 1024  # pivots are the only vectors that visit the driver
+MAX_PIVOT_BYTES = 16 << 20
 STRIP_ROWS = 1024
 
 
@@ -119,7 +120,7 @@ def build_tiles(df: DataFrame, threshold: float, load: Column | None = None) ->
     by_bytes = MAX_TILE_BYTES // (8 * size.dim)
     even = math.ceil(size.n / math.ceil(math.sqrt(2 * parallel)))  # enough pairs to fill the cluster
     tile_rows = max(1, min(MAX_TILE_ROWS, by_bytes, max(MIN_TILE_ROWS, even)))
-    cells = max(1, min(MAX_CELLS, round(math.sqrt(size.n / tile_rows))))
+    cells = max(1, min(MAX_CELLS, MAX_PIVOT_BYTES // (8 * size.dim), round(math.sqrt(size.n / tile_rows))))
     picked = data.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()
     pivots = unit_rows(np.array([r.vec for r in picked], dtype=np.float64))
 
@@ -173,7 +174,9 @@ def build_tiles(df: DataFrame, threshold: float, load: Column | None = None) ->
                 yield pd.DataFrame({"tile": [int(t)], "partners": [listed]})
 
     pairs = spark.range(total).mapInPandas(partners, "tile int, partners array<struct<a:int,b:int>>")
-    count_pairs = int(sum(near_cells[cell_of[t], cell_of[t:]].sum() for t in range(total)))
+    sizes = np.array(chunks, dtype=np.int64)
+    ordered = int((near_cells * np.outer(sizes, sizes)).sum())
+    count_pairs = (ordered + total) // 2  # every tile also meets itself
     return Tiles(rows, pairs, count_pairs)
 
 

@@ -56,7 +56,7 @@ def similar_pairs(
     """
     edges = stage(pair_edges(index.select(F.col("row_index").alias("id"), "vec"), threshold, limit))
     ends = edges.select(F.explode(F.array("l", "r")).alias("row_index")).distinct()
-    kept = index.join(F.broadcast(ends), "row_index", "left_semi")  # at most 2 * limit ids
+    kept = index.join(ends, "row_index", "left_semi")
     kept = with_sections(kept, "text", problem="Problem", solution="Solution")
     described = stage(
         kept.select("row_index", *IDENTITY_COLUMNS, snippet(F.col("text")).alias("snippet"), "problem", "solution")
