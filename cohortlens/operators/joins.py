@@ -11,11 +11,15 @@ from ..functions.text import strip
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """Keep the row with the smallest ``order`` per key (null is a key of its own).
 
-    A grouped minimum and a semi join on the unique order column: the minimum combines
-    map-side, so a key held by a third of all rows stays cheap.
+    One grouped minimum over whole rows, meant for narrow frames: it combines map-side, so
+    a key held by a third of all rows stays cheap, and its partitioning serves a join on
+    the same key.
     """
-    first = df.groupBy(key).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    rest = [c for c in df.columns if c not in (key, order)]
+    row = F.struct(order, *[F.col(f"`{c}`") for c in rest])
+    return df.groupBy(key).agg(F.min(row).alias("_first")).select(key, "_first.*").select(
+        *[F.col(f"`{c}`") for c in df.columns]
+    )
 
 
 def join_attendance(attendance: DataFrame, applications: DataFrame, order: str) -> DataFrame:

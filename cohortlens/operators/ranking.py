@@ -61,7 +61,10 @@ def _metric_sums(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     below = F.col("n_before") - F.col("pos_before") + (n - pos) / 2
     at_or_above = F.col("rows") - F.col("n_before")
     tp = F.col("positives") - F.col("pos_before")
-    joined = curve.join(whole, list(by)) if by else curve.join(F.broadcast(whole))  # one row
+    if by:
+        joined = curve.join(whole, list(by))
+    else:
+        joined = curve.withColumns({c: whole.select(c).scalar() for c in whole.columns})
     return joined.groupBy(*by, "rows", "positives", "scores").agg(
         F.sum(pos * below).alias("won"),
         F.sum(pos * tp / at_or_above).alias("step"),

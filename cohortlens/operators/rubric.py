@@ -73,7 +73,10 @@ def normalise_weights(criteria: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.col("name") != ""
     )
     totals = named.groupBy(*by).agg(F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_n"))
-    joined = named.join(totals, list(by)) if by else named.join(F.broadcast(totals))  # one row
+    if by:
+        joined = named.join(totals, list(by))
+    else:
+        joined = named.withColumns({c: totals.select(c).scalar() for c in totals.columns})
     weight = F.when(F.col("_total") > 0, F.col("_w") / F.col("_total")).otherwise(1.0 / F.col("_n"))
     return joined.withColumns(
         {"weight": F.round(weight, 6), "guidance": strip(F.coalesce("guidance", F.lit("")))}

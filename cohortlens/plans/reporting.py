@@ -419,7 +419,15 @@ def snapshot(spark, d):
     return reports.snapshot(R.applications(spark, d), R.attendance(spark, d))
 
 
-@register("narrative")
+_LINES = " UNION ALL ".join(
+    f"""SELECT {i}, 'Top {c}: ' || string_agg(value || ' (' || n || ')', ', ' ORDER BY n DESC, value) || '.' FROM ({top_sql(f'"{c}"', 3)})"""
+    for i, c in enumerate(reports.CATEGORY_COLUMNS, 1)
+)
+
+
+@register("narrative", f"""WITH {APPS}, kpi AS ({_KPI})
+SELECT 0 AS position, 'The dashboard contains ' || applications || ' application records. Acceptance rate is ' || acceptance_rate_pct || '%; ' || home_share_pct || '% are Bahraini and ' || team_share_pct || '% are teams.' AS line FROM kpi
+UNION ALL {_LINES}""")
 def narrative(spark, d):
     return reports.narrative(R.applications(spark, d))
 

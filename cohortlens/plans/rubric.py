@@ -198,11 +198,15 @@ def research_context(spark, d):
     return rubric.research_context(rubric.dedupe_sources(R.research_sources(spark, d)))
 
 
-@register("build_prompts")
+@register("build_prompts", f"""WITH {PREFIX}, ctx AS (SELECT idea_id, array_to_string(list(block ORDER BY position), chr(10)) AS context FROM pre WHERE used <= 9000 GROUP BY 1)
+SELECT doc_id AS idea_id, sha256('Idea: ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 6000) || chr(10) || 'Research, ' || length(coalesce(context, '')) || ' characters:' || chr(10)
+  || CASE WHEN coalesce(context, '') = '' THEN 'no results' ELSE context END) AS user_hash, 5 AS rubric_lines FROM documents LEFT JOIN ctx ON idea_id = doc_id""")
 def build_prompts(spark, d):
     context = rubric.research_context(rubric.dedupe_sources(R.research_sources(spark, d)))
     ideas = R.read(spark, d, "documents").select(F.col("doc_id").alias("idea_id"), "text")
-    return rubric.build_prompts(ideas, context)
+    prompts = rubric.build_prompts(ideas, context)
+    lines = F.size(F.filter(F.split("system", "\n"), lambda line: line.startswith("- ")))
+    return prompts.select("idea_id", F.sha2("user", 256).alias("user_hash"), lines.alias("rubric_lines"))
 
 
 # --- checks -----------------------------------------------------------------------------------
