@@ -1,4 +1,4 @@
 """Training-data operators. Nothing else in the library imports this subpackage."""
 
-from . import bpe  # noqa: F401
+from . import bpe, contamination, quality  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
