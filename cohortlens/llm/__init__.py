@@ -1,4 +1,4 @@
 """Training-data operators. Nothing else in the library imports this subpackage."""
 
-from . import bpe, chat, contamination, jaccard, quality  # noqa: F401
+from . import bpe, chat, contamination, jaccard, quality, suffixes  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
