@@ -16,7 +16,6 @@ these don't settle are joined with all of theirs, so a dense column never gives
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +25,12 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .arrays import BLANK_WORDS, Slice, mix, ragged, slices, words_of
+from .counts import summed
 from .registry import register
 from .tables import table
 
 PERCENT = 80
 SLOT_BITS = 22  # slots of the rarity table: 16 MB of counts at any corpus size
-CHUNKS = 32
 BUCKET_POSTINGS = 200_000
 NEAREST = 3
 PAIRS_AT_ONCE = 1 << 20
@@ -77,42 +76,18 @@ class LineSets:
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Occurrences of the words of each slot, over the whole corpus; 2**SLOT_BITS counts.
+    """Occurrences of the words of each slot, over the whole corpus; 2**SLOT_BITS counts."""
 
-    Every task adds up its share and sends the filled slots; the sums come to the driver
-    as CHUNKS rows of together 2**SLOT_BITS 32-bit counts, whatever the corpus holds.
-    """
-    per = (1 << SLOT_BITS) // CHUNKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         slots = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch.column(0)):
                 words, _ = words_of(part, BLANK_WORDS)
                 np.add.at(slots, (words.code >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-        rows = []
-        for chunk in range(CHUNKS):
-            own = slots[chunk * per : (chunk + 1) * per]
-            filled = np.flatnonzero(own)
-            if len(filled):
-                rows.append((chunk, zlib.compress(np.diff(filled, prepend=0).astype("<u4").tobytes() + own[filled].astype("<i8").tobytes(), 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(per, dtype=np.int64)
-        for batch in batches:
-            for packed in batch.column(batch.schema.get_field_index("counts")).to_pylist():
-                raw = zlib.decompress(packed)
-                n = len(raw) // 12
-                total[np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64))] += np.frombuffer(raw, "<i8", n, 4 * n)
-        packed = zlib.compress(np.minimum(total, np.iinfo(np.int32).max).astype("<i4").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["chunk", "counts"])
+        return slots
 
-    sums = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    out = np.zeros(1 << SLOT_BITS, dtype=np.int32)
-    for row in sums.collect():
-        out[row.chunk * per : (row.chunk + 1) * per] = np.frombuffer(zlib.decompress(row.counts), "<i4")
-    return out
+    found = summed(docs.select("text"), count, 1 << SLOT_BITS)
+    return np.minimum(found, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def prefixes(sets: LineSets, slots: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
@@ -269,7 +244,7 @@ def line_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 tokens = [sets.token[sets.begin[k] : sets.begin[k] + sets.size[k]].view(np.int64) for k in here]
                 yield pa.RecordBatch.from_arrays([pa.array(sets.sig[here]), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "tokens"])
 
-    found = per_doc.join(docs.select("id", "text"), "id").select("lines", "text").mapInArrow(run, "sig long, tokens array<long>")
+    found = per_doc.hint("merge").join(docs.select("id", "text"), "id").select("lines", "text").mapInArrow(run, "sig long, tokens array<long>")
     return found.dropDuplicates(["sig"])
 
 
