@@ -205,7 +205,8 @@ def grams_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     Of repeated ids only the rows with the wanted set are taken.
     """
     rest = [c for c in wanted.columns if c != "doc_id"]
-    joined = wanted.join(docs.select("doc_id", F.col("text").cast("string").alias("__text")).where("doc_id is not null"), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("__text")).where("doc_id is not null")
+    joined = wanted.hint("merge").join(texts, "doc_id")  # the same way at every size
     schema = T.StructType([*(wanted.schema[c] for c in rest), T.StructField("grams", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
