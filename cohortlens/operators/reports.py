@@ -15,14 +15,13 @@ from ..functions import labels as L
 
 # Defaults of the analyst snapshot.
 CATEGORY_COLUMNS = ("Sector", "outcome_clean", "Business Stage", "applicant_type", "cohort", "cohort_id")
-PROFILE_COLUMNS = 14
-KEYWORD_LIMIT = 30
 COHORT_YEARS = ("2023", "2024", "2025")
 HOME_NATION = "bahrain"
 
 
 def share(part: Column, whole: Column, digits: int = 1) -> Column:
-    return F.round(F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)), digits)
+    """Percentage, halves rounded to even; 0 of nothing."""
+    return F.bround(F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)), digits)
 
 
 def accepted() -> Column:
@@ -249,13 +248,13 @@ def attendance_mean(df: DataFrame, by: str, top: int | None = None) -> DataFrame
     return out if top is None else out.orderBy(F.desc("rate"), "label").limit(top)
 
 
-def profile(df: DataFrame, limit: int = PROFILE_COLUMNS, approximate: bool = False) -> DataFrame:
-    """Type, null count and distinct count of the first columns.
+def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
+    """Type, null count and distinct count of all (or the named) columns.
 
     Exact counts melt the columns and group twice: values combine map-side before the
     one shuffle. ``approximate`` needs no shuffle of values at all.
     """
-    columns = df.columns[:limit]
+    columns = list(columns or df.columns)
     types = dict(df.dtypes)
     if approximate:
         pairs = F.array(
@@ -379,8 +378,8 @@ def snapshot(df: DataFrame, attendance: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def narrative(df: DataFrame, limit: int = 6) -> DataFrame:
-    """Deterministic summary and up to six insight lines, in order."""
+def narrative(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Deterministic summary and insight lines, in order; ``limit`` keeps the first of them."""
     kpi = analyst_kpis(df)
     summary = kpi.select(
         F.lit(0).alias("position"),
@@ -401,7 +400,8 @@ def narrative(df: DataFrame, limit: int = 6) -> DataFrame:
                 F.concat(F.lit(f"Top {column}: "), F.col("_l"), F.lit(".")).alias("line"),
             )
         )
-    years = yearly(df).orderBy("year").limit(limit).select(
+    years = yearly(df)
+    years = (years if limit is None else years.orderBy("year").limit(limit)).select(
         (F.row_number().over(Window.orderBy("year")) + len(parts)).alias("position"),
         F.format_string(
             "%d: %d applications, %s%% accepted.", "year", "applications",
@@ -411,4 +411,4 @@ def narrative(df: DataFrame, limit: int = 6) -> DataFrame:
     out = summary.unionByName(years)
     for part in parts:
         out = out.unionByName(part)
-    return out.filter(F.col("position") <= limit).orderBy("position")
+    return (out if limit is None else out.filter(F.col("position") <= limit)).orderBy("position")

@@ -49,13 +49,9 @@ QUERY_TEMPLATES = (
     '"%s" Bahrain market OR local demand',
     '"Bahrain" "%s" regulation OR policy OR national strategy',
 )
-QUERY_CHARS = 180
-IDEA_CHARS = 6000
-SNIPPET_CHARS = 700
 CONTEXT_CHARS = 9000
 TOTAL_TOLERANCE = 0.6
 WEAK_TOTAL, STRONG_TOTAL = 12, 19
-MAX_CRITERIA = 1000  # a rubric is edited by hand; anything longer is a wrong table
 
 
 # --- criteria ------------------------------------------------------------------------------
@@ -99,9 +95,7 @@ def load_criteria(source: DataFrame | str | None = None, spark: SparkSession | N
         if c not in source.columns:
             source = source.withColumn(c, F.lit(None).cast("string"))
     table = source.filter(F.col("name").isNotNull())
-    rows = normalise_weights(table).select("name", "guidance", "weight").take(MAX_CRITERIA + 1)
-    if len(rows) > MAX_CRITERIA:
-        raise ValueError(f"a rubric holds at most {MAX_CRITERIA} criteria")
+    rows = normalise_weights(table).select("name", "guidance", "weight").collect()  # a hand-edited rubric
     return [Criterion(r.name, r.guidance, r.weight) for r in rows] or list(DEFAULT_CRITERIA)
 
 
@@ -227,7 +221,7 @@ def score_dimensions(flat: DataFrame, criteria: Sequence[Criterion], key: str =
     """(key, dimensions): an array with one scored struct per criterion, in rubric order.
 
     Names match on letters only and the first answer for a criterion counts. Scores are
-    rounded to one digit and clamped to 0..5; an unanswered criterion scores 0. One
+    rounded to one digit (halves to even) and clamped to 0..5; an unanswered criterion scores 0. One
     grouped pass with a conditional minimum per criterion, so nothing is multiplied out.
     """
     letters = F.regexp_replace(F.lower("dimension"), "[^a-z]+", "")
@@ -247,7 +241,7 @@ def score_dimensions(flat: DataFrame, criteria: Sequence[Criterion], key: str =
     for i, c in enumerate(criteria):
         pick = F.col(f"_c{i}")
         missing = pick.isNull()
-        score = F.greatest(F.lit(0.0), F.least(F.lit(MAX_SCORE), F.round(pick["score"], 1)))
+        score = F.greatest(F.lit(0.0), F.least(F.lit(MAX_SCORE), F.bround(pick["score"], 1)))
         scored.append(
             F.struct(
                 F.lit(c.name).alias("name"),
@@ -263,7 +257,7 @@ def weighted_total(dimensions: Column, criteria: Sequence[Criterion]) -> Column:
     """Weighted scores scaled to 25, one digit. Weights are those of a normalised rubric."""
     weights = F.array(*[F.lit(float(c.weight)) for c in criteria])
     parts = F.zip_with(dimensions, weights, lambda d, w: d["score"] * w)
-    return F.round(5 * F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 1)
+    return F.bround(5 * F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 1)
 
 
 def score_payloads(flat: DataFrame, criteria: Sequence[Criterion] = DEFAULT_CRITERIA, key: str = "review_id") -> DataFrame:
@@ -319,26 +313,33 @@ def dimension_rows(scored: DataFrame, criteria: Sequence[Criterion] = DEFAULT_CR
 
 # --- research ----------------------------------------------------------------------------------
 
-def compact_idea(col: Column, limit: int = IDEA_CHARS) -> Column:
-    return F.substring(clean_text(col), 1, limit)
+def compact_idea(col: Column, chars: int | None = None) -> Column:
+    """Cleaned text of an idea; ``chars`` keeps its opening only."""
+    return clean_text(col) if chars is None else F.substring(clean_text(col), 1, chars)
 
 
-def search_queries(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Six search queries per idea from its opening words."""
-    short = compact_idea(F.col(text), QUERY_CHARS)
+def search_queries(df: DataFrame, text: str, key: str, chars: int | None = None) -> DataFrame:
+    """Six search queries per idea; a search engine that bounds its queries sets ``chars``."""
+    short = compact_idea(F.col(text), chars)
     queries = F.array(*[F.format_string(t, short) for t in QUERY_TEMPLATES])
     return df.select(key, F.posexplode(queries).alias("position", "query"))
 
 
-def dedupe_sources(hits: DataFrame, key: str = "idea_id", order: str = "position") -> DataFrame:
-    """Web sources of an idea: http(s) only, first hit per url, excerpt length bounded."""
+def dedupe_sources(
+    hits: DataFrame, key: str = "idea_id", order: str = "position", chars: int | None = None
+) -> DataFrame:
+    """Web sources of an idea: http(s) only and the first hit per url.
+
+    ``order`` numbers the hits of an idea. Excerpts are whole contents unless ``chars`` bounds them.
+    """
     url = strip(F.coalesce("url", F.lit("")))
     usable = hits.withColumn("url", url).filter(F.lower("url").rlike("^https?://"))
-    first = usable.groupBy(key, "url").agg(F.min(order).alias(order)).select(order)
+    first = usable.groupBy(key, "url").agg(F.min(order).alias(order)).select(key, order)
     title = F.when(F.length(F.coalesce("title", F.lit(""))) > 0, F.col("title")).otherwise(F.col("url"))
-    return usable.join(first, order, "left_semi").select(
+    content = F.coalesce("content", F.lit(""))
+    return usable.join(first, [key, order], "left_semi").select(
         key, order, "url", title.alias("title"),
-        F.substring(F.coalesce("content", F.lit("")), 1, SNIPPET_CHARS).alias("snippet"),
+        (content if chars is None else F.substring(content, 1, chars)).alias("snippet"),
     )
 
 
@@ -369,8 +370,14 @@ def research_context(sources: DataFrame, budget: int = CONTEXT_CHARS, key: str =
     return kept.groupBy(key).agg(F.array_join(F.transform(listed, lambda s: s["block"]), "\n").alias("context"))
 
 
-def build_prompts(ideas: DataFrame, contexts: DataFrame, criteria: Sequence[Criterion] = DEFAULT_CRITERIA, key: str = "idea_id", text: str = "text") -> DataFrame:
-    """(key, system, user): rubric instructions and the idea with its research."""
+def build_prompts(
+    ideas: DataFrame, contexts: DataFrame, criteria: Sequence[Criterion] = DEFAULT_CRITERIA,
+    key: str = "idea_id", text: str = "text", chars: int | None = None,
+) -> DataFrame:
+    """(key, system, user): rubric instructions and the idea with its research.
+
+    Ideas are whole unless ``chars`` bounds them.
+    """
     lines = "\n".join(
         f"- {c.name} (max 5, weight {c.weight:.0%}): {c.guidance or 'Apply the usual reading of this criterion.'}"
         for c in criteria
@@ -382,7 +389,7 @@ def build_prompts(ideas: DataFrame, contexts: DataFrame, criteria: Sequence[Crit
     )
     context = F.coalesce("context", F.lit(""))
     user = F.concat(
-        F.lit("Idea: "), compact_idea(F.col(text)),
+        F.lit("Idea: "), compact_idea(F.col(text), chars),
         F.lit("\nResearch, "), F.length(context).cast("string"), F.lit(" characters:\n"),
         F.when(context == "", "no results").otherwise(context),
     )

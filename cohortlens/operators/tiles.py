@@ -155,7 +155,9 @@ def build_tiles(df: DataFrame, threshold: float, load: Column | None = None) ->
     radius = np.array([stats[c][1] if c in stats else 0.0 for c in range(len(pivots))])
     starts = [sum(chunks[:c]) for c in range(len(pivots))]
     # A margin covers rounding in the angles; a zero vector is no direction, so it gets no pruning.
-    limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    # Similarities are compared after rounding, so the least one that passes lies half a digit lower.
+    least = threshold - 0.5 * 10.0**-SIM_DIGITS
+    limit = math.acos(max(-1.0, min(1.0, least))) + 1e-6
     apart = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
     near_cells = apart - radius[:, None] - radius[None, :] <= limit
     near_cells |= threshold <= 0

@@ -191,7 +191,7 @@ def scope_years(spark, d):
 # --- reports -----------------------------------------------------------------------------
 
 @register("kpis", f"""WITH {APPS} SELECT count(*) AS total, count(*) FILTER (outcome_clean = 'Accepted') AS accepted,
-  round(count(*) FILTER (outcome_clean = 'Accepted') * 100.0::DOUBLE / count(*), 1) AS rate FROM apps""")
+  round_even(count(*) FILTER (outcome_clean = 'Accepted') * 100.0::DOUBLE / count(*), 1) AS rate FROM apps""")
 def kpis(spark, d):
     return reports.kpis(R.applications(spark, d))
 
@@ -202,7 +202,7 @@ def dist_sql(label: str, top: int | None = None, percent: bool = False) -> str:
     note = "CASE WHEN m > 0 THEN printf('%.1f%% Not Specified', m / t::DOUBLE * 100) END" if percent else NOTE.format(m="m")
     return f"""WITH {APPS}, counts AS (SELECT {label} AS label, count(*) AS n FROM apps GROUP BY 1),
 shown AS (SELECT * FROM counts WHERE label IS NOT NULL AND NOT ({_missing("label")}) {limit}),
-shares AS (SELECT label, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 1) AS pct FROM shown),
+shares AS (SELECT label, n, round_even(n * 100.0::DOUBLE / sum(n) OVER (), 1) AS pct FROM shown),
 totals AS (SELECT CAST(sum(n) AS BIGINT) AS t, CAST(coalesce(sum(n) FILTER ({_missing("label")}), 0) AS BIGINT) AS m FROM counts)
 SELECT label, n, pct, {text} AS text, {note} AS note FROM shares, totals"""
 
@@ -237,7 +237,7 @@ def age_distribution(spark, d):
 def xt_sql(a: str, b: str, percent: bool = False, source: str = APPS, table: str = "apps", extra: str = "") -> str:
     text = "printf('%.1f%%', pct)" if percent else "CAST(n AS VARCHAR)"
     return f"""WITH {source} SELECT *, {text} AS text FROM (
-  SELECT a, b, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY a), 1) AS pct FROM (
+  SELECT a, b, n, round_even(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY a), 1) AS pct FROM (
     SELECT {a} AS a, {b} AS b, count(*) AS n FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL {extra} GROUP BY 1, 2))"""
 
 
@@ -283,13 +283,13 @@ def accepted_per_year(spark, d):
 @register("team_size_distribution", f"""WITH {RAW}, b AS (SELECT {_BUCKET} AS bucket FROM raw),
 shown AS (SELECT label, count(bucket) AS n FROM (SELECT unnest(['2', '3', '4', '5', '5+']) AS label) LEFT JOIN b ON bucket = label GROUP BY 1),
 totals AS (SELECT count(*) FILTER (bucket = 'Not Specified') AS m FROM b)
-SELECT label, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 1) AS pct, printf('%.1f%%', round(n * 100.0::DOUBLE / sum(n) OVER (), 1)) AS text,
+SELECT label, n, round_even(n * 100.0::DOUBLE / sum(n) OVER (), 1) AS pct, printf('%.1f%%', round_even(n * 100.0::DOUBLE / sum(n) OVER (), 1)) AS text,
   CASE WHEN m > 0 THEN printf('%.1f%% Not Specified', m / CAST(m + sum(n) OVER () AS DOUBLE) * 100) END AS note FROM shown, totals""")
 def team_size_distribution(spark, d):
     return reports.team_size_distribution(R.applications(spark, d), percent=True)
 
 
-@register("cohort_sizes", f"WITH {APPS} SELECT cohort, n, round(n * 100.0::DOUBLE / (SELECT count(*) FROM apps), 1) AS pct FROM (SELECT cohort, count(*) AS n FROM apps GROUP BY 1) WHERE cohort IS NOT NULL")
+@register("cohort_sizes", f"WITH {APPS} SELECT cohort, n, round_even(n * 100.0::DOUBLE / (SELECT count(*) FROM apps), 1) AS pct FROM (SELECT cohort, count(*) AS n FROM apps GROUP BY 1) WHERE cohort IS NOT NULL")
 def cohort_sizes(spark, d):
     return reports.cohort_sizes(R.applications(spark, d))
 
@@ -358,7 +358,7 @@ def att_mean_by_cohort(spark, d):
 # --- analyst snapshot ------------------------------------------------------------------------
 
 _PROFILE_TYPES = {"row_id": "bigint", "submitted_at": "timestamp_ntz", "year": "int"}
-_PROFILE_COLUMNS = ["row_id", "applicant_name", "date_of_birth", "submitted_at", "year", "cohort", "cohort_id", "Sector", "outcome_clean", "Business Stage", "Age Group", "team_member_count", "employment_status", "has_commercial_registration"]
+_PROFILE_COLUMNS = ["row_id", "applicant_name", "date_of_birth", "submitted_at", "year", "cohort", "cohort_id", "Sector", "outcome_clean", "Business Stage", "Age Group", "team_member_count", "employment_status", "has_commercial_registration", "education", "major", "nationality", "project_name", "individual_or_team", "applicant_type"]
 _PROFILE = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) - count("{c}") AS nulls, count(DISTINCT "{c}") AS distinct_values, '{_PROFILE_TYPES.get(c, "string")}' AS dtype FROM apps"""
     for c in _PROFILE_COLUMNS
@@ -373,9 +373,9 @@ def profile(spark, d):
 _KPI = """SELECT count(*) AS applications, count(*) FILTER (outcome_clean = 'Accepted') AS accepted,
   count(*) FILTER (lower(nationality) LIKE '%bahrain%') AS home, count(*) FILTER (applicant_type = 'Team') AS teams,
   array_to_string(list_sort(list(DISTINCT year) FILTER (year IS NOT NULL)), ',') AS years,
-  round(count(*) FILTER (outcome_clean = 'Accepted') * 100.0::DOUBLE / count(*), 1) AS acceptance_rate_pct,
-  round(count(*) FILTER (lower(nationality) LIKE '%bahrain%') * 100.0::DOUBLE / count(*), 1) AS home_share_pct,
-  round(count(*) FILTER (applicant_type = 'Team') * 100.0::DOUBLE / count(*), 1) AS team_share_pct FROM apps"""
+  round_even(count(*) FILTER (outcome_clean = 'Accepted') * 100.0::DOUBLE / count(*), 1) AS acceptance_rate_pct,
+  round_even(count(*) FILTER (lower(nationality) LIKE '%bahrain%') * 100.0::DOUBLE / count(*), 1) AS home_share_pct,
+  round_even(count(*) FILTER (applicant_type = 'Team') * 100.0::DOUBLE / count(*), 1) AS team_share_pct FROM apps"""
 
 
 @register("analyst_kpis", f"WITH {APPS} {_KPI}")
@@ -393,7 +393,7 @@ def top_categories(spark, d):
 
 
 _YEARLY = """SELECT year, count(*) AS applications, count(*) FILTER (outcome_clean = 'Accepted') AS accepted,
-  round(count(*) FILTER (outcome_clean = 'Accepted') * 100.0::DOUBLE / count(*), 1) AS acceptance_rate_pct FROM apps WHERE year IS NOT NULL GROUP BY 1"""
+  round_even(count(*) FILTER (outcome_clean = 'Accepted') * 100.0::DOUBLE / count(*), 1) AS acceptance_rate_pct FROM apps WHERE year IS NOT NULL GROUP BY 1"""
 
 
 @register("yearly_breakdown", f"WITH {APPS} {_YEARLY}")
@@ -427,7 +427,7 @@ _LINES = " UNION ALL ".join(
 
 @register("narrative", f"""WITH {APPS}, kpi AS ({_KPI})
 SELECT 0 AS position, 'The dashboard contains ' || applications || ' application records. Acceptance rate is ' || acceptance_rate_pct || '%; ' || home_share_pct || '% are Bahraini and ' || team_share_pct || '% are teams.' AS line FROM kpi
-UNION ALL {_LINES}""")
+UNION ALL {_LINES} UNION ALL SELECT {len(reports.CATEGORY_COLUMNS)} + row_number() OVER (ORDER BY year), year || ': ' || applications || ' applications, ' || acceptance_rate_pct || '% accepted.' FROM ({_YEARLY})""")
 def narrative(spark, d):
     return reports.narrative(R.applications(spark, d))
 

@@ -103,6 +103,7 @@ UNITS = """units AS (
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))"""
 
 INDEX = f"""{DOCS}, {UNITS}, idx AS (SELECT docs.*, u FROM docs JOIN units USING (row_index))"""
+ALL_IDEAS = f"""{DOCS}, {UNITS}, idx AS (SELECT docs.*, u FROM docs LEFT JOIN units USING (row_index))"""
 
 _FIELDS = ",\n    ".join(
     f"nullif(array_to_string(list_filter(lines, lambda x, i: (i - 1) % 9 = {i} AND length(x) > 0), ' '), '') AS {role}"
@@ -161,7 +162,7 @@ REVIEWS = f"""reviews AS (
   WHERE (review_id + slot) % 13 <> 0)"""
 
 SOURCES = """sources AS (
-  SELECT page_id % 40 AS idea_id, page_id AS position,
-    CASE WHEN page_id % 9 = 0 THEN regexp_replace(url, '^http', 'ftp') ELSE string_split(url, '?')[1] END AS url,
+  SELECT page_id // 12 AS idea_id, page_id % 12 AS position,
+    CASE WHEN page_id % 9 = 0 THEN regexp_replace(url, '^http', 'ftp') WHEN page_id % 5 = 1 THEN 'https://shared.example.com/' || (page_id % 2) ELSE string_split(url, '?')[1] END AS url,
     CASE WHEN page_id % 5 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title, html AS content
   FROM pages)"""

@@ -75,10 +75,10 @@ _KEYS = ", ".join(
 SCORES = f"""{REVIEWS}, rub(i, name, letters, weight) AS (VALUES {_KEYS}),
 answered AS (SELECT review_id, regexp_replace(lower(dimension), '[^a-z]+', '', 'g') AS letters, arg_min(coalesce(TRY_CAST(score AS DOUBLE), 0), slot) AS score,
   arg_min(trim(coalesce(rationale, '')), slot) AS rationale FROM reviews GROUP BY 1, 2),
-dims AS (SELECT ids.review_id, i, name, weight::DOUBLE AS weight, CASE WHEN a.letters IS NULL THEN 0 ELSE greatest(0, least(5, round(score, 1))) END AS score,
+dims AS (SELECT ids.review_id, i, name, weight::DOUBLE AS weight, CASE WHEN a.letters IS NULL THEN 0 ELSE greatest(0, least(5, round_even(score, 1))) END AS score,
   CASE WHEN a.letters IS NULL THEN '{rubric.MISSING_DIMENSION}' ELSE rationale END AS rationale
   FROM (SELECT DISTINCT review_id FROM reviews) ids CROSS JOIN rub LEFT JOIN answered a ON a.review_id = ids.review_id AND a.letters = rub.letters),
-totals AS (SELECT review_id, round(5 * list_sum(list(score * weight ORDER BY i)), 1) AS total_score, array_to_string(list(score ORDER BY i), ',') AS scores,
+totals AS (SELECT review_id, round_even(5 * list_sum(list(score * weight ORDER BY i)), 1) AS total_score, array_to_string(list(score ORDER BY i), ',') AS scores,
   array_to_string(list(rationale ORDER BY i), '/') AS rationales FROM dims GROUP BY 1),
 scores AS (SELECT *, CASE WHEN total_score >= 19 THEN 'Strong' WHEN total_score >= 13 THEN 'Promising' ELSE 'Weak' END AS verdict FROM totals)"""
 
@@ -165,7 +165,7 @@ def low_evidence(spark, d):
 
 # --- research ---------------------------------------------------------------------------------
 
-_SHORT = "substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 180)"
+_SHORT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 _QUERIES = ", ".join("replace('" + t + "', '%s', " + _SHORT + ")" for t in rubric.QUERY_TEMPLATES)
 
 
@@ -174,7 +174,7 @@ def search_queries(spark, d):
     return rubric.search_queries(R.read(spark, d, "documents"), "text", "doc_id")
 
 
-DEDUPED = f"""{SOURCES}, ded AS (SELECT idea_id, position, trim(url) AS url, CASE WHEN length(coalesce(title, '')) > 0 THEN title ELSE trim(url) END AS title, substr(content, 1, 700) AS snippet
+DEDUPED = f"""{SOURCES}, ded AS (SELECT idea_id, position, trim(url) AS url, CASE WHEN length(coalesce(title, '')) > 0 THEN title ELSE trim(url) END AS title, content AS snippet
   FROM sources WHERE regexp_matches(lower(trim(url)), '^https?://') QUALIFY row_number() OVER (PARTITION BY idea_id, trim(url) ORDER BY position) = 1)"""
 
 
@@ -187,9 +187,9 @@ PREFIX = f"""{DEDUPED}, bl AS (SELECT *, '- ' || title || chr(10) || '  URL: ' |
 pre AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY idea_id ORDER BY position) AS BIGINT) AS used FROM bl)"""
 
 
-@register("context_prefix", f"WITH {PREFIX} SELECT idea_id, position, url, length(block) AS chars, used FROM pre WHERE used <= 3000")
+@register("context_prefix", f"WITH {PREFIX} SELECT idea_id, position, url, length(block) AS chars, used FROM pre WHERE used <= 12000")
 def context_prefix(spark, d):
-    kept = rubric.context_prefix(rubric.dedupe_sources(R.research_sources(spark, d)), 3000)
+    kept = rubric.context_prefix(rubric.dedupe_sources(R.research_sources(spark, d)), 12_000)
     return kept.select("idea_id", "position", "url", "chars", "used")
 
 
@@ -199,7 +199,7 @@ def research_context(spark, d):
 
 
 @register("build_prompts", f"""WITH {PREFIX}, ctx AS (SELECT idea_id, array_to_string(list(block ORDER BY position), chr(10)) AS context FROM pre WHERE used <= 9000 GROUP BY 1)
-SELECT doc_id AS idea_id, sha256('Idea: ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 6000) || chr(10) || 'Research, ' || length(coalesce(context, '')) || ' characters:' || chr(10)
+SELECT doc_id AS idea_id, sha256('Idea: ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(10) || 'Research, ' || length(coalesce(context, '')) || ' characters:' || chr(10)
   || CASE WHEN coalesce(context, '') = '' THEN 'no results' ELSE context END) AS user_hash, 5 AS rubric_lines FROM documents LEFT JOIN ctx ON idea_id = doc_id""")
 def build_prompts(spark, d):
     context = rubric.research_context(rubric.dedupe_sources(R.research_sources(spark, d)))
@@ -211,7 +211,7 @@ def build_prompts(spark, d):
 
 # --- checks -----------------------------------------------------------------------------------
 
-KPIS = "kpi AS (SELECT count(*) AS total, round(count(*) FILTER (outcome_clean = 'Accepted') * 100.0::DOUBLE / count(*), 1) AS rate FROM apps)"
+KPIS = "kpi AS (SELECT count(*) AS total, round_even(count(*) FILTER (outcome_clean = 'Accepted') * 100.0::DOUBLE / count(*), 1) AS rate FROM apps)"
 
 
 def _reports(spark, d):

@@ -10,7 +10,7 @@ from ..operators import filters, greedy, search, vectors
 from ..sources import roles as R
 from ..streaming.arrivals import check_batch
 from . import register
-from .role_sql import DOCS, FULL, INDEX, UNITS, clean, norm_name, section, snippet
+from .role_sql import ALL_IDEAS, DOCS, FULL, INDEX, UNITS, clean, norm_name, section, snippet
 
 # The reports' own thresholds find nothing in these vectors; the queries use lower ones.
 PAIR_THRESHOLD = 0.35
@@ -169,12 +169,12 @@ def rank_matches(spark, d):
     )
 
 
-@register("dedup_exact", f"""WITH {INDEX}, k AS (SELECT *, lower({clean("text")}) AS t, {norm_name("project_name")} AS n, length({clean("text")}) AS len FROM idx),
+@register("dedup_exact", f"""WITH {ALL_IDEAS}, k AS (SELECT *, lower({clean("text")}) AS t, {norm_name("project_name")} AS n, length({clean("text")}) AS len FROM idx),
 one AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY t ORDER BY row_index) = 1),
 two AS (SELECT * FROM one WHERE n <> '' QUALIFY row_number() OVER (PARTITION BY n ORDER BY len DESC, year DESC, cohort_id DESC, row_index) = 1)
 SELECT row_index, project_name FROM two UNION ALL SELECT row_index, project_name FROM one WHERE n = ''""")
 def dedup_exact(spark, d):
-    return greedy.dedup_exact(R.idea_index(spark, d)).select("row_index", "project_name")
+    return greedy.dedup_exact(R.all_ideas(spark, d)).select("row_index", "project_name")
 
 
 def greedy_drop(base: str) -> str:
@@ -187,9 +187,9 @@ walk(n, dead) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
 SELECT row_index, project_name FROM {base} WHERE NOT list_contains((SELECT arg_max(dead, n) FROM walk), row_index)"""
 
 
-@register("dedup_near", f"WITH RECURSIVE {INDEX}, {greedy_drop('idx')}")
+@register("dedup_near", f"WITH RECURSIVE {ALL_IDEAS}, {greedy_drop('idx')}")
 def dedup_near(spark, d):
-    return greedy.dedup_near(R.idea_index(spark, d), MERGE_THRESHOLD).select("row_index", "project_name")
+    return greedy.dedup_near(R.all_ideas(spark, d), MERGE_THRESHOLD).select("row_index", "project_name")
 
 
 _EXACT = f"""k AS (SELECT *, lower({clean("text")}) AS t, {norm_name("project_name")} AS n, length({clean("text")}) AS len FROM idx),
@@ -198,9 +198,9 @@ kept AS MATERIALIZED (SELECT row_index, project_name, text, u FROM (SELECT * FRO
   UNION ALL SELECT row_index, project_name, text, u FROM one WHERE n = '')"""
 
 
-@register("dedup_index", f"WITH RECURSIVE {INDEX}, {_EXACT}, {greedy_drop('kept')}")
+@register("dedup_index", f"WITH RECURSIVE {ALL_IDEAS}, {_EXACT}, {greedy_drop('kept')}")
 def dedup_index(spark, d):
-    return greedy.dedup_index(R.idea_index(spark, d), MERGE_THRESHOLD).select("row_index", "project_name")
+    return greedy.dedup_index(R.all_ideas(spark, d), MERGE_THRESHOLD).select("row_index", "project_name")
 
 
 GROUPS = f"""pr AS MATERIALIZED (SELECT a.row_index AS v, b.row_index AS u, round(list_inner_product(a.u, b.u), 9) AS s FROM units a JOIN units b
@@ -256,13 +256,20 @@ def keyword_search(spark, d):
 SELECT project_name AS "Project", CAST(year AS VARCHAR) AS "Year", cohort_id AS "Cohort", sector AS "Sector", {section("text", "Problem")} AS "Problem", {section("text", "Solution")} AS "Solution"
 FROM m WHERE rank <= 10 AND s >= 0.25""")
 def search_fallback(spark, d):
-    index = R.idea_index(spark, d)
+    index = R.all_ideas(spark, d)
     vecs = R.idea_vectors(spark, d)
     last = vecs.agg(F.max("row_index")).scalar()
     asked = vecs.filter(F.col("row_index") == last).withColumnRenamed("row_index", "query_id")
     return search.search_frame(search.search(index, "zzzz-no-such-word", asked, min_score=0.25))
 
 
+@register("search_keyword", f"""SELECT project_name AS "Project", CAST(year AS VARCHAR) AS "Year", cohort_id AS "Cohort", sector AS "Sector", problem AS "Problem", solution AS "Solution" FROM ({KEYWORD_SQL})""")
+def search_keyword(spark, d):
+    vecs = R.idea_vectors(spark, d)
+    asked = vecs.filter(F.col("row_index") == vecs.agg(F.max("row_index")).scalar()).withColumnRenamed("row_index", "query_id")
+    return search.search_frame(search.search(R.all_ideas(spark, d), QUERY, asked))
+
+
 @register("embed_documents")
 def embed_documents(spark, d):
     return search.embed(R.idea_documents(spark, d))
@@ -273,10 +280,10 @@ b AS (SELECT row_index, tokens, 0 AS batch, 1 AS c, tokens AS used FROM t WHERE
   UNION ALL SELECT t.row_index, t.tokens, CASE WHEN c = 64 OR used + t.tokens > 20000 THEN batch + 1 ELSE batch END,
     CASE WHEN c = 64 OR used + t.tokens > 20000 THEN 1 ELSE c + 1 END, CASE WHEN c = 64 OR used + t.tokens > 20000 THEN t.tokens ELSE used + t.tokens END
   FROM b JOIN t ON t.row_index = b.row_index + 1)
-SELECT row_index, tokens, 0 AS shard, batch FROM b""")
+SELECT row_index, tokens, batch FROM b""")
 def pack_batches(spark, d):
     docs = R.read(spark, d, "documents").select(F.col("doc_id").alias("row_index"), "text")
-    return search.pack_batches(docs, budget=20_000)
+    return search.pack_batches(docs, budget=20_000, block=500)
 
 
 @register("arrivals", f"""WITH {UNITS}, d AS (SELECT doc_id AS query_id, trim(string_split(text, chr(10))[1]) AS idea, trim(text) AS description, u AS v FROM documents JOIN units ON row_index = doc_id),

@@ -147,9 +147,15 @@ def idea_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def idea_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Ideas with a vector."""
     return idea_documents(spark, folder).join(idea_vectors(spark, folder), "row_index")
 
 
+def all_ideas(spark: SparkSession, folder: str) -> DataFrame:
+    """All ideas; those without an embedding have a null vector."""
+    return idea_documents(spark, folder).join(idea_vectors(spark, folder), "row_index", "left")
+
+
 def full_applicants(spark: SparkSession, folder: str) -> DataFrame:
     """Applications with the wide schema; an application's texts come from its document, if any.
 
@@ -249,11 +255,17 @@ def review_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def research_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Search hits: one per page, urls cut before the query string, grouped into ideas."""
+    """Search hits: one per page, twelve to an idea, numbered within it; some urls repeat.
+
+    Urls are cut before the query string.
+    """
+    page = F.col("page_id")
     return read(spark, folder, "pages").select(
-        (F.col("page_id") % 40).alias("idea_id"),
-        F.col("page_id").alias("position"),
-        F.when(F.col("page_id") % 9 == 0, F.regexp_replace("url", "^http", "ftp")).otherwise(F.substring_index("url", "?", 1)).alias("url"),
+        F.floor(page / 12).alias("idea_id"),
+        (page % 12).alias("position"),
+        F.when(page % 9 == 0, F.regexp_replace("url", "^http", "ftp"))
+        .when(page % 5 == 1, F.concat(F.lit("https://shared.example.com/"), (page % 2).cast("string")))
+        .otherwise(F.substring_index("url", "?", 1)).alias("url"),
         F.when(F.col("page_id") % 5 != 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
         F.col("html").alias("content"),
     )

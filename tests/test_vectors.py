@@ -1,5 +1,7 @@
 """Similarity operators against the small fixtures and against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +207,39 @@ def test_arrivals(spark, base, tmp_path):
     assert query.exception() is None
     streamed = {(min(r.query_id, 2), r.row_index) if r.query_id < 3 else (r.query_id, r.row_index) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {r for _, r in streamed} == {r for _, r in got} and {q for q, _ in streamed} in ({1, 4}, {2, 4})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pack_batches_over_many_blocks(spark, seed, monkeypatch):
+    """Equals the walk over all texts, whatever the blocks."""
+    rng = random.Random(seed)
+    sizes = [rng.choice([0, 4, 40, 200, 390, 900]) for _ in range(500)]
+    df = spark.createDataFrame([(3 * i, "x" * n) for i, n in enumerate(sizes)], "row_index long, text string")
+    want, count, used, batch = [], 0, 0, 0
+    for n in sizes:
+        tokens = max(1, n // 4)
+        if count and (count == 5 or used + tokens > 150):
+            batch, count, used = batch + 1, 0, 0
+        want.append(batch)
+        count, used = count + 1, used + tokens
+    monkeypatch.setattr(search, "PACK_FAN", 4)
+    got = search.pack_batches(df.repartition(7), rows=5, budget=150, block=10).orderBy("row_index").collect()
+    assert [r.batch for r in got] == want
+    assert search.pack_batches(df.limit(0)).count() == 0
+
+
+def test_missing_vectors_are_no_copies(spark):
+    rows = [(0, "long text", [1.0, 0.0]), (1, "a", None), (2, "b", None), (3, "c", None), (4, "z", [0.0, 0.0]), (5, "z", [0.0, 0.0]), (6, "long", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "row_index long, text string, vec array<float>")
+    assert {r.row_index for r in greedy.near_duplicates(df, 0.9).collect()} == {6}
+
+
+def test_similarity_of_one_across_cells(spark, monkeypatch):
+    """Vectors a hair apart round to a similarity of 1 and must not be pruned."""
+    monkeypatch.setattr(tiles, "MIN_TILE_ROWS", 2)
+    monkeypatch.setattr(tiles, "MAX_TILE_ROWS", 2)
+    rows = [(i, [1.0, i * 1e-6]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    unit = tiles.unit_rows(np.array([v for _, v in rows]))
+    want = int(np.triu(np.round(unit @ unit.T, tiles.SIM_DIGITS) >= 1, 1).sum())
+    assert vectors.pair_edges(df, 1.0, None).count() == want > 700
