@@ -270,9 +270,14 @@ def search_keyword(spark, d):
     return search.search_frame(search.search(R.all_ideas(spark, d), QUERY, asked))
 
 
-@register("embed_documents")
+@register("embed_documents", f"""WITH {DOCS}, t AS (SELECT row_index, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS word FROM docs),
+c AS (SELECT row_index, CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS INTEGER) AS slot, count(*) AS n FROM t GROUP BY 1, 2),
+m AS (SELECT slot, count(*) AS m FROM c GROUP BY 1), w AS (SELECT row_index, slot, n * ln(((SELECT count(*) FROM docs) + 1) / (m + 1)) AS w FROM c JOIN m USING (slot)),
+v AS (SELECT row_index, slot, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY row_index)), 0) AS x FROM w)
+SELECT row_index, k.slot, round(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE), 5) AS x FROM docs CROSS JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS slot) k LEFT JOIN v USING (row_index, slot)""")
 def embed_documents(spark, d):
-    return search.embed(R.idea_documents(spark, d))
+    vectors_ = search.embed(R.idea_documents(spark, d), dimensions=64)
+    return vectors_.select("row_index", F.posexplode("vec").alias("slot", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
 @register("pack_batches", """WITH RECURSIVE t AS (SELECT doc_id AS row_index, greatest(1, length(text) // 4) AS tokens FROM documents),

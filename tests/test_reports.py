@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import filters, joins, reports
+from cohortlens.operators import filters, joins, reports, rubric
 from cohortlens.operators.repeats import repeat_submissions
 from cohortlens.sources import index as I
 from cohortlens.sources import tables as T
@@ -177,3 +177,21 @@ def test_merge_cache_and_results(spark, tmp_path):
     for ending in ("json", "csv", "parquet"):
         T.write_result(merged, str(tmp_path / f"out.{ending}"))
     assert T.read_table(spark, str(tmp_path / "out.parquet")).count() == 4
+
+
+def test_halves_round_to_even(spark):
+    """6.25 % shows as 6.2, answers of 3.25 and 4.5 at equal weights give 19.2."""
+    df = spark.createDataFrame([("Accepted" if k == 0 else "Rejected",) for k in range(16)], "outcome_clean string")
+    assert reports.kpis(df).first().rate == 6.2
+    criteria = (rubric.Criterion("Alpha", "", 0.5), rubric.Criterion("Beta", "", 0.5))
+    flat = spark.createDataFrame([(1, 0, "alpha", "3.25", "r"), (1, 1, "BETA", "4.5", "r")], "review_id long, slot int, dimension string, score string, rationale string")
+    row = rubric.score_payloads(flat, criteria).first()
+    assert [d.score for d in row.dimensions] == [3.2, 4.5] and row.total_score == 19.2
+
+
+def test_sources_are_numbered_per_idea(spark):
+    rows = [(1, 0, "http://a", "t", "x" * 900), (1, 1, " http://a ", None, "y"), (2, 0, "http://b", "", None), (2, 1, "http://c", "t", "z"), (2, 2, "ftp://d", "t", "z")]
+    hits = spark.createDataFrame(rows, "idea_id long, position int, url string, title string, content string")
+    got = rubric.dedupe_sources(hits).orderBy("idea_id", "position").collect()
+    assert [(r.idea_id, r.position, r.url, r.title, len(r.snippet)) for r in got] == [(1, 0, "http://a", "t", 900), (2, 0, "http://b", "http://b", 0), (2, 1, "http://c", "t", 1)]
+    assert max(len(r.snippet) for r in rubric.dedupe_sources(hits, chars=700).collect()) == 700
