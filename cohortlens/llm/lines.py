@@ -31,12 +31,15 @@ from .tables import table
 
 PERCENT = 80
 SLOT_BITS = 22  # slots of the rarity table: 16 MB of counts at any corpus size
-BUCKET_POSTINGS = 200_000
+BUCKET_POSTINGS = 100_000
 NEAREST = 3
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
+LONG = 160  # lines of more tokens also carry a wide sketch; 128 bits would tell few of them apart
+WIDE_WORDS = 8
 SMALL_COLUMN = 64
 NO_ID = -(1 << 63)
 POSTING = np.dtype([("token", "u8"), ("sig", "i8"), ("doc", "i8"), ("line", "i4"), ("n", "i4"), ("pos", "i4"), ("s0", "u8"), ("s1", "u8")])
+WIDE = np.dtype([("sig", "i8"), ("bits", "u8", (WIDE_WORDS,))])
 
 
 def index_length(n, percent: int):
@@ -93,7 +96,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
 def prefixes(sets: LineSets, slots: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """Line, token and position of the entries in each line's probing prefix, rarest first."""
     rank = slots[(sets.token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-    order = np.lexsort((sets.token, rank, sets.number))
+    # Entries of a line come in token order, and the sort is stable: ties of the key keep that order.
+    key = np.minimum(rank, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | sets.token >> np.uint64(24)
+    order = np.lexsort((key, sets.number))
     pos = np.arange(len(order)) - np.repeat(sets.begin, sets.size)
     near = pos < np.repeat(np.where(sets.size > 3, probe_length(sets.size, percent), 0), sets.size)
     shared = near & (rank[order] > 1)  # a count of one: no other line has the token
@@ -110,8 +115,22 @@ def sketches(sets: LineSets) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduceat(np.where(high, zero, bit), sets.begin), np.bitwise_xor.reduceat(np.where(high, bit, zero), sets.begin)
 
 
+def wide_sketches(sets: LineSets, lines: np.ndarray) -> np.ndarray:
+    """64 * WIDE_WORDS parity bits of each of some ``lines``."""
+    out = np.zeros(len(lines), dtype=WIDE)
+    out["sig"] = sets.sig[lines]
+    for row, k in zip(out, lines.tolist()):
+        token = sets.token[sets.begin[k] : sets.begin[k] + sets.size[k]]
+        odd = np.bincount((token >> np.uint64(9)).astype(np.int64) % (64 * WIDE_WORDS), minlength=64 * WIDE_WORDS) & 1
+        row["bits"] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
+
+
 def postings(docs: DataFrame, held, buckets: int, percent: int) -> DataFrame:
-    """(bucket, packed POSTING records); equal lines of a slice count once, at their first place."""
+    """(bucket, packed POSTING records, WIDE records of their long lines).
+
+    Equal lines of a slice count once, at their first place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,34 +151,42 @@ def postings(docs: DataFrame, held, buckets: int, percent: int) -> DataFrame:
                 bucket = (mix(out["token"]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 names, begin = np.unique(bucket[order], return_index=True)
-                packed = [x.tobytes() for x in np.split(out[order], begin[1:])] if len(names) else []
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
-
-    return docs.select("id", "text").mapInArrow(run, "bucket long, packed binary")
-
-
-def matching(rows: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs (a earlier or later than b) of one column pass all filters, and their sketch distance."""
+                packed, wide = [], []
+                for at, to in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+                    packed.append(out[order[at:to]].tobytes())
+                    long = np.unique(number[order[at:to]])
+                    wide.append(wide_sketches(sets, long[sets.size[long] > LONG]).tobytes())
+                arrays = [pa.array(names, pa.int64()), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "packed", "wide"])
+
+    return docs.select("id", "text").mapInArrow(run, "bucket long, packed binary, wide binary")
+
+
+def matching(rows: np.ndarray, wide: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Pairs (a, b) of one column that pass all filters, and their sketch distance."""
+    n, m = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
+    good = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    a, b, n, m = a[good], b[good], n[good], m[good]
     x, y = rows[a], rows[b]
-    n, m, at, to = x["n"].astype(np.int64), y["n"].astype(np.int64), x["pos"], y["pos"]
+    at, to, total = x["pos"], y["pos"], n + m
     small = np.where(n <= m, at, to)
-    total = n + m
     distance = np.bitwise_count(x["s0"] ^ y["s0"]).astype(np.int64) + np.bitwise_count(x["s1"] ^ y["s1"])
-    good = (distance * (100 + percent) <= (100 - percent) * total) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    good = distance * (100 + percent) <= (100 - percent) * total
     good &= (small < index_length(np.minimum(n, m), percent)) & ((1 + np.minimum(n - at - 1, m - to - 1)) * (100 + percent) >= percent * total)
-    return good, distance
+    long = np.flatnonzero(good & (np.minimum(n, m) > LONG))
+    if len(long):
+        one, two = (np.searchsorted(wide["sig"], side["sig"][long]) for side in (x, y))
+        distance[long] = np.bitwise_count(wide["bits"][one] ^ wide["bits"][two]).sum(axis=1)
+        good[long] = distance[long] * (100 + percent) <= (100 - percent) * total[long]
+    return a[good], b[good], distance[good]
 
 
-def column_pairs(rows: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def column_pairs(rows: np.ndarray, wide: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Passing pairs (later, earlier, distance) of ``rows`` sorted by (token, place), some columns at a time."""
     new = np.append(True, rows["token"][1:] != rows["token"][:-1])
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(rows)))
 
-    def passing(later, earlier):
-        good, distance = matching(rows, later, earlier, percent)
-        return later[good], earlier[good], distance[good]
-
     rank = np.arange(len(rows)) - np.repeat(begin, size)
     ahead = np.where(np.repeat(size, size) <= SMALL_COLUMN, rank, 0)
     steps = np.cumsum(ahead)
@@ -168,28 +195,38 @@ def column_pairs(rows: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, n
         end = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
         own = np.arange(at, min(end, len(rows)))
         later = np.repeat(own, ahead[own])
-        yield passing(later, ragged(own - rank[own], ahead[own]))
+        yield matching(rows, wide, later, ragged(own - rank[own], ahead[own]), percent)
         at = end
     for b, m in zip(begin[size > SMALL_COLUMN].tolist(), size[size > SMALL_COLUMN].tolist()):
         strip = max(1, PAIRS_AT_ONCE // m)
         for top in range(0, m, strip):
             own = np.arange(b + top, b + min(m, top + strip))
-            yield passing(np.repeat(own, own - b), ragged(np.full(len(own), b), own - b))
+            yield matching(rows, wide, np.repeat(own, own - b), ragged(np.full(len(own), b), own - b), percent)
 
 
 def candidates(packed: DataFrame, percent: int, nearest: int) -> DataFrame:
     """Of each line and bucket, the ``nearest`` earlier partners (x, y, distance) and how many more there are."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in batches for b in batch.column(batch.schema.get_field_index("packed")).to_pylist()]
-        rows = np.frombuffer(b"".join(blobs), dtype=POSTING)
-        del blobs
+        blobs, wides = [], []
+        for batch in batches:
+            blobs += batch.column(batch.schema.get_field_index("packed")).to_pylist()
+            wides += batch.column(batch.schema.get_field_index("wide")).to_pylist()
+        rows, wide = np.frombuffer(b"".join(blobs), dtype=POSTING), np.frombuffer(b"".join(wides), dtype=WIDE)
+        del blobs, wides
+        wide = wide[np.unique(wide["sig"], return_index=True)[1]]
+        order = np.argsort(rows["token"])
+        token = rows["token"][order]
+        met = np.zeros(len(order), dtype=bool)
+        met[1:] = token[1:] == token[:-1]
+        met[:-1] |= met[1:]
+        rows = rows[order[met]]  # columns of one line are done
         rows = rows[np.lexsort((rows["line"], rows["doc"], rows["sig"], rows["token"]))]
         keep = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1]))[: len(rows)]
         rows = rows[keep]
         rows = rows[np.lexsort((rows["sig"], rows["line"], rows["doc"], rows["token"]))]
         kept: list[tuple] = []
-        for later, earlier, distance in column_pairs(rows, percent):
+        for later, earlier, distance in column_pairs(rows, wide, percent):
             if len(later):
                 kept.append(_nearest(rows["sig"][later], rows["sig"][earlier], distance, np.zeros(len(later), np.int64), nearest))
         if kept:

@@ -62,6 +62,7 @@ def test_decisions_equal_brute_force(spark, seed, options):
 def test_unsettled_lines_are_joined_with_all_partners(spark, monkeypatch):
     """With a sketch that tells nothing apart, the nearest partners are often wrong ones."""
     monkeypatch.setattr(L, "sketches", lambda sets: (np.zeros(len(sets.begin), np.uint64),) * 2)
+    monkeypatch.setattr(L, "LONG", 1 << 30)
     rows = corpus(8, 90)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.removed for r in L.line_decisions(df, nearest=1).collect()}
@@ -95,3 +96,17 @@ def test_prefix_lengths_leave_no_pair_out():
                 need = -(-percent * (n + m) // (100 + percent))
                 assert L.index_length(m, percent) >= m - need + 1
                 assert L.probe_length(n, percent) >= n - need + 1
+
+
+def test_long_lines(spark):
+    rng = random.Random(6)
+    base = [f"t{rng.randrange(4000)}" for _ in range(420)]
+    rows = []
+    for doc in range(14):
+        line = list(base) if doc % 2 else [f"u{rng.randrange(3000)}" for _ in range(400)]
+        for _ in range(rng.choice([0, 10, 30, 60, 90])):
+            line[rng.randrange(len(line))] = f"v{rng.randrange(9000)}"
+        rows.append((doc, " ".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in L.line_decisions(df).collect()}
+    assert [got[d] for d, _ in rows] == brute(rows)
