@@ -6,6 +6,8 @@ own), so a task's memory follows its longest text and not its partition.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,35 +77,45 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = end
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse.
+
+    They live once in a worker process: a task brings its own copy of this module, and
+    tables held there would pile up until Python collects its garbage.
+    """
+    held = sys.modules.setdefault("_rolling_powers", types.ModuleType("_rolling_powers")).__dict__
+    if len(held.get("powers", ((), ()))[0]) < n:
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(n, base, dtype=np.uint64)
+            out[0] = 1
+            both.append(np.multiply.accumulate(out))
+        if n > 4 * SLICE_BYTES:  # one very long text: not kept
+            return both[0], both[1]
+        held["powers"] = (both[0], both[1])
+    return held["powers"]
+
+
+_CODES = np.random.default_rng(_SEED).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 class Rolling:
     """Fingerprints of any stretch of a slice, from prefix sums modulo 2**64."""
 
-    _powers = np.ones(1, dtype=np.uint64)
-    _inverse = np.ones(1, dtype=np.uint64)
-    _codes = np.random.default_rng(_SEED).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
     def __init__(self, data: np.ndarray):
         n = len(data)
-        if len(Rolling._powers) <= n:
-            Rolling._powers = self._table(_BASE, n + 1)
-            Rolling._inverse = self._table(pow(_BASE, -1, 1 << 64), n + 1)
+        powers, self.inverse = _powers(n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(Rolling._codes[data] * Rolling._powers[:n], out=self.sums[1:])
-
-    @staticmethod
-    def _table(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+        np.cumsum(_CODES[data] * powers[:n], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * Rolling._inverse[starts]
+        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def raw(self, length: int) -> np.ndarray:
         """Of every stretch of ``length`` bytes, not mixed."""
         n = len(self.sums) - length
-        return (self.sums[length:] - self.sums[:n]) * Rolling._inverse[:n]
+        return (self.sums[length:] - self.sums[:n]) * self.inverse[:n]
 
 
 @dataclass(frozen=True)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .arrays import Rolling, Slice, mix, ragged, slices
+from .arrays import Rolling, Slice, mix, slices
 from .registry import register
 from .tables import table
 
@@ -42,8 +42,8 @@ COLUMN = 16
 RANKED = 384  # LENGTH less one column
 REACH = LENGTH - GRAM  # starts before a sample that it may stand for
 WIDTH = REACH + LENGTH
-CHUNK = 1 << 20
-BUCKET_ROWS = 4000
+CHUNK = 1 << 18
+BUCKET_ROWS = 2000
 HOT = 50_000
 NO_ID = -(1 << 63)
 
@@ -193,13 +193,11 @@ def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
         group, klass, left, skip = group.take(keep), klass[keep], left[keep], skip[keep].astype(np.int64)
         if not len(keep):
             return pa.table({"owner": pa.array([], pa.string()), "first": pa.array([], pa.int64()), "last": pa.array([], pa.int64())})
-        body = group["body"].combine_chunks()
-        body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
-        body = body.cast(pa.large_binary())
-        places = np.frombuffer(body.buffers()[1], dtype=np.int64)[body.offset : body.offset + len(body) + 1]
-        data, lengths = np.frombuffer(body.buffers()[2], dtype=np.uint8), np.diff(places)
-        matrix = np.zeros((len(keep), WIDTH), dtype=np.uint8)
-        matrix.ravel()[ragged(np.arange(len(keep)) * WIDTH + skip, lengths)] = data[places[0] : places[-1]]
+        matrix, lengths = np.zeros((len(keep), WIDTH), dtype=np.uint8), np.zeros(len(keep), dtype=np.int64)
+        for k, body in enumerate(group["body"]):
+            held = np.frombuffer(body.as_buffer(), dtype=np.uint8)
+            lengths[k] = len(held)
+            matrix[k, skip[k] : skip[k] + len(held)] = held
         found = repeated_starts(klass, matrix, skip, skip + lengths - LENGTH)
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
