@@ -86,16 +86,20 @@ def rarity(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in slices(batch.column(0)):
                 words, _ = words_of(part, BLANK_WORDS)
-                np.add.at(slots, (words.code >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+                np.add.at(slots, slot_of(words.code), 1)
         return slots
 
     found = summed(docs.select("text"), count, 1 << SLOT_BITS)
     return np.minimum(found, np.iinfo(np.int32).max).astype(np.int32)
 
 
+def slot_of(code: np.ndarray) -> np.ndarray:
+    return (code >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def prefixes(sets: LineSets, slots: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """Line, token and position of the entries in each line's probing prefix, rarest first."""
-    rank = slots[(sets.token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    rank = slots[slot_of(sets.token)]
     # Entries of a line come in token order, and the sort is stable: ties of the key keep that order.
     key = np.minimum(rank, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | sets.token >> np.uint64(24)
     order = np.lexsort((key, sets.number))
@@ -126,10 +130,11 @@ def wide_sketches(sets: LineSets, lines: np.ndarray) -> np.ndarray:
     return out
 
 
-def postings(docs: DataFrame, held, buckets: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, held, buckets: int, percent: int, marked=None) -> DataFrame:
     """(bucket, packed POSTING records, WIDE records of their long lines).
 
-    Equal lines of a slice count once, at their first place.
+    Equal lines of a slice count once, at their first place. ``marked`` is a broadcast table
+    of slots: only tokens of marked slots are sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +149,8 @@ def postings(docs: DataFrame, held, buckets: int, percent: int) -> DataFrame:
                 number, token, pos = prefixes(sets, held.value, percent)
                 s0, s1 = sketches(sets)
                 use = keep[number]
+                if marked is not None:
+                    use &= marked.value[slot_of(token)]
                 number = number[use]
                 out = np.empty(len(number), dtype=POSTING)
                 out["token"], out["pos"], out["sig"], out["n"] = token[use], pos[use], sets.sig[number], sets.size[number]
@@ -151,11 +158,16 @@ def postings(docs: DataFrame, held, buckets: int, percent: int) -> DataFrame:
                 bucket = (mix(out["token"]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 names, begin = np.unique(bucket[order], return_index=True)
-                packed, wide = [], []
-                for at, to in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
-                    packed.append(out[order[at:to]].tobytes())
-                    long = np.unique(number[order[at:to]])
-                    wide.append(wide_sketches(sets, long[sets.size[long] > LONG]).tobytes())
+                out, bounds = out[order], [*begin.tolist(), len(order)]
+                packed = [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+                wide = [b""] * len(packed)
+                long = np.flatnonzero(sets.size > LONG)
+                if len(long):
+                    bits, line = wide_sketches(sets, long), number[order]
+                    at = np.flatnonzero(sets.size[line] > LONG)
+                    key = np.unique(bucket[order[at]] << 32 | np.searchsorted(long, line[at]))
+                    ends = np.searchsorted(key >> 32, [*names.tolist(), buckets])
+                    wide = [bits[key[a:b] & 0xFFFFFFFF].tobytes() for a, b in zip(ends, ends[1:])]
                 arrays = [pa.array(names, pa.int64()), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "packed", "wide"])
 
@@ -204,8 +216,11 @@ def column_pairs(rows: np.ndarray, wide: np.ndarray, percent: int) -> Iterator[t
             yield matching(rows, wide, np.repeat(own, own - b), ragged(np.full(len(own), b), own - b), percent)
 
 
-def candidates(packed: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """Of each line and bucket, the ``nearest`` earlier partners (x, y, distance) and how many more there are."""
+def candidates(packed: DataFrame, percent: int, nearest: int, asking=None) -> DataFrame:
+    """Of each line and bucket, the ``nearest`` earlier partners (x, y, distance) and how many more there are.
+
+    ``asking`` is a broadcast table of slots: only lines whose sig has a marked slot ask.
+    """
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, wides = [], []
@@ -227,6 +242,9 @@ def candidates(packed: DataFrame, percent: int, nearest: int) -> DataFrame:
         rows = rows[np.lexsort((rows["sig"], rows["line"], rows["doc"], rows["token"]))]
         kept: list[tuple] = []
         for later, earlier, distance in column_pairs(rows, wide, percent):
+            if asking is not None:
+                asks = asking.value[slot_of(rows["sig"][later].view(np.uint64))]
+                later, earlier, distance = later[asks], earlier[asks], distance[asks]
             if len(later):
                 kept.append(_nearest(rows["sig"][later], rows["sig"][earlier], distance, np.zeros(len(later), np.int64), nearest))
         if kept:
@@ -316,7 +334,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = NEARES
     more = found.where("more > 0").select(F.col("x").alias("sig")).distinct().join(settled.select(F.col("x").alias("sig")), "sig", "left_anti")
     more = stage(more)
     if not more.isEmpty():
-        settled = stage(settled.union(_exhaustive(docs, held, more, classes, places, percent)))
+        settled = stage(settled.union(_all_partners(docs, held, more, tokens, places, buckets, percent)))
     firsts = classes.select(F.col("sig").alias("y"), F.col("first").alias("other"))
     near = settled.join(firsts, "y").groupBy(F.col("x").alias("sig")).agg(F.min("other").alias("near"))
     judged = lines.join(classes.select("sig", "first").join(near, "sig", "left"), "sig")
@@ -324,25 +342,29 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = NEARES
     return judged.withColumn("match", earlier).where("match is not null").select("id", "mark", "line_no", F.col("match.doc").alias("first_doc"), F.col("match.line").alias("first_line"))
 
 
-def _exhaustive(docs: DataFrame, held, more: DataFrame, classes: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """Verified earlier partners of the lines in ``more``, from all postings of their prefixes."""
+def _all_partners(docs: DataFrame, held, more: DataFrame, tokens: DataFrame, places: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Verified earlier partners of the lines in ``more`` (sig), from all columns of their prefixes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two tables of 2**SLOT_BITS marks, for these lines and for their tokens, keep every other
+    column from being sent and every other line from asking.
+    """
+    spark = docs.sparkSession
+    size = 1 << SLOT_BITS
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(2 * size, dtype=np.int64)
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=POSTING)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["token"].view(np.int64)), pa.array(rows["sig"]), pa.array(rows["n"].astype(np.int64))], names=["token", "sig", "n"])
-
-    every = postings(docs, held, 1, percent).select("packed").mapInArrow(run, "token long, sig long, n long").distinct()
-    every = stage(every)
-    x = every.join(more, "sig").select("token", F.col("sig").alias("x"), F.col("n").alias("nx"))
-    y = every.select("token", F.col("sig").alias("y"), F.col("n").alias("ny"))
-    fits = (F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    pairs = x.join(y, "token").where(fits).select("x", "y").distinct()
-    first = classes.select("sig", "first")
-    pairs = pairs.join(first.select(F.col("sig").alias("x"), F.col("first").alias("fx")), "x").join(first.select(F.col("sig").alias("y"), F.col("first").alias("fy")), "y")
-    pairs = stage(pairs.where("fy < fx").select("x", "y"))
-    ends = pairs.select(F.col("x").alias("sig")).union(pairs.select(F.col("y").alias("sig"))).distinct()
-    return verified(pairs, stage(line_tokens(docs, ends.join(places, "sig"))), percent)
+            out[size + slot_of(batch.column(0).to_numpy().view(np.uint64))] = 1
+            for row in batch.column(1):
+                out[slot_of(np.array(row.as_py(), dtype=np.int64).view(np.uint64))] = 1
+        return out
+
+    found = summed(more.join(tokens, "sig").select("sig", "tokens"), marks, 2 * size) > 0
+    marked, asking = (spark.sparkContext.broadcast(part) for part in (found[:size].copy(), found[size:].copy()))
+    every = candidates(postings(docs, held, buckets, percent, marked), percent, np.iinfo(np.int64).max, asking)
+    pairs = stage(every.join(more.select(F.col("sig").alias("x")), "x", "left_semi").select("x", "y").distinct())
+    missing = pairs.select(F.col("y").alias("sig")).distinct().join(tokens.select("sig"), "sig", "left_anti")
+    return verified(pairs, tokens.unionByName(stage(line_tokens(docs, missing.join(places, "sig")))), percent)
 
 
 def prepared(docs: DataFrame) -> DataFrame:
