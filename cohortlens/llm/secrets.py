@@ -3,8 +3,8 @@
 A worklist holds layers: first the text itself, then whatever its encoded stretches decode
 to. Percent escapes, ``\\u``/``\\x`` escapes, base64 (standard and URL-safe) and hexadecimal
 stretches are unwrapped; decoded bytes that are zlib or gzip streams are inflated. A
-layer seen before is not opened again, so cycles end, and the list runs dry when nothing
-decodes any further. Every layer is scanned with the same rules; what is found in a decoded
+layer seen before at the same place is not opened again, so cycles end, and the list runs
+dry when nothing decodes any further; equal content at another place is another layer. Every layer is scanned with the same rules; what is found in a decoded
 layer is mapped to the stretch of the text it was unwrapped from.
 """
 
@@ -15,6 +15,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 MIN_HEX_LAYER = 24
 HEX_LAYER = re.compile(r"(?:[0-9A-Fa-f]{2}){%d,}" % (MIN_HEX_LAYER // 2))
 INFLATE_STEP = 1 << 20
+Places = tuple[np.ndarray, np.ndarray]  # first and end of the stretch that each character of a layer comes from
 
 _BASE64_BYTES = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x2D, 0x2D), (0x5F, 0x5F))
 _MARKS = byte_class((0x25, 0x25), (0x5C, 0x5C), (0x3A, 0x3A), (0x3D, 0x3D))  # % \ : =
@@ -104,23 +106,35 @@ def from_escapes(run: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def whole_replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int]]] | None:
+def stretch(a: int, b: int, size: int) -> Places:
+    return np.full(size, a), np.full(size, b)
+
+
+def whole_replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, Places] | None:
     """``text`` with every match decoded in place, and where each new character comes from."""
-    out, origin, at = [], [], 0
+    out, first, end, at = [], [], [], 0
+
+    def copy(upto: int) -> None:
+        out.append(text[at:upto])
+        first.append(np.arange(at, upto))
+        end.append(np.arange(at + 1, upto + 1))
+
     for m in pattern.finditer(text):
         new = decode(m.group())
         if new is None or new == m.group():
             continue
-        origin += [(k, k + 1) for k in range(at, m.start())] + [m.span()] * len(new)
-        out += [text[at : m.start()], new]
+        copy(m.start())
+        out.append(new)
+        for side, place in zip((first, end), stretch(*m.span(), len(new))):
+            side.append(place)
         at = m.end()
     if not at:
         return None
-    origin += [(k, k + 1) for k in range(at, len(text))]
-    return "".join([*out, text[at:]]), origin
+    copy(len(text))
+    return "".join(out), (np.concatenate(first), np.concatenate(end))
 
 
-def layers_of(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+def layers_of(text: str) -> Iterator[tuple[str, str, Places]]:
     """(how, decoded text, origin of each of its characters) of everything encoded in ``text``."""
     percent = lambda run: bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
     for how, pattern, decode, mark in (("url", PERCENT, percent, "%"), ("unicode", ESCAPE, from_escapes, "\\")):
@@ -128,30 +142,36 @@ def layers_of(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             yield how, *found
     for m in BASE64.finditer(text):
         if (new := from_base64(m.group())) is not None:
-            yield "base64", new, [m.span()] * len(new)
+            yield "base64", new, stretch(*m.span(), len(new))
     for m in HEX_LAYER.finditer(text):
         if (new := text_of(bytes.fromhex(m.group()))) is not None:
-            yield "hex", new, [m.span()] * len(new)
+            yield "hex", new, stretch(*m.span(), len(new))
 
 
 def deep_scan(text: str) -> list[tuple[str, int, int]]:
-    """Spans added by decoded layers: ``kind@how>how`` and the stretch of ``text`` they sit in."""
+    """Spans added by decoded layers: ``kind@how>how`` and the stretch of ``text`` they sit in.
+
+    Of several ways to the same content at the same place a shortest one is named.
+    """
     base = {(kind, a, b) for kind, a, b in scan(text)}
-    seen = {hashlib.sha256(text.encode()).digest()}
-    work, out = [((), text, None)], set()
+    seen, out = set(), set()
+    work: deque[tuple[tuple[str, ...], str, Places | None]] = deque([((), text, None)])
     while work:
-        path, layer, origin = work.pop()
+        path, layer, origin = work.popleft()
         if path:
             for kind, a, b in scan(layer):
-                span = (origin[a][0], origin[b - 1][1])
+                span = (int(origin[0][a]), int(origin[1][b - 1]))
                 if (kind, *span) not in base:
                     out.add((f"{kind}@{'>'.join(path)}", *span))
-        for how, new, places in layers_of(layer):
-            digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest()
-            if digest in seen:
-                continue
-            seen.add(digest)
-            work.append(((*path, how), new, places if origin is None else [(origin[a][0], origin[b - 1][1]) for a, b in places]))
+        for how, new, (first, end) in layers_of(layer):
+            if origin is not None:
+                first, end = origin[0][first], origin[1][end - 1]
+            digest = hashlib.sha256(new.encode("utf-8", "surrogatepass"))
+            digest.update(first.tobytes())
+            digest.update(end.tobytes())
+            if digest.digest() not in seen:
+                seen.add(digest.digest())
+                work.append(((*path, how), new, (first, end)))
     return ordered(list(out))
 
 

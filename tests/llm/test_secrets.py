@@ -62,6 +62,36 @@ def test_cycles_and_bad_input_end():
     assert kinds(b64(b64(b64(SECRET)))) == {"assign@base64>base64>base64"}
 
 
+def brute(text):
+    """(kind, start, end) over every path of decoded layers, without any memory of other paths."""
+    base, out = set(s.scan(text)), set()
+
+    def walk(layer, places, path):
+        if path:
+            out.update((k, places[a][0], places[b - 1][1]) for k, a, b in s.scan(layer))
+        for _, new, (first, end) in s.layers_of(layer):
+            if new not in path:
+                walk(new, [(places[a][0], places[b - 1][1]) for a, b in zip(first.tolist(), end.tolist())], (*path, new))
+
+    walk(text, [(k, k + 1) for k in range(len(text))], ())
+    return out - base
+
+
+def test_equal_content_at_several_places():
+    blob = b64(SECRET)
+    text = f"one {blob} two {blob} three {b64('x ' + blob + ' y')} four {b64('z ' + KEY).encode().hex()} %41 {b64('z ' + KEY)}"
+    found = s.deep_scan(text)
+    at = [m.start() for m in re.finditer(re.escape(blob), text)]
+    assert len(at) == 2 and [(a, b) for k, a, b in found if k == "assign@base64"] == [(a, a + len(blob)) for a in at]
+    assert {k for k, _, _ in found} == {"assign@base64", "assign@base64>base64", "access@hex>base64", "access@base64"}
+
+    rng = random.Random(9)
+    pool = [SECRET, KEY, blob, b64(KEY + " key"), b64(blob), quote(blob + " " + SECRET), (SECRET + " ok").encode().hex(), "%41", "\\u0041", "word"]
+    for _ in range(60):
+        text = " ".join(rng.choice(pool) for _ in range(8))
+        assert {(k.partition("@")[0], a, b) for k, a, b in s.deep_scan(text)} == brute(text), text
+
+
 def test_documents(spark):
     rng = random.Random(4)
     pool = [SECRET, KEY, "f" * 30, b64(SECRET), quote(SECRET), "word", "über", "a=b", "%41", "\n", b64(gzip.compress(KEY.encode())), "plain text of some length without marks"]
