@@ -75,6 +75,20 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in p.ngram_jaccard_join(spark, df, FOLDER).collect()) == [2, 8, 9]
 
 
+def test_near_copies_with_spread_changes(spark):
+    """Six spread changes in 300 words: 80 percent of the five-word shingles are shared, 90 of the three-word ones are not."""
+    words = [f"w{k}" for k in range(300)]
+    one = " ".join("x" if k % 50 == 25 else w for k, w in enumerate(words))
+    far = " ".join("y" if k % 30 == 15 else w for k, w in enumerate(words))
+    a, b, c = (test_jaccard.shingles(t, 5) for t in (" ".join(words), one, far))
+    assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c) and len(b & c) < 0.8 * len(b | c)
+    a, b = (test_jaccard.shingles(t) for t in (" ".join(words), one))
+    assert len(a & b) < 0.9 * len(a | b)
+    rows = [(1, " ".join(words), "en", "a", 1), (2, one, "en", "a", 1), (3, far, "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.ngram_jaccard_join(spark, df, FOLDER).collect()) == [1, 3]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, apply in p.STAGES:
