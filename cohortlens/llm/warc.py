@@ -32,6 +32,9 @@ BLOCKS = set("address article aside blockquote br dd div dl dt fieldset figcapti
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 CLOSERS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in (*SILENT, "title", "textarea")}
+#: Where a noscript element without an end tag must have ended.
+UNCLOSED = re.compile(r"<(?:noscript|body)(?=[\s/>])[^>]*>|</(?:head|body)\s*>", re.IGNORECASE)
+IN_HEAD = set("head title base basefont bgsound link meta style script noscript noframes template".split())
 BLANKS = re.compile(r"[ \t\r\f\v ]+")
 DERIVED = ("metadata", "conversion")
 
@@ -118,32 +121,52 @@ def charset_of(http: dict[str, str], body: bytes) -> str:
     return name
 
 
+def content_end(page: str, name: str, at: int, in_head: bool) -> tuple[int, int]:
+    """Where the content from ``at`` of an element without markup ends, and where the page goes on.
+
+    An unclosed title ends at the next tag, an unclosed noscript at once, so that what follows is
+    read as the page; others end with the head they are in, else with the page.
+    """
+    end = CLOSERS[name].search(page, at)
+    stop = CLOSERS["head"].search(page, at) if in_head else None
+    if name == "noscript":
+        stop = UNCLOSED.search(page, at)
+        if not end or stop and stop.start() < end.start():
+            return at, at
+    elif stop and (not end or stop.start() < end.start()) or name == "title" and not end:
+        cut = page.find("<", at) if name == "title" else stop.start()
+        cut = len(page) if cut < 0 else cut
+        return cut, cut
+    return (end.start(), end.end()) if end else (len(page), len(page))
+
+
 def read_page(page: str) -> dict:
-    """Text, title, description, language and links of an HTML page, in one pass over its tags."""
+    """Text, title, description, language and links of an HTML page, in one pass over its tags.
+
+    A head holds no text of its own: it ends at its end tag, at the first tag that can't be inside
+    it, or at text.
+    """
     out, links = [], []
     found = {"title": "", "description": "", "lang": ""}
-    at = 0
+    at, in_head = 0, False
     for m in iter(lambda: TAG.search(page, at), None):
-        out.append(html.unescape(page[at : m.start()]).replace("\n", " "))
+        between = page[at : m.start()]
+        out.append(html.unescape(between).replace("\n", " "))
         at = m.end()
         name = (m.group(1) or "").lower()
         if not name:
             continue
         opening = m.group()[1] != "/"
         attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m.group(2))} if opening and m.group(2) else {}
-        if opening and name in CLOSERS and not m.group(2).endswith("/"):
-            end = CLOSERS[name].search(page, at)
-            content = page[at : end.start() if end else len(page)]
+        in_head = (in_head or name == "head" and opening) and name in IN_HEAD and (opening or name != "head") and (name == "head" or not between.strip())
+        if opening and name in CLOSERS and name != "head" and not m.group(2).endswith("/"):
+            end, on = content_end(page, name, at, in_head)
+            content = page[at:end]
             if name == "title" and not found["title"]:
                 found["title"] = " ".join(html.unescape(content).split())
-            if name == "head":
-                inner = read_page(content)
-                links += inner["links"]
-                for key in found:
-                    found[key] = found[key] or inner[key]
             if name == "textarea":
                 out.append(html.unescape(content))
-            at = end.end() if end else len(page)
+            at = on
         elif name in BLOCKS:
             out.append("\n")
         if name == "html" and "lang" in attributes:

@@ -45,6 +45,27 @@ def test_page():
         w.read_page(broken)
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<head><title>T</title><body><p>text", "text"),
+    ("<html><head><meta charset=utf-8><title>T</title><link rel=x><p>one<p>two <a href=/l>three</a>", "one\ntwo three"),
+    ("<head><title>T</title><script>var a;</script>\n plain <b>text</b>", "plain text"),
+    ("<head><title>T</title><noscript><link rel=x><body>text", "text"),
+    ("<head><title>T</title><noscript><link rel=x></head><body>text<noscript>no</noscript> on", "text on"),
+    ("<head><title>T</head><body>text", "text"),
+    ("<head><title>T</title><style>p{}</head><body>text", "text"),
+    ("<title>T<body>text", "text"),
+    ("<head><title>T</title></head><body>a<noscript><img src=x>b<p>c", "ab\nc"),
+    ("<head><title>T</title></head><body>a<noscript><p>no</p></noscript>b", "ab"),
+    ("<head><title>T</title><noscript><style>x</style></noscript><p>a", "a"),
+])
+def test_omitted_end_tags(page, text):
+    read = w.read_page(page)
+    assert (read["title"], read["text"]) == ("T", text)
+    assert read["links"] == (["/l"] if "/l" in page else [])
+    record = w.response_record("http://e.org", "2024-05-05T00:00:00Z", page.encode(), "1")
+    assert w.parse_record(w.derive(record)[1][1])[1].decode() == text
+
+
 def test_text_equals_the_standard_parser(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     for row in pages:
