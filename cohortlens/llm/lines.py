@@ -10,8 +10,9 @@ exact join, and the rarest tokens first make it a cheap one. Lines that match sh
 within the prefixes that follow from their sizes. The postings of the prefixes meet by
 token; length, position and a parity sketch (each differing token flips one bit, so
 the bits that differ bound the tokens that do) discard pairs, and what is left is verified
-token by token. A line takes its nearest earlier partners from a column; lines that
-these don't settle are joined with all of theirs, so a dense column never gives all pairs.
+token by token. Where only removals are asked for, a line takes its nearest earlier partners
+from a column, and lines that these don't settle are joined with all of theirs, so a dense
+column never gives all pairs. Classes and link counts need every pair, and verify every pair.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .arrays import BLANK_WORDS, Slice, mix, ragged, slices, words_of
 from .counts import summed
+from .graph import components
 from .registry import register
 from .tables import table
 
@@ -33,6 +35,7 @@ PERCENT = 80
 SLOT_BITS = 22  # slots of the rarity table: 16 MB of counts at any corpus size
 BUCKET_POSTINGS = 100_000
 NEAREST = 3
+ALL = np.iinfo(np.int64).max
 PAIRS_AT_ONCE = 1 << 18
 LONG = 160  # lines of more tokens also carry a wide sketch; 128 bits would tell few of them apart
 WIDE_WORDS = 8
@@ -247,9 +250,15 @@ def candidates(packed: DataFrame, percent: int, nearest: int, asking=None) -> Da
                 later, earlier, distance = later[asks], earlier[asks], distance[asks]
             if len(later):
                 kept.append(_nearest(rows["sig"][later], rows["sig"][earlier], distance, np.zeros(len(later), np.int64), nearest))
+            if nearest == ALL and sum(len(c[0]) for c in kept) > PAIRS_AT_ONCE:
+                yield packed_up(kept)  # all are kept: nothing to hold back, a pair of two columns may come twice
+                kept = []
         if kept:
-            x, y, d, more = _nearest(*(np.concatenate(c) for c in zip(*kept)), nearest)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, y, d, more)], names=["x", "y", "distance", "more"])
+            yield packed_up(kept)
+
+    def packed_up(kept: list[tuple]) -> pa.RecordBatch:
+        columns = _nearest(*(np.concatenate(c) for c in zip(*kept)), nearest)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["x", "y", "distance", "more"])
 
     return packed.groupBy("bucket").applyInArrow(run, "x long, y long, distance long, more long")
 
@@ -311,35 +320,84 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("x", "y")
 
 
+class Found:
+    """Lines, their classes by equal sets, and the candidate pairs of different ones, all staged."""
+
+    def __init__(self, docs: DataFrame, percent: int, nearest: int):
+        self.docs, self.percent = docs, percent
+        self.lines = stage(all_lines(docs))
+        self.classes = stage(self.lines.groupBy("sig").agg(F.min(place()).alias("first"), F.max("n").alias("n")))
+        self.held = docs.sparkSession.sparkContext.broadcast(rarity(docs))
+        total = self.classes.where("n > 3").agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 1
+        self.buckets = int(-(-total // BUCKET_POSTINGS))
+        self.found = stage(candidates(postings(docs, self.held, self.buckets, percent), percent, nearest))
+        self.pairs = stage(self.found.groupBy("x", "y").agg(F.min("distance").alias("distance")))
+        ends = self.pairs.select(F.col("x").alias("sig")).union(self.pairs.select(F.col("y").alias("sig"))).distinct()
+        self.places = self.classes.select("sig", F.col("first.doc").alias("id"), F.col("first.line").alias("line_no"))
+        self.tokens = stage(line_tokens(docs, ends.join(self.places, "sig")))
+
+    def partners(self, more: DataFrame) -> DataFrame:
+        return _all_partners(self.docs, self.held, more, self.tokens, self.places, self.buckets, self.percent)
+
+    def removed(self, settled: DataFrame) -> DataFrame:
+        """Every line that goes, by verified pairs (x, y) that hold an earlier y for each x that has one."""
+        firsts = self.classes.select(F.col("sig").alias("y"), F.col("first").alias("other"))
+        near = settled.join(firsts, "y").groupBy(F.col("x").alias("sig")).agg(F.min("other").alias("near"))
+        judged = self.lines.join(self.classes.select("sig", "first").join(near, "sig", "left"), "sig")
+        earlier = F.least(F.when(F.col("first") < place(), F.col("first")), F.col("near"))
+        return judged.withColumn("match", earlier).where("match is not null").select("id", "mark", "line_no", F.col("match.doc").alias("first_doc"), F.col("match.line").alias("first_line"))
+
+
+def place() -> F.Column:
+    return F.struct(F.col("id").alias("doc"), F.col("line_no").alias("line"))
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = NEAREST) -> DataFrame:
     """Every line that goes: id, mark, line_no and the place (first_doc, first_line) of an earlier match.
 
     ``docs`` has id (never null), mark, text (never null). Lines without a word stay.
     """
-    lines = stage(all_lines(docs))
-    place = F.struct(F.col("id").alias("doc"), F.col("line_no").alias("line"))
-    classes = stage(lines.groupBy("sig").agg(F.min(place).alias("first"), F.max("n").alias("n")))
-    held = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    total = classes.where("n > 3").agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 1
-    buckets = int(-(-total // BUCKET_POSTINGS))
-    found = stage(candidates(postings(docs, held, buckets, percent), percent, nearest))
-    pairs = stage(found.groupBy("x", "y").agg(F.min("distance").alias("distance")))
-    ends = pairs.select(F.col("x").alias("sig")).union(pairs.select(F.col("y").alias("sig"))).distinct()
-    places = classes.select("sig", F.col("first.doc").alias("id"), F.col("first.line").alias("line_no"))
-    tokens = stage(line_tokens(docs, ends.join(places, "sig")))
-    best = pairs.groupBy("x").agg(F.min_by("y", F.struct("distance", "y")).alias("y"))
-    settled = stage(verified(best, tokens, percent))
-    others = pairs.join(best, ["x", "y"], "left_anti").join(settled, "x", "left_anti").select("x", "y")
-    settled = stage(settled.union(verified(others, tokens, percent)))
-    more = found.where("more > 0").select(F.col("x").alias("sig")).distinct().join(settled.select(F.col("x").alias("sig")), "sig", "left_anti")
+    f = Found(docs, percent, nearest)
+    best = f.pairs.groupBy("x").agg(F.min_by("y", F.struct("distance", "y")).alias("y"))
+    settled = stage(verified(best, f.tokens, percent))
+    others = f.pairs.join(best, ["x", "y"], "left_anti").join(settled, "x", "left_anti").select("x", "y")
+    settled = stage(settled.union(verified(others, f.tokens, percent)))
+    more = f.found.where("more > 0").select(F.col("x").alias("sig")).distinct().join(settled.select(F.col("x").alias("sig")), "sig", "left_anti")
     more = stage(more)
     if not more.isEmpty():
-        settled = stage(settled.union(_all_partners(docs, held, more, tokens, places, buckets, percent)))
-    firsts = classes.select(F.col("sig").alias("y"), F.col("first").alias("other"))
-    near = settled.join(firsts, "y").groupBy(F.col("x").alias("sig")).agg(F.min("other").alias("near"))
-    judged = lines.join(classes.select("sig", "first").join(near, "sig", "left"), "sig")
-    earlier = F.least(F.when(F.col("first") < place, F.col("first")), F.col("near"))
-    return judged.withColumn("match", earlier).where("match is not null").select("id", "mark", "line_no", F.col("match.doc").alias("first_doc"), F.col("match.line").alias("first_line"))
+        settled = stage(settled.union(f.partners(more)))
+    return f.removed(settled)
+
+
+def linked_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = ALL) -> tuple[DataFrame, DataFrame]:
+    """The lines that go, as ``removed_lines``, and (id, mark, class_id, n_links) of each document.
+
+    Every pair of different lines is verified. Documents are of one class when a chain of equal
+    or matching lines leads from one to the other; a class is named by its least id. ``n_links``
+    counts, for each different line of a document, the different lines of the corpus that match
+    it. ``nearest`` bounds what a column gives at once: lines with more partners get all
+    theirs in a second pass, with the same result.
+    """
+    f = Found(docs, percent, nearest)
+    links = verified(f.pairs.select("x", "y"), f.tokens, percent)
+    more = stage(f.found.where("more > 0").select(F.col("x").alias("sig")).distinct())
+    if not more.isEmpty():
+        links = links.union(f.partners(more)).distinct()
+    links = stage(links)
+    ends = links.select(F.col("x").alias("sig")).unionAll(links.select(F.col("y").alias("sig")))
+    degrees = ends.groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
+    label = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "sig")
+    classes = f.classes.select("sig").join(label, "sig", "left").join(degrees, "sig", "left")
+    rows = f.lines.select("id", "mark", "sig").distinct().join(classes, "sig")
+    node = F.xxhash64("id", "mark").alias("node")
+    rows = stage(rows.select("id", "mark", node, F.coalesce("label", "sig").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    # Documents of a line class hang on one of them: a spanning star, never their pairs.
+    star = rows.groupBy("label").agg(F.min("node").alias("b"))
+    chains = components(rows.select("node", "label").distinct().join(star, "label").select(F.col("node").alias("a"), "b"))
+    counts = rows.groupBy("id", "mark", "node").agg(F.sum("links").alias("n_links"))
+    held = stage(counts.join(chains, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    named = held.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("class_id"))
+    return f.removed(links), held.join(named, "label").select("id", "mark", "class_id", "n_links")
 
 
 def _all_partners(docs: DataFrame, held, more: DataFrame, tokens: DataFrame, places: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -361,7 +419,7 @@ def _all_partners(docs: DataFrame, held, more: DataFrame, tokens: DataFrame, pla
 
     found = summed(more.join(tokens, "sig").select("sig", "tokens"), marks, 2 * size) > 0
     marked, asking = (spark.sparkContext.broadcast(part) for part in (found[:size].copy(), found[size:].copy()))
-    every = candidates(postings(docs, held, buckets, percent, marked), percent, np.iinfo(np.int64).max, asking)
+    every = candidates(postings(docs, held, buckets, percent, marked), percent, ALL, asking)
     pairs = stage(every.join(more.select(F.col("sig").alias("x")), "x", "left_semi").select("x", "y").distinct())
     missing = pairs.select(F.col("y").alias("sig")).distinct().join(tokens.select("sig"), "sig", "left_anti")
     return verified(pairs, tokens.unionByName(stage(line_tokens(docs, missing.join(places, "sig")))), percent)
@@ -373,26 +431,32 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def line_decisions(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers), matched (doc_ids of earlier matches) of each row.
+    """doc_id, n_lines, n_removed, removed (line numbers), matched, class_id and n_links of each row.
 
+    ``matched`` holds the document of the earliest match of each removed line; class_id and
+    n_links (see ``linked_lines``) cover all matches. A class of rows without an id only has none.
     A null or empty text is one line without a word. Rows without an id come before all
     others and keep a null id. A row repeated with its id is the same document: neither copy
     is earlier. Rows that repeat an id with another text are judged by their own lines. Other
     columns are left out; an empty table gives an empty result.
     """
     rows = prepared(docs)
-    gone = removed_lines(rows, **options).distinct().groupBy("id", "mark").agg(
+    removed, linked = linked_lines(rows, **options)
+    gone = removed.distinct().groupBy("id", "mark").agg(
         F.array_sort(F.collect_set("line_no")).alias("removed"),
         F.array_sort(F.collect_set(F.when(F.col("first_doc") != NO_ID, F.col("first_doc")))).alias("matched"),
     )
     sizes = rows.select("id", "mark", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     none = F.array().cast("array<bigint>")
-    return sizes.join(gone, ["id", "mark"], "left").select(
+    given = F.coalesce("class_id", "id")
+    return sizes.join(gone, ["id", "mark"], "left").join(linked, ["id", "mark"], "left").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_lines",
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"),
         F.coalesce("matched", none).alias("matched"),
+        F.when(given != NO_ID, given).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
@@ -415,6 +479,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines",
         "n_removed",
         F.sha2(F.array_join("removed", ","), 256).alias("removed_sha256"),
-        F.coalesce(F.array_min("matched"), F.col("doc_id")).alias("class_id"),
+        "class_id",
+        "n_links",
         "matched",
     )

@@ -59,6 +59,43 @@ def test_decisions_equal_brute_force(spark, seed, options):
         assert (cut[doc].text or "") == left and cut[doc].sig == 1
 
 
+def brute_classes(rows, percent=80):
+    """(class_id, n_links) of each row; rows are (doc_id, text) with different ids."""
+    own = {doc: {words(line) for line in (text or "").split("\n")} - {frozenset()} for doc, text in rows}
+    every = set().union(*own.values())
+    linked = {a: {b for b in every if 100 * len(a & b) >= percent * len(a | b)} for a in every}
+    name = {doc: doc for doc in own}
+    changed = True
+    while changed:
+        changed = False
+        for a in own:
+            near = set().union(*(linked[x] for x in own[a]))
+            for b in own:
+                if name[a] != name[b] and near & own[b]:
+                    name[a] = name[b] = min(name[a], name[b])
+                    changed = True
+    return {doc: (name[doc], sum(len(linked[x]) - 1 for x in own[doc])) for doc in own}
+
+
+def test_classes_and_links(spark):
+    base = [f"k{k}" for k in range(40)]
+    near = lambda *at: " ".join(f"z{k}" if k in at else w for k, w in enumerate(base))
+    few = [(1, near()), (2, near(3)), (3, near(3, 7))]  # mutually similar; the nearest of the last is not the first
+    assert {r.doc_id: (r.class_id, r.n_links) for r in L.line_decisions(spark.createDataFrame(few, "doc_id long, text string")).collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2)}
+
+    rng = random.Random(5)
+    family = [(3000 + k, near(*rng.sample(range(40), rng.choice([0, 1, 2, 4])))) for k in range(25)]  # more partners than NEAREST
+    rows = corpus(4, 40)
+    rows = [(d, "\n".join(x for x in t.split("\n") if len(words(x)) > 3)) for d, t in rows] + family + [(5000, ""), (5001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert len({c for c, _ in want.values()}) > 4 and max(n for _, n in want.values()) > 2 * L.NEAREST
+    for options in ({}, {"nearest": 1}):
+        assert {r.doc_id: (r.class_id, r.n_links) for r in L.line_decisions(df, **options).collect()} == want
+    lone = spark.createDataFrame([(None, "a b c d e"), (None, "q r s t u"), (7, "a b c d e"), (None, "v")], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0, r.class_id or 0) for r in L.line_decisions(lone).collect())) == [(0, 0), (0, 0), (0, 7), (7, 7)]
+
+
 def test_unsettled_lines_are_joined_with_all_partners(spark, monkeypatch):
     """With a sketch that tells nothing apart, the nearest partners are often wrong ones."""
     monkeypatch.setattr(L, "sketches", lambda sets: (np.zeros(len(sets.begin), np.uint64),) * 2)
