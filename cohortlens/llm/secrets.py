@@ -1,8 +1,9 @@
 """Secret scans over all layers of a text.
 
 A worklist holds layers: first the text itself, then whatever its encoded stretches decode
-to. Percent escapes, ``\\u``/``\\x`` escapes, base64 (standard and URL-safe) and hexadecimal
-stretches are unwrapped; decoded bytes that are zlib or gzip streams are inflated. A
+to. Percent escapes, ``\\u``/``\\x`` escapes, base64 (standard and URL-safe, also glued to other
+characters or wrapped over lines) and hexadecimal stretches are unwrapped; decoded bytes
+that are zlib or gzip streams are inflated. A
 layer seen before at the same place is not opened again, so cycles end, and the list runs
 dry when nothing decodes any further; equal content at another place is another layer. Every layer is scanned with the same rules; what is found in a decoded
 layer is mapped to the stretch of the text it was unwrapped from.
@@ -15,6 +16,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -41,6 +43,16 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 MIN_HEX_LAYER = 24
 HEX_LAYER = re.compile(r"(?:[0-9A-Fa-f]{2}){%d,}" % (MIN_HEX_LAYER // 2))
 INFLATE_STEP = 1 << 20
+#: Base64 over several lines; the last one may go on with something else.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}" % MIN_BASE64)
+BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+SEPARATOR = re.compile(r"[/_-]")
+#: Text within decoded bytes of which the rest is noise; as many characters as MIN_BASE64 decode to.
+READABLE = re.compile(rb"(?:[\x20-\x7e\t\n\r]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+NEAR_EDGE = 6  # bytes of noise that may look like text beside a cut
+STREAM = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78](?=.)", re.DOTALL)
+QUOTED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+*!'()$,;:@&=-])+")
+UNIT = re.compile(r"%[0-9A-Fa-f]{2}|.", re.DOTALL)
 Places = tuple[np.ndarray, np.ndarray]  # first and end of the stretch that each character of a layer comes from
 
 _BASE64_BYTES = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x2D, 0x2D), (0x5F, 0x5F))
@@ -60,7 +72,14 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def inflated(data: bytes) -> bytes | None:
-    """The content of a zlib or gzip stream, however often it was packed; None if it is none."""
+    """The content of a zlib or gzip stream that ``data`` starts with; None if it is none."""
+    found = unpacked(data)
+    return None if found is None else found[0]
+
+
+def unpacked(data: bytes) -> tuple[bytes, int] | None:
+    """Content of the stream that ``data`` starts with, and how many bytes the stream has."""
+    size = len(data)
     if not (data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0)):
         return None
     stream, out = zlib.decompressobj(zlib.MAX_WBITS | 32), []
@@ -70,7 +89,18 @@ def inflated(data: bytes) -> bytes | None:
             data = stream.unconsumed_tail
     except zlib.error:
         return None
-    return b"".join(out) if stream.eof else None
+    return (b"".join(out), size - len(stream.unused_data)) if stream.eof else None
+
+
+def streams(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, begin, end) of the compressed streams anywhere in ``data`` that hold text."""
+    at = 0
+    while m := STREAM.search(data, at):
+        at = m.start() + 1
+        packed = data[m.start() : m.start() + 2] == b"\x1f\x8b" or (data[m.start()] << 8 | data[m.start() + 1]) % 31 == 0
+        if packed and (found := unpacked(data[m.start() :])) is not None and (text := text_of(found[0])) is not None:
+            yield text, m.start(), m.start() + found[1]
+            at = m.start() + found[1]
 
 
 def text_of(data: bytes) -> str | None:
@@ -100,6 +130,53 @@ def from_base64(run: str) -> str | None:
         return None
 
 
+def base64_parts(run: str, whole: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts and streams inside a run of base64 characters at each of its four alignments.
+
+    Each with first and end, in ``run``, of the stretch its characters come from. Where a separator is
+    about where a text begins or ends, that is the edge. ``whole``: the run itself was decoded.
+    """
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    cuts = [m.start() for m in SEPARATOR.finditer(run)]
+    for shift in range(1 if whole else 0, 4):
+        own = body[shift:]
+        if len(own) < MIN_BASE64:
+            break
+        own = own[:-1] if len(own) % 4 == 1 else own
+        data = base64.b64decode(own + "=" * (-len(own) % 4))
+        spans = [(text, i, j, False) for text, i, j in streams(data)]
+        spans += [(m.group().decode("utf-8", "replace"), *m.span(), True) for m in READABLE.finditer(data)]
+        for text, i, j, readable in spans:
+            a, b = shift + 4 * i // 3, min(len(run), shift - (-4 * j // 3))
+            b = len(run) if run[b:].strip("=") == "" else b
+            first, end = np.full(len(text), a), np.full(len(text), b)
+            if readable:
+                size = np.cumsum([0] + [len(c.encode()) for c in text])
+                for cut in cuts[bisect_left(cuts, a) :]:
+                    k = 3 * (cut + 1 - shift) // 4 - i
+                    if (cut + 1 - shift) % 4 == 0 and 0 <= k <= NEAR_EDGE:
+                        first[np.searchsorted(size[:-1], k) :] = cut + 1
+                    if k > NEAR_EDGE:
+                        break
+                for cut in reversed(cuts[: bisect_right(cuts, b)]):
+                    k = 3 * (cut - shift) // 4 - i  # bytes that end before the cut
+                    if k < j - i - NEAR_EDGE:
+                        break
+                    end[: max(0, np.searchsorted(size, k, side="right") - 1)] = cut
+            yield text, first, end
+
+
+def quoted_streams(text: str) -> Iterator[tuple[str, int, int]]:
+    """(content, begin, end) of compressed bytes in percent escapes; those that need none stand as they are."""
+    for m in QUOTED.finditer(text):
+        if "%" not in m.group():
+            continue
+        units = [(u.group(), u.start(), u.end()) for u in UNIT.finditer(m.group())]
+        data = bytes(int(u[1:], 16) if len(u) == 3 else 0x20 if u == "+" else ord(u) for u, _, _ in units)
+        for new, i, j in streams(data):
+            yield new, m.start() + units[i][1], m.start() + units[j - 1][2]
+
+
 def from_escapes(run: str) -> str:
     units = [int(next(g for g in m.groups() if g), 16) for m in ONE_ESCAPE.finditer(run)]
     text = "".join(chr(u) if u < 0x110000 else "\ufffd" for u in units)
@@ -140,9 +217,26 @@ def layers_of(text: str) -> Iterator[tuple[str, str, Places]]:
     for how, pattern, decode, mark in (("url", PERCENT, percent, "%"), ("unicode", ESCAPE, from_escapes, "\\")):
         if mark in text and (found := whole_replaced(text, pattern, decode)):
             yield how, *found
+    if "%" in text:
+        for new, a, b in quoted_streams(text):
+            yield "url", new, stretch(a, b, len(new))
     for m in BASE64.finditer(text):
         if (new := from_base64(m.group())) is not None:
             yield "base64", new, stretch(*m.span(), len(new))
+        for part, first, end in base64_parts(m.group(), new is not None):
+            yield "base64", part, (first + m.start(), end + m.start())
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        run, at, place = [], m.start(), []
+        for gap in [*BREAK.finditer(text, *m.span()), None]:
+            end = gap.start() if gap else m.end()
+            run.append(text[at:end])
+            place.append(np.arange(at, end))
+            at = gap.end() if gap else end
+        run, place = "".join(run), np.concatenate(place)
+        if (new := from_base64(run)) is not None:
+            yield "base64", new, stretch(*m.span(), len(new))
+        for part, first, end in base64_parts(run, new is not None):
+            yield "base64", part, (place[first], place[end - 1] + 1)
     for m in HEX_LAYER.finditer(text):
         if (new := text_of(bytes.fromhex(m.group()))) is not None:
             yield "hex", new, stretch(*m.span(), len(new))

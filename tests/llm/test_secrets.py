@@ -62,6 +62,39 @@ def test_cycles_and_bad_input_end():
     assert kinds(b64(b64(b64(SECRET)))) == {"assign@base64>base64>base64"}
 
 
+@pytest.mark.parametrize("prefix", ["com/files/", "prefix_", "id-", "ab", "x/y_z-q", "abcdefg/"])
+@pytest.mark.parametrize("tail", ["", "/more", "_x", " "])
+def test_glued_base64(prefix, tail):
+    for plain, kind in ((SECRET + " okay", "assign"), ("my " + KEY + " key", "access")):
+        for data in (plain.encode(), zlib.compress(plain.encode()), gzip.compress(plain.encode())):
+            blob = b64(data) if not tail else b64(data).rstrip("=")
+            text = f"see {prefix}{blob}{tail} end"
+            a, b = len("see " + prefix), len("see " + prefix + blob)
+            found = [x for x in s.deep_scan(text) if x[0] == f"{kind}@base64"]
+            assert found and all(x[1] < b and x[2] > a and x[1] >= 4 and x[2] <= len(text) - 4 for x in found), (text, found)
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n    "])
+def test_wrapped_base64(newline):
+    noise = " ".join(random.Random(3).choice(["alpha", "beta", "gamma", "delta"]) + str(k) for k in range(60))
+    for plain in (noise[:50] + " " + SECRET + " " + noise, noise + " " + KEY + " " + noise):
+        for data in (plain.encode(), zlib.compress(plain.encode()), gzip.compress(plain.encode())):
+            blob = b64(data)
+            lines = newline.join(blob[k : k + 76] for k in range(0, len(blob), 76))
+            text = f"before\n{lines}\nafter it all"
+            found = [x for x in s.deep_scan(text) if x[0].endswith("@base64")]
+            assert any(x[1] == 7 and 7 + len(lines) <= x[2] <= 7 + len(lines + "\nafter") for x in found), found
+
+
+def test_percent_escaped_streams():
+    for plain, kind in ((SECRET, "assign"), ("my " + KEY, "access")):
+        for pack in (zlib.compress, gzip.compress):
+            for wrap in (quote, lambda d: "".join(f"%{b:02x}" for b in d), lambda d: quote(d, safe="").replace("%20", "+")):
+                blob = wrap(pack(plain.encode()))
+                text = f"é x?data={blob} end"
+                assert (f"{kind}@url", 9, 9 + len(blob)) in s.deep_scan(text)
+
+
 def brute(text):
     """(kind, start, end) over every path of decoded layers, without any memory of other paths."""
     base, out = set(s.scan(text)), set()
