@@ -70,7 +70,7 @@ def primary_shortlist(spark, d):
 
 
 @register("combined_shortlist", f"""WITH {SCORED}, {_RANKED}, reviews AS (
-  SELECT event_id, round(value % 25, 1) AS total_score, CASE WHEN event_type <> 'error' THEN event_type END AS verdict, user_id % 7 AS sources, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events WHERE event_id % 3 <> 0)
+  SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN round(value % 25, 1) END AS total_score, CASE WHEN event_type <> 'error' THEN event_type END AS verdict, user_id % 7 AS sources, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events)
 SELECT model_rank, CAST(row_id AS VARCHAR) AS identity, identity AS project_name, round(model_prob, 3) AS model_prob,
   CASE WHEN total_score IS NOT NULL THEN printf('%.1f', total_score) || '/25' ELSE 'N/A' END AS selection_score, verdict, coalesce(sources, 0) AS sources,
   CASE WHEN error IS NOT NULL THEN 'Error' ELSE 'Done' END AS status
@@ -79,9 +79,9 @@ def combined_shortlist(spark, d):
     ranked = _ranked(spark, d).withColumns(
         {"project_name": F.col("identity"), "identity": F.col("row_id").cast("string"), "accept_probability": F.col("model_prob")}
     )
-    reviews = R.read(spark, d, "events").filter("event_id % 3 <> 0").select(
+    reviews = R.read(spark, d, "events").select(
         F.col("event_id").cast("string").alias("identity"),
-        F.round(F.col("value") % 25, 1).alias("total_score"),
+        F.when(F.col("event_id") % 3 != 0, F.round(F.col("value") % 25, 1)).alias("total_score"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("verdict"),
         (F.col("user_id") % 7).alias("sources"),
         F.when(F.col("event_type") == "error", "failed").alias("error"),

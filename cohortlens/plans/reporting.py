@@ -81,16 +81,16 @@ def stale_documents(spark, d):
 
 
 @register("merge_cache", """
-WITH cache AS (SELECT event_id AS identity, CASE WHEN event_id % 4 <> 0 THEN value END AS score FROM events WHERE event_type <> 'view'),
-fresh AS (SELECT event_id AS identity, value * 2 AS score FROM events WHERE event_type <> 'click')
+WITH cache AS (SELECT event_id AS identity, CASE WHEN event_id % 4 <> 0 AND event_type <> 'view' THEN value END AS score FROM events),
+fresh AS (SELECT event_id + 1000 AS identity, value * 2 AS score FROM events)
 SELECT * FROM cache WHERE score IS NOT NULL
 UNION ALL SELECT * FROM fresh WHERE identity NOT IN (SELECT identity FROM cache WHERE score IS NOT NULL)
 UNION ALL SELECT * FROM cache WHERE score IS NULL AND identity NOT IN (SELECT identity FROM fresh)""")
 def merge_cache(spark, d):
     events = R.read(spark, d, "events")
-    key = F.col("event_id").alias("identity")
-    cache = events.filter("event_type <> 'view'").select(key, F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("score"))
-    fresh = events.filter("event_type <> 'click'").select(key, (F.col("value") * 2).alias("score"))
+    key, scored = F.col("event_id"), (F.col("event_id") % 4 != 0) & (F.col("event_type") != "view")
+    cache = events.select(key.alias("identity"), F.when(scored, F.col("value")).alias("score"))
+    fresh = events.select((key + 1000).alias("identity"), (F.col("value") * 2).alias("score"))
     return T.merge_cache(cache, fresh)
 
 

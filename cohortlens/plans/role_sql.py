@@ -153,13 +153,12 @@ _SPELLED = ", ".join(
     "'" + (name if i % 2 else name.upper().replace(" / ", "-")) + "'" for i, name in enumerate(roles.DIMENSIONS)
 )
 REVIEWS = f"""reviews AS (
-  SELECT review_id, slot, dimension,
+  SELECT review_id, slot, CASE WHEN (review_id + slot) % 13 = 0 THEN 'Something Else' ELSE dimension END AS dimension,
     CASE WHEN number % 29 = 0 THEN 'n/a' ELSE CAST(CAST(number / 10.0 - 0.5 AS DECIMAL(6,1)) AS VARCHAR) END AS score,
     CASE WHEN review_id % 10 <> 0 THEN 'because of ' || event_type END AS rationale
   FROM (SELECT event_id AS review_id, slot, ([{_SPELLED}])[slot + 1] AS dimension, event_type,
       (event_id * (slot + 3)) % 67 AS number
-    FROM events, (SELECT CAST(unnest(range(5)) AS INTEGER) AS slot))
-  WHERE (review_id + slot) % 13 <> 0)"""
+    FROM events, (SELECT CAST(unnest(range(5)) AS INTEGER) AS slot)))"""
 
 SOURCES = """sources AS (
   SELECT page_id // 12 AS idea_id, page_id % 12 AS position,

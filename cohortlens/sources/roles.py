@@ -237,7 +237,7 @@ DIMENSIONS = (
 
 
 def review_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Flat review answers: up to five dimension scores per event, names spelled loosely."""
+    """Flat review answers: five dimension scores per event, names spelled loosely, some of none of the rubric."""
     key = F.col("event_id")
     spelled = F.array(
         *[F.lit(name if i % 2 else name.upper().replace(" / ", "-")) for i, name in enumerate(DIMENSIONS)]
@@ -247,8 +247,10 @@ def review_scores(spark: SparkSession, folder: str) -> DataFrame:
         F.posexplode(spelled).alias("slot", "dimension"),
     )
     number = (F.col("review_id") * (F.col("slot") + 3)) % 67
-    return events.filter((F.col("review_id") + F.col("slot")) % 13 != 0).select(
-        "review_id", "slot", "dimension",
+    unasked = (F.col("review_id") + F.col("slot")) % 13 == 0
+    return events.select(
+        "review_id", "slot",
+        F.when(unasked, "Something Else").otherwise(F.col("dimension")).alias("dimension"),
         F.when(number % 29 == 0, "n/a").otherwise((number / 10 - 0.5).cast("decimal(6,1)").cast("string")).alias("score"),
         F.when(F.col("review_id") % 10 != 0, F.concat(F.lit("because of "), F.col("event_type"))).alias("rationale"),
     )
