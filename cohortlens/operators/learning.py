@@ -12,14 +12,14 @@ from pyspark.ml.feature import (
     Imputer, MinMaxScaler, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
 from .filters import assert_no_leak
+from .neighbours import nearest_neighbours
 from .ordering import global_row_number
 from .ranking import confusion_metrics, model_rank, pick_threshold, portable_key, threshold_sweep
-from .tiles import build_tiles, nearest_kernel
 
 # Seed, shares and thresholds of the training run.
 SEED = 42
@@ -197,43 +197,45 @@ def undersample(df: DataFrame, seed: int = SEED) -> DataFrame:
     return df.filter("y = 1").unionByName(placed.filter(F.col("_n") <= wanted).drop("_n", "_k"))
 
 
+def interpolated(minority: DataFrame, count: int, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
+    """``count`` points (base, copy, neighbour, weight, vec) between rows (row_id, vec) and their neighbours.
+
+    Copies are dealt evenly over the rows in order of row_id. The neighbour is one of the k
+    nearest by Euclidean distance; an md5 of seed, row and copy draws it and how far along.
+    """
+    placed = stage(global_row_number(minority.select("row_id", "vec"), [F.asc("row_id")], "_n"))
+    few = placed.count()
+    if few < 2:
+        raise ValueError("interpolation needs two positive rows or more")
+    near = nearest_neighbours(placed.select(F.col("row_id").alias("id"), "vec"), k)
+    listed = near.groupBy(F.col("id").alias("row_id")).agg(F.array_sort(F.collect_list(F.struct("place", "neighbour"))).alias("_near"))  # at most k
+    copies = F.lit(count // few) + (F.col("_n") <= count % few).cast("int")
+    made = placed.join(listed, "row_id").filter(copies > 0).select("row_id", "vec", "_near", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("row_id").cast("string"), F.col("copy").cast("string")))
+    number = lambda start: F.conv(F.substring(draw, start, 8), 16, 10).cast("long")
+    drawn = made.select(
+        F.col("row_id").alias("base"), "copy", F.element_at("_near", (number(1) % F.size("_near") + 1).cast("int"))["neighbour"].alias("neighbour"),
+        (number(9) / F.lit(4294967296.0)).alias("weight"), "vec",
+    )
+    other = placed.select(F.col("row_id").alias("neighbour"), F.col("vec").alias("_other"))
+    along = F.zip_with("vec", "_other", lambda a, b: a + (b - a) * F.col("weight"))
+    return drawn.join(other, "neighbour").select("base", "copy", "neighbour", "weight", along.alias("vec"))
+
+
 def smote(df: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
-    """Balance classes with points between a positive row and one of its nearest positives.
+    """As many positive as negative rows, by points between a positive row and one of its nearest.
 
-    Neighbours are the most cosine-similar rows; which one and how far along is a hash of
-    row and copy number. Original rows keep ``row_id``, new ones have none.
+    Original rows keep ``row_id``; new ones have none, but ``base``, ``copy``, ``neighbour``
+    and ``weight`` tell where they come from. One positive row, or none, raises ValueError
+    unless no point is wanted.
     """
     array = F.col("features") if dict(df.dtypes)["features"].startswith("array") else vector_to_array("features")
-    rows = stage(df.select("row_id", "y", array.alias("vec")))
-    minority = global_row_number(rows.filter("y = 1").select("row_id", "vec"), [F.asc("row_id")], "_n")
-    found = build_tiles(minority.select(F.col("row_id").alias("id"), "vec"), -1.0)
-    if found is None:
-        return df
-    near = found.run(nearest_kernel(-1.0, k), "v long, u long, sim double, v_load long, u_load long")
-    order = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
-    near = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-    neighbours = near.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("_r", "u"))).alias("_near"))  # at most k
+    rows = stage(df.select("row_id", F.col("y").cast("int").alias("y"), array.alias("vec")))
     size = rows.agg(F.count_if(F.col("y") == 1).alias("few"), F.count_if(F.col("y") == 0).alias("many")).first()
-    gap = max(0, size.many - size.few)
-    copies = F.lit(gap // size.few) + (F.col("_n") <= gap % size.few).cast("int")
-    made = (
-        minority.join(neighbours.withColumnRenamed("v", "row_id"), "row_id")
-        .filter(copies > 0)
-        .select("row_id", "vec", "_near", F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
-    )
-    draw = F.xxhash64(F.lit(seed), "row_id", "_copy")
-    picked = made.select(
-        F.col("vec").alias("_a"),
-        F.element_at("_near", (F.pmod(draw, F.size("_near")) + 1).cast("int"))["u"].alias("_u"),
-        (F.pmod(F.xxhash64(draw), F.lit(1_000_003)) / 1_000_003).alias("_w"),
-    )
-    other = minority.select(F.col("row_id").alias("_u"), F.col("vec").alias("_b"))
-    new = picked.join(other, "_u").select(
-        F.lit(None).cast("long").alias("row_id"), F.lit(1).alias("y"),
-        F.zip_with("_a", "_b", lambda a, b: a + (b - a) * F.col("_w")).alias("vec"),
-    )
-    both = rows.select("row_id", F.col("y").cast("int").alias("y"), "vec").unionByName(new)
-    return both.select("row_id", "y", array_to_vector("vec").alias("features"))
+    if size.many > size.few:
+        new = interpolated(rows.filter("y = 1"), size.many - size.few, k, seed)
+        rows = rows.unionByName(new.withColumns({"row_id": F.lit(None).cast("long"), "y": F.lit(1)}), allowMissingColumns=True)
+    return rows.select(*(c for c in rows.columns if c != "vec"), array_to_vector("vec").alias("features"))
 
 
 # --- selection and scoring ---------------------------------------------------------------------

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import features as K
 from ..operators import learning as M
+from ..operators import neighbours as N
 from ..session import stage
 from ..sources import roles as R
 from . import register
@@ -68,8 +70,6 @@ def _logistic(seed: int = M.SEED):
 
 @register("preprocess")
 def preprocess(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
     df = _base(spark, d)
     ready = _prepare().fit(df).transform(df)
     return ready.select("row_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
@@ -94,11 +94,33 @@ def oof_scores(spark, d):
     return M.out_of_fold(_base(spark, d), _prepare, _logistic, k=3).select("row_id", "y", "prob")
 
 
-@register("smote")
+NEAR = "round(list_distance(a.v, b.v), 9)"
+
+
+@register("nearest_neighbours", f"""WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.id, row_number() OVER w AS place, b.id AS neighbour, {NEAR} AS distance
+FROM p a JOIN p b ON a.id <> b.id WINDOW w AS (PARTITION BY a.id ORDER BY {NEAR}, b.id) QUALIFY place <= 5""")
+def nearest_neighbours(spark, d):
+    return N.nearest_neighbours(R.idea_vectors(spark, d).select(F.col("row_index").alias("id"), "vec"), 5)
+
+
+@register("smote", f"""WITH {SCORED}, p AS (SELECT row_id, CAST(model_prob < 0.3 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS v FROM scored JOIN embeddings ON row_id = vec_id),
+few AS (SELECT *, row_number() OVER (ORDER BY row_id) AS n FROM p WHERE y = 1),
+near AS (SELECT a.row_id, b.row_id AS neighbour, b.v AS u, row_number() OVER w AS place, count(*) OVER (PARTITION BY a.row_id) AS others
+  FROM few a JOIN few b ON a.row_id <> b.row_id WINDOW w AS (PARTITION BY a.row_id ORDER BY {NEAR}, b.row_id) QUALIFY place <= 5),
+size AS (SELECT count(*) FILTER (y = 1) AS few, greatest(count(*) FILTER (y = 0) - count(*) FILTER (y = 1), 0) AS gap FROM p),
+made AS (SELECT row_id, v, unnest(range(1, gap // few + CAST(n <= gap % few AS BIGINT) + 1)) AS copy FROM few, size),
+drawn AS (SELECT *, CAST('0x' || substr(m, 1, 8) AS BIGINT) AS pick, CAST('0x' || substr(m, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE AS weight
+  FROM (SELECT *, md5('42|' || row_id || '|' || copy) AS m FROM made))
+SELECT row_id, y, NULL AS base, NULL AS copy, NULL AS neighbour, NULL AS weight, list_transform(v, lambda x: round(x, 6)) AS features FROM p
+UNION ALL SELECT NULL, 1, row_id, CAST(copy AS INTEGER), neighbour, round(weight, 9), list_transform(range(1, len(v) + 1), lambda i: round(v[i] + (u[i] - v[i]) * weight, 6))
+FROM drawn JOIN near USING (row_id) WHERE place = pick % least(others, 5) + 1""")
 def smote(spark, d):
     vectors = R.idea_vectors(spark, d).withColumnRenamed("row_index", "row_id")
     labelled = _labelled(spark, d).join(vectors, "row_id").withColumn("y", (F.col("model_prob") < 0.3).cast("int"))
-    return M.smote(labelled.select("row_id", "y", F.col("vec").cast("array<double>").alias("features"))).select("row_id", "y")
+    points = M.smote(labelled.select("row_id", "y", F.col("vec").cast("array<double>").alias("features")))
+    values = F.transform(vector_to_array("features"), lambda x: F.round(x, 6))
+    return points.select("row_id", "y", "base", "copy", "neighbour", F.round("weight", 9).alias("weight"), values.alias("features"))
 
 
 @register("bagged_scores")

@@ -1,5 +1,6 @@
 """Ranking metrics, rubric, features, splits and training."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -214,11 +215,24 @@ def test_training(people):
 
 def test_resampling(spark, people):
     vectors = people.select("row_id", "y", F.array(F.coalesce("x", F.lit(0.5)), F.lit(1.0)).alias("features"))
+    people_y = {r.row_id: r.y for r in vectors.collect()}
     balanced = M.smote(vectors)
     counts = {r.y: r["count"] for r in balanced.groupBy("y").count().collect()}
     assert counts[0] == counts[1]
-    made = [r.features.toArray() for r in balanced.filter("row_id IS NULL").collect()]
-    assert made and all(math.isclose(v[1], 1.0) for v in made)
+    own = {r.row_id: r.features for r in vectors.collect()}
+    made = balanced.filter("row_id IS NULL").collect()
+    assert made and len({(r.base, r.copy) for r in made}) == len(made)
+    for r in made:
+        draw = hashlib.md5(f"42|{r.base}|{r.copy}".encode()).hexdigest()
+        assert math.isclose(r.weight, int(draw[8:16], 16) / 2**32)
+        a, b = own[r.base], own[r.neighbour]
+        assert all(math.isclose(v, x + (z - x) * r.weight) for v, x, z in zip(r.features.toArray(), a, b, strict=True))
+        nearer = [i for i, v in own.items() if i != r.base and people_y[i] == 1 and math.dist(a, v) < math.dist(a, b)]
+        assert len(nearer) < M.NEIGHBOURS
+    alone = vectors.filter("y = 0").unionByName(vectors.filter("y = 1").limit(1))
+    with pytest.raises(ValueError):
+        M.smote(alone)
+    assert M.smote(vectors.filter("y = 1")).count() == vectors.filter("y = 1").count()
     under = {r.y: r["count"] for r in M.undersample(vectors).groupBy("y").count().collect()}
     assert under[0] == under[1]
     only = spark.createDataFrame([(1,), (1,)], "y int")
