@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
-    Imputer, MinMaxScaler, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler,
+    Imputer, MinMaxScaler, OneHotEncoder, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -29,6 +29,7 @@ REPEAT_STEP = 101
 DECISION_THRESHOLD = 0.125
 NEIGHBOURS = 5
 UNKNOWN = "UNKNOWN"
+ABSENT = "-1e9D"  # a missing number that is not imputed
 
 
 # --- splits -----------------------------------------------------------------------------
@@ -69,7 +70,11 @@ def pos_weight(df: DataFrame, label: str = "y") -> DataFrame:
 def preprocessor(
     numeric: Sequence[str], categorical: Sequence[str], impute: str = "median", scale: str = "standard"
 ) -> Pipeline:
-    """Impute and scale numbers, one-hot labels (unknown ones become all zeros) -> ``features``."""
+    """Impute and scale numbers, one-hot labels (unknown ones share a slot) -> ``features``.
+
+    Without imputation missing numbers become ABSENT and nothing is scaled: the trees of
+    'forest' and 'boosted' can then part them from all others.
+    """
     assert_no_leak([*numeric, *categorical])
     scalers = {
         "standard": lambda: StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True),
@@ -78,10 +83,12 @@ def preprocessor(
     }
     if impute not in ("median", "mean", "none"):
         raise ValueError(f"unknown imputation: {impute}")
-    filled = list(numeric)
+    filled = [f"_i_{c}" for c in numeric]
     stages: list[Estimator | Transformer] = []
-    if impute != "none":
-        filled = [f"_i_{c}" for c in numeric]
+    if impute == "none":
+        marked = ", ".join(f"coalesce(nanvl(`{c}`, NULL), {ABSENT}) AS `_i_{c}`" for c in numeric)
+        stages.append(SQLTransformer(statement=f"SELECT *, {marked} FROM __THIS__"))
+    else:
         stages.append(Imputer(strategy=impute, inputCols=list(numeric), outputCols=filled))
     stages.append(VectorAssembler(inputCols=filled, outputCol="_num", handleInvalid="keep"))
     number = "_num"
@@ -127,7 +134,11 @@ def make_model(name: str, params: dict | None = None, weighted: bool = True, see
 
 def fit(train: DataFrame, prepare: Pipeline, model: Estimator, sample: str | None = None, seed: int = SEED) -> PipelineModel:
     """Fit preprocessing, optionally resample the training features, then fit the model."""
-    fitted = prepare.fit(train)
+    return fit_prepared(train, prepare.fit(train), model, sample, seed)
+
+
+def fit_prepared(train: DataFrame, fitted: PipelineModel, model: Estimator, sample: str | None = None, seed: int = SEED) -> PipelineModel:
+    """As ``fit``, with a preparation that is fitted already."""
     ready = fitted.transform(train).select("row_id", "y", "features")
     if sample == "under":
         ready = undersample(ready, seed)

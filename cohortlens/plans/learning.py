@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import features as K
 from ..operators import learning as M
 from ..operators import neighbours as N
+from ..operators.staged import Space
+from ..operators.staged import staged_search as search
 from ..session import stage
 from ..sources import roles as R
 from . import register
@@ -135,3 +137,14 @@ def experiments(spark, d):
     shared = {"model": "logistic", "params": {"maxIter": 5}, "numeric": NUMERIC, "categorical": CATEGORICAL}
     grid = [shared, {**shared, "impute": "mean", "scale": "minmax", "sample": "under"}]
     return M.experiments(_base(spark, d), grid, k=2)
+
+
+@register("staged_search")
+def staged_search(spark, d):
+    """State of a small search; tests recompute its measures in SQL from the scores."""
+    space = Space(
+        feature_sets={"base": NUMERIC[:6], "full": NUMERIC}, categorical=CATEGORICAL[:2], families={"logistic": {"maxIter": 4}}, booster="logistic",
+        imputes=("mean",), scales=("standard", "minmax"), choices={"logistic": {"regParam": [0.0, 0.01, 0.1], "maxIter": [3, 6]}}, draws=2,
+        samples=("under",), bag_seeds=(42, 7),
+    )
+    return search(_base(spark, d), space, k=2).state
