@@ -117,6 +117,7 @@ def staged_search(df: DataFrame, space: Space, k: int = FOLDS, seed: int = SEED,
     train, test = stage(fold_ids(data.filter("NOT is_test"), k, seed)), data.filter("is_test")
     rows: list[dict[str, Any]] = []
     tables: list[DataFrame] = []
+    measured: dict[str, dict[str, float]] = {}
 
     prepared: dict[tuple[str, str, str, int | None], PipelineModel] = {}  # fitted preparations, shared by candidates
 
@@ -142,9 +143,12 @@ def staged_search(df: DataFrame, space: Space, k: int = FOLDS, seed: int = SEED,
 
     def add(candidate: Candidate) -> dict[str, Any]:
         settings = asdict(candidate)
-        scores = kept_table(f"{folder}/{table_name(settings, space, k, seed)}", lambda: fold_table(candidate), df)
+        name = table_name(settings, space, k, seed)
+        scores = kept_table(f"{folder}/{name}", lambda: fold_table(candidate), df)
+        if name not in measured:  # the same settings can come up in several stages
+            measured[name] = measures(scores)
         tables.append(scores.select(F.lit(candidate.stage).alias("stage"), F.lit(candidate.candidate).alias("candidate"), "*"))
-        rows.append({**settings, "seeds": " ".join(map(str, candidate.seeds)), **measures(scores)})
+        rows.append({**settings, "seeds": " ".join(map(str, candidate.seeds)), **measured[name]})
         return rows[-1]
 
     for n, family in enumerate(space.families, 1):
@@ -172,9 +176,9 @@ def staged_search(df: DataFrame, space: Space, k: int = FOLDS, seed: int = SEED,
     held = reduce(DataFrame.unionByName, (probabilities(test, m) for m in models)).groupBy("row_id").agg(F.avg("prob").alias("prob"))
     result = stage(test.select("row_id", F.col("y").cast("int").alias("y")).join(held, "row_id"))
     at = confusion_metrics(result, final["threshold"], "prob", "y").select("f2", "recall", "precision", "fn_rate").first()
-    measured = {name: None if at is None else round(at[name], DIGITS) for name in ("f2", "recall", "precision", "fn_rate")}
+    reached = {name: None if at is None else round(at[name], DIGITS) for name in ("f2", "recall", "precision", "fn_rate")}
     state = [{**r, "chosen": r is final} for r in rows]
-    state.append({**final, "stage": 7, "candidate": 1, **measured, "cv_f2": None, "cv_recall": None, "chosen": True})
+    state.append({**final, "stage": 7, "candidate": 1, **reached, "cv_f2": None, "cv_recall": None, "chosen": True})
     names = [part.split()[0] for part in STATE.split(", ")]
     return Search(spark.createDataFrame([tuple(r[n] for n in names) for r in state], STATE), reduce(DataFrame.unionByName, tables), result, models)
 
@@ -182,11 +186,11 @@ def staged_search(df: DataFrame, space: Space, k: int = FOLDS, seed: int = SEED,
 def table_name(settings: Mapping[str, Any], space: Space, k: int, seed: int) -> str:
     """Name of a candidate's scores: all that they depend on, besides the rows."""
     used = {
-        **settings, "k": k, "split": seed, "columns": list(space.feature_sets[settings["feature_set"]]), "categorical": list(space.categorical),
+        **{name: value for name, value in settings.items() if name not in ("stage", "candidate")}, "k": k, "split": seed, "columns": list(space.feature_sets[settings["feature_set"]]), "categorical": list(space.categorical),
         "defaults": dict(space.families.get(settings["model"], {})),
     }
     digest = hashlib.sha256(json.dumps(used, sort_keys=True, default=str).encode()).hexdigest()
-    return f"stage-{settings['stage']}-{settings['candidate']}-{digest[:16]}"
+    return f"scores-{digest[:24]}"
 
 
 def kept_table(path: str, make: Callable[[], DataFrame], df: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def staged_search(spark, d):
     """State of a small search; tests recompute its measures in SQL from the scores."""
     space = Space(
         feature_sets={"base": NUMERIC[:6], "full": NUMERIC}, categorical=CATEGORICAL[:2], families={"logistic": {"maxIter": 4}}, booster="logistic",
-        imputes=("mean",), scales=("standard", "minmax"), choices={"logistic": {"regParam": [0.0, 0.01, 0.1], "maxIter": [3, 6]}}, draws=2,
+        imputes=("median",), scales=("standard", "minmax"), choices={"logistic": {"regParam": [0.0, 0.01, 0.1], "maxIter": [3, 6]}}, draws=2,
         samples=("under",), bag_seeds=(42, 7),
     )
     return search(_base(spark, d), space, k=2).state
