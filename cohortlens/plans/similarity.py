@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..functions import text as X
 from ..operators import filters, greedy, search, vectors
+from ..session import stage
 from ..sources import roles as R
 from ..streaming.arrivals import check_batch
 from . import register
@@ -270,14 +271,25 @@ def search_keyword(spark, d):
     return search.search_frame(search.search(R.all_ideas(spark, d), QUERY, asked))
 
 
-@register("embed_documents", f"""WITH {DOCS}, t AS (SELECT row_index, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS word FROM docs),
-c AS (SELECT row_index, CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS INTEGER) AS slot, count(*) AS n FROM t GROUP BY 1, 2),
+SPARSE = f"""{DOCS}, t AS (SELECT row_index, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS word FROM docs),
+c AS (SELECT row_index, CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % {search.SLOTS} AS INTEGER) AS slot, count(*) AS n FROM t GROUP BY 1, 2),
 m AS (SELECT slot, count(*) AS m FROM c GROUP BY 1), w AS (SELECT row_index, slot, n * ln(((SELECT count(*) FROM docs) + 1) / (m + 1)) AS w FROM c JOIN m USING (slot)),
-v AS (SELECT row_index, slot, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY row_index)), 0) AS x FROM w)
-SELECT row_index, k.slot, round(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE), 5) AS x FROM docs CROSS JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS slot) k LEFT JOIN v USING (row_index, slot)""")
+v AS (SELECT row_index, slot, w / sqrt(sum(w * w) OVER (PARTITION BY row_index)) AS x FROM w WHERE w > 0)"""
+
+
+@register("embed_documents", f"WITH {SPARSE} SELECT row_index, slot, round(x, 6) AS x FROM v")
 def embed_documents(spark, d):
-    vectors_ = search.embed(R.idea_documents(spark, d), dimensions=64)
-    return vectors_.select("row_index", F.posexplode("vec").alias("slot", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
+    return search.embed_sparse(R.idea_documents(spark, d)).withColumn("x", F.round("x", 6))
+
+
+@register("sparse_matches", f"""WITH {SPARSE}, p AS (
+  SELECT q.row_index AS query_id, v.row_index, round(sum(q.x * v.x), 9) AS s FROM v q JOIN v USING (slot) WHERE q.row_index % 20 = 0 AND q.row_index <> v.row_index GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_index) AS place, row_index, round(s, 6) AS similarity FROM p WHERE s > 0 QUALIFY place <= 10""")
+def sparse_matches(spark, d):
+    """The ten ideas most like each idea of a number divisible by 20, by words."""
+    vectors_ = stage(search.embed_sparse(R.idea_documents(spark, d)))
+    found = search.sparse_matches(vectors_, vectors_.filter("row_index % 20 = 0"), 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @register("pack_batches", """WITH RECURSIVE t AS (SELECT doc_id AS row_index, greatest(1, length(text) // 4) AS tokens FROM documents),

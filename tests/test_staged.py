@@ -19,7 +19,7 @@ SELECT stage, candidate, t, round(f2, 4) AS f2, round(recall, 4) AS recall FROM
 @pytest.fixture(scope="module")
 def space():
     return staged.Space(
-        feature_sets={"base": ["x"], "full": ["x", "z"]}, categorical=["c"], families={"logistic": {"maxIter": 5}, "boosted": {"maxIter": 2, "maxDepth": 2}},
+        feature_sets={"base": ["x"], "full": ["x", "z"]}, categorical=["c"], families={"logistic": {"maxIter": 5}, "forest": {"numTrees": 3, "maxDepth": 2}}, booster="forest",
         imputes=("mean", "none"), scales=("minmax", "standard"), choices={"logistic": {"regParam": [0.0, 0.1, 1.0], "maxIter": [3, 8]}}, draws=2,
         samples=("under",), bag_seeds=(42, 7),
     )
@@ -52,7 +52,7 @@ def test_stages_feed_on_the_winners_before(found, space):
     by = {s: [r for r in state if r["stage"] == s] for s in range(1, 8)}
     assert [len(by[s]) for s in range(1, 8)] == [2, 2, 3, 2, 1, 1, 1]
     key = lambda r: (r["f2"], r["recall"], -r["stage"], -r["candidate"])
-    way = max((r for s in (1, 2, 3) for r in by[s] if r["model"] == "boosted" and r["feature_set"] == "full"), key=key)
+    way = max((r for s in (1, 2, 3) for r in by[s] if r["model"] == "forest" and r["feature_set"] == "full"), key=key)
     assert all((r["impute"], r["scale"]) == (way["impute"], way["scale"]) for s in (4, 5) for r in by[s])
     tuned = max(by[4], key=key)
     assert all((r["model"], r["params"]) == (tuned["model"], tuned["params"]) for r in by[5]) and [r["sample"] for r in by[5]] == ["under"]

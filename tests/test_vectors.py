@@ -1,6 +1,9 @@
 """Similarity operators against the small fixtures and against brute force."""
 
+import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -187,6 +190,29 @@ def test_embed(spark, base):
     assert {tuple(r.vec) for r in search.embed(base, ones).collect()} == {(1.0, 0.0)}
 
 
+def test_sparse_vectors_and_matches(spark):
+    texts = ["red apple pie", "red apple tart", "green pear", "", None, "red red pie crust", "green pear", "pie"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_index long, text string")
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    slot = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % search.SLOTS
+    want = {}
+    for i, own in enumerate(words):
+        weights = {w: own.count(w) * math.log((len(texts) + 1) / (sum(w in o for o in words) + 1)) for w in set(own)}
+        norm = math.sqrt(sum(x * x for x in weights.values()))
+        want.update({(i, slot(w)): x / norm for w, x in weights.items()})
+    entries = search.embed_sparse(df)
+    got = {(r.row_index, r.slot): r.x for r in entries.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    for tile in (2, 100):
+        found = search.sparse_matches(entries, entries.filter("row_index % 2 = 0"), 3, tile).collect()
+        for i in range(0, len(texts), 2):
+            dots = {j: round(sum(x * want.get((j, s), 0) for (k, s), x in want.items() if k == i), 9) for j in range(len(texts)) if j != i}
+            best = sorted(((-d, j) for j, d in dots.items() if d > 0))[:3]
+            assert sorted((r.place, r.row_index, r.similarity) for r in found if r.query_id == i) == [(n, j, pytest.approx(-d)) for n, (d, j) in enumerate(best, 1)]
+    assert search.sparse_matches(entries.limit(0), entries, 3).count() == 0
+    assert search.embed_sparse(df.limit(0)).count() == 0
+
+
 def test_arrivals(spark, base, tmp_path):
     rows = [
         (1, "idea one", "a long description", [1.0, 0.0, 0.0, 0.0]),
