@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer, MinMaxScaler, OneHotEncoder, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
@@ -28,6 +28,7 @@ FOLDS = 5
 REPEAT_STEP = 101
 DECISION_THRESHOLD = 0.125
 NEIGHBOURS = 5
+PROBABILITY_DIGITS = 9
 UNKNOWN = "UNKNOWN"
 ABSENT = "-1e9D"  # a missing number that is not imputed
 
@@ -120,11 +121,16 @@ def with_class_weight(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def make_model(name: str, params: dict | None = None, weighted: bool = True, seed: int = SEED) -> Estimator:
-    """'logistic', 'forest' or 'boosted' with the caller's parameters."""
+    """'logistic', 'forest', 'boosted' or 'bayes' with the caller's parameters.
+
+    'bayes' counts feature mass per class in one pass, so any engine can repeat it; it needs
+    numbers of 0 or more, as scaling by 'minmax' gives.
+    """
     shared = {"featuresCol": "features", "labelCol": "y", **({"weightCol": "weight"} if weighted else {})}
     makers = {
         "logistic": lambda: LogisticRegression(**shared, **{"maxIter": 50, **(params or {})}),
         "forest": lambda: RandomForestClassifier(**shared, seed=seed, **{"numTrees": 50, **(params or {})}),
+        "bayes": lambda: NaiveBayes(**shared, **{"smoothing": 1.0, **(params or {})}),
         "boosted": lambda: GBTClassifier(**shared, seed=seed, **{"maxIter": 30, **(params or {})}),
     }
     if name not in makers:
@@ -284,8 +290,12 @@ def best_experiment(table: DataFrame) -> DataFrame:
 
 
 def score_table(df: DataFrame, model: Transformer, threshold: float = DECISION_THRESHOLD) -> DataFrame:
-    """Probability, decision and rank per application; true labels only where present."""
-    scored = df.join(probabilities(df, model, "accept_probability"), "row_id")
+    """Probability, decision and rank per application; true labels only where present.
+
+    Probabilities are kept to PROBABILITY_DIGITS, so noise in the last bits ranks nothing.
+    """
+    found = probabilities(df, model, "accept_probability").withColumn("accept_probability", F.round("accept_probability", PROBABILITY_DIGITS))
+    scored = df.join(found, "row_id")
     out = scored.withColumns(
         {
             "predicted_accepted": (F.col("accept_probability") >= threshold).cast("int"),

@@ -13,7 +13,7 @@ from ..operators.staged import staged_search as search
 from ..session import stage
 from ..sources import roles as R
 from . import register
-from .role_sql import SCORED
+from .role_sql import APPS, SCORED
 
 GROUPS = """groups AS (SELECT identity, max(label) AS y FROM scored GROUP BY 1),
 ranks AS (SELECT identity, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || identity), identity) AS rank, count(*) OVER (PARTITION BY y) AS size FROM groups)"""
@@ -148,3 +148,90 @@ def staged_search(spark, d):
         samples=("under",), bag_seeds=(42, 7),
     )
     return search(_base(spark, d), space, k=2).state
+
+
+# --- models that SQL repeats: transform, train, score, rank -----------------------------------
+
+_SIZE = "TRY_CAST(CASE WHEN team_member_count = '5+' THEN '6' ELSE team_member_count END AS DOUBLE)"
+_AGE = "year - CAST(year(TRY_CAST(date_of_birth AS DATE)) AS INTEGER)"
+_RECENT = "CASE WHEN row_id % 4 = 0 AND year IS NOT NULL THEN greatest(0, year - (1990 + row_id % 12)) END"
+_STAGE = "coalesce(\"Business Stage\", 'Not Specified')"
+_CR = "CAST(coalesce(has_commercial_registration = 'Yes', false) AS INTEGER)"
+_VALUES = {
+    "age": _AGE, "team_member_count_num": _SIZE, "app_year": "year",
+    "stage_maturity": f"CASE {_STAGE} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.STAGE_MATURITY.items()) + " ELSE -1 END",
+    "cr": _CR, "cr_and_team": f"{_CR} * CAST(coalesce(individual_or_team = 'Team', false) AS INTEGER)", "in_two_cohorts": "CAST(row_id % 8 = 0 AS INTEGER)",
+    "prev_year_recency": _RECENT, "age_missing_flag": f"CAST({_AGE} IS NULL AS INTEGER)", "team_missing_flag": f"CAST({_SIZE} IS NULL AS INTEGER)",
+    "sector_missing_flag": 'CAST("Sector" IS NULL AS INTEGER)', "stage_missing_flag": 'CAST("Business Stage" IS NULL AS INTEGER)',
+    "prev_year_missing_flag": "CAST(row_id % 4 <> 0 AS INTEGER)",
+}
+_LEVELS = {
+    "cohort_f": "coalesce(cohort, 'Unknown')", "nationality_bin": "CASE WHEN nationality = 'Bahrain' THEN 'Bahrain' ELSE 'Other' END",
+    "stage_f": _STAGE, "age_group_f": "coalesce(\"Age Group\", 'Not Specified')",
+}
+_names = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+# f: labelled rows; u and l: their numbers and levels, a row each
+_FEATURES = f"""{APPS}, f AS (SELECT *, coalesce(applicant_name, '') || '|' || coalesce(date_of_birth, '') AS identity, CAST(coalesce(outcome_clean = 'Accepted', false) AS INTEGER) AS y FROM apps),
+u AS (SELECT row_id, unnest({_names(NUMERIC)}) AS slot, unnest([{", ".join(f"CAST({_VALUES[n]} AS DOUBLE)" for n in NUMERIC)}]) AS v FROM f),
+l AS (SELECT row_id, unnest({_names(CATEGORICAL)}) AS col, unnest([{", ".join(_LEVELS[n] for n in CATEGORICAL)}]) AS level FROM f),
+g AS (SELECT identity, max(y) AS y FROM f GROUP BY 1),
+r AS (SELECT identity, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || identity), identity) AS rank, count(*) OVER (PARTITION BY y) AS size FROM g)"""
+# part: (m, row_id, held), the training and held rows of each model m; p: the probabilities of held rows
+_BAYES = f"""st AS (SELECT m, slot, avg(v) AS mean, min(v) AS lo, max(v) AS hi FROM u JOIN part USING (row_id) WHERE NOT held GROUP BY ALL),
+known AS (SELECT DISTINCT m, col, level FROM l JOIN part USING (row_id) WHERE NOT held),
+x AS (SELECT m, row_id, held, slot, CASE WHEN hi = lo THEN 0.5 ELSE (coalesce(v, mean) - lo) / (hi - lo) END AS x FROM u JOIN part USING (row_id) JOIN st USING (m, slot)
+  UNION ALL SELECT m, row_id, held, col || '=' || coalesce(known.level, '?'), 1.0 FROM l JOIN part USING (row_id) LEFT JOIN known USING (m, col, level)),
+slots AS (SELECT DISTINCT m, slot FROM st UNION SELECT m, col || '=' || level FROM known UNION SELECT DISTINCT m, col || '=?' FROM known),
+width AS (SELECT m, count(*) AS slots FROM slots GROUP BY 1),
+sizes AS (SELECT m, greatest(count(*) FILTER (y = 0), 1) / greatest(count(*) FILTER (y = 1), 1) AS heavy FROM f JOIN part USING (row_id) WHERE NOT held GROUP BY 1),
+w AS (SELECT m, row_id, y, CASE WHEN y = 1 THEN heavy ELSE 1.0 END AS w FROM f JOIN part USING (row_id) JOIN sizes USING (m) WHERE NOT held),
+prior AS (SELECT m, y, ln((sum(w) + 1) / (sum(sum(w)) OVER (PARTITION BY m) + 2)) AS pi FROM w GROUP BY m, y),
+mass AS (SELECT m, y, slot, sum(w * x) AS s FROM w JOIN x USING (m, row_id) GROUP BY ALL),
+whole AS (SELECT m, y, sum(s) AS s FROM mass GROUP BY ALL),
+coef AS (SELECT m, y, slot, ln((coalesce(mass.s, 0) + 1) / (whole.s + slots)) AS c FROM slots JOIN width USING (m) JOIN whole USING (m) LEFT JOIN mass USING (m, y, slot)),
+sums AS (SELECT m, row_id, y, sum(x * c) AS s FROM x JOIN coef USING (m, slot) WHERE held GROUP BY ALL),
+p AS (SELECT row_id, 1 / (1 + exp(sum(CASE WHEN y = 0 THEN s + pi ELSE -s - pi END))) AS prob FROM sums JOIN prior USING (m, y) GROUP BY row_id)"""
+_HELD = "part AS (SELECT 0 AS m, row_id, rank <= round(size * 0.2::DOUBLE) AS held FROM f JOIN r USING (identity))"
+
+
+def _counted():
+    return M.preprocessor(NUMERIC, CATEGORICAL, "mean", "minmax")
+
+
+def _bayes():
+    return M.make_model("bayes")
+
+
+@register("preprocess_minmax", f"""WITH {_FEATURES}, st AS (SELECT slot, avg(v) AS mean, min(v) AS lo, max(v) AS hi FROM u GROUP BY 1),
+x AS (SELECT row_id, slot, CASE WHEN hi = lo THEN 0.5 ELSE (coalesce(v, mean) - lo) / (hi - lo) END AS x, list_position({_names(NUMERIC)}, slot) AS place FROM u JOIN st USING (slot)),
+n AS (SELECT row_id, list(round(x, 6) ORDER BY place) AS features FROM x GROUP BY 1),
+k AS (SELECT col, list(level ORDER BY n DESC, level) || ['?'] AS levels FROM (SELECT col, level, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT row_id, flatten(list(list_transform(levels, lambda z: CAST(z = level AS INTEGER)::DOUBLE) ORDER BY list_position({_names(CATEGORICAL)}, col))) AS hot FROM l JOIN k USING (col) GROUP BY 1)
+SELECT row_id, features || hot AS features FROM n JOIN h USING (row_id)""")
+def preprocess_minmax(spark, d):
+    df = _base(spark, d)
+    ready = _counted().fit(df).transform(df)
+    return ready.select("row_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+
+
+@register("bayes_scores", f"WITH {_FEATURES}, {_HELD}, {_BAYES} SELECT row_id, round(prob, 6) AS prob FROM p")
+def bayes_scores(spark, d):
+    split = stage(M.group_split(_base(spark, d)))
+    model = M.fit(split.filter("NOT is_test"), _counted(), _bayes())
+    return M.probabilities(split.filter("is_test"), model).withColumn("prob", F.round("prob", 6))
+
+
+@register("bayes_oof", f"""WITH {_FEATURES}, part AS (SELECT m, row_id, rank % 3 = m AS held FROM f JOIN r USING (identity), (SELECT unnest(range(3)) AS m)), {_BAYES}
+SELECT row_id, y, round(prob, 6) AS prob FROM p JOIN f USING (row_id)""")
+def bayes_oof(spark, d):
+    scores = M.out_of_fold(_base(spark, d), _counted, _bayes, k=3)
+    return scores.select("row_id", "y", F.round("prob", 6).alias("prob"))
+
+
+@register("bayes_table", f"""WITH {_FEATURES}, {_HELD}, {_BAYES}, q AS (SELECT row_id, identity, y, round(prob, 9) AS q FROM p JOIN f USING (row_id))
+SELECT row_id, identity, y, round(q, 6) AS accept_probability, CAST(q >= 0.5 AS INTEGER) AS predicted_accepted, 0.5::DOUBLE AS prediction_threshold, row_number() OVER (ORDER BY q DESC, row_id) AS model_rank FROM q""")
+def bayes_table(spark, d):
+    split = stage(M.group_split(_base(spark, d)))
+    model = M.fit(split.filter("NOT is_test"), _counted(), _bayes())
+    table = M.score_table(split.filter("is_test"), model, 0.5)
+    return table.withColumn("accept_probability", F.round("accept_probability", 6))

@@ -205,6 +205,8 @@ def test_training(people):
     auc = ranking.prediction_metrics(scores, "prob", "y").first().auc
     assert auc > 0.8
     assert 0 < M.fold_means(scores).first().recall <= 1
+    counted = M.fit(data, M.preprocessor(["x"], ["c"], "mean", "minmax"), M.make_model("bayes"))
+    assert ranking.prediction_metrics(data.join(M.probabilities(data, counted), "row_id"), "prob", "y").first().auc > 0.7
     model = M.fit(data, prepare(), M.make_model("logistic", {"maxIter": 10}), sample="smote")
     table = M.score_table(data, model).orderBy("model_rank").collect()
     assert [r.model_rank for r in table] == list(range(1, 301))
