@@ -33,6 +33,7 @@ DEFAULT_CRITERIA = (
     Criterion("Feasibility", "Is the idea realistic and achievable, considering the technology, resources, regulations in Bahrain and capabilities required?", 0.2),
 )
 MAX_SCORE = 5.0
+MAX_CRITERIA = 10_000  # a rubric is read by the driver
 MISSING_DIMENSION = "The model did not provide a score for this dimension."
 NO_DIMENSION_MARK = "did not provide"
 LOW_EVIDENCE_NOTE = (
@@ -95,7 +96,9 @@ def load_criteria(source: DataFrame | str | None = None, spark: SparkSession | N
         if c not in source.columns:
             source = source.withColumn(c, F.lit(None).cast("string"))
     table = source.filter(F.col("name").isNotNull())
-    rows = normalise_weights(table).select("name", "guidance", "weight").collect()  # a hand-edited rubric
+    rows = normalise_weights(table).select("name", "guidance", "weight").limit(MAX_CRITERIA + 1).collect()
+    if len(rows) > MAX_CRITERIA:
+        raise ValueError(f"a rubric has at most {MAX_CRITERIA} criteria")
     return [Criterion(r.name, r.guidance, r.weight) for r in rows] or list(DEFAULT_CRITERIA)
 
 

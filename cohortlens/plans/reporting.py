@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import labels as L
 from ..operators import filters, joins, reports
 from ..operators.repeats import repeat_submissions
+from ..session import shared_folder
 from ..sources import index as I
 from ..sources import roles as R
 from ..sources import tables as T
@@ -72,6 +76,44 @@ def content_hash(spark, d):
     return I.content_hash(docs)
 
 
+@register("index_round_trip", f"WITH {INDEX} SELECT row_index, sector, sha256(text) AS text_hash, CAST(len(u) AS INTEGER) AS dimensions FROM idx")
+def index_round_trip(spark, d):
+    """The index as loaded from its second snapshot."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = R.idea_index(spark, d)
+    I.write_index(index.withColumn("text", F.lower("text")), folder, "given")
+    I.write_index(index, folder, "given")
+    return I.load_index(spark, folder).select("row_index", "sector", "text_hash", F.size("vec").alias("dimensions"))
+
+
+@register("read_written", f"WITH {RAW} SELECT row_id, project_name, year, \"Sector\", nationality, outcome_clean FROM raw")
+def read_written(spark, d):
+    """Applications written as CSV and JSON, read again with a schema, and joined."""
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    raw = R.applications_raw(spark, d)
+    T.write_result(raw.select("row_id", "project_name", "Sector", "nationality"), f"{folder}/a.csv")
+    T.write_result(raw.select("row_id", "year", "outcome_clean"), f"{folder}/b.json")
+    typed = StructType([StructField("row_id", LongType())])
+    left = T.read_table(spark, f"{folder}/a.csv", typed, multi_line=False)
+    right = T.read_table(spark, f"{folder}/b.json", StructType([*typed.fields, *(StructField(c, StringType()) for c in ("year", "outcome_clean"))]), multi_line=False)
+    return left.join(right, "row_id").select("row_id", "project_name", "year", "Sector", "nationality", "outcome_clean")
+
+
+@register("read_strings", f"WITH {RAW} SELECT CAST(row_id AS VARCHAR) AS row_id, coalesce(\"Sector\", '') AS \"Sector\", coalesce(nationality, '') AS nationality, coalesce(year, '') AS year FROM raw")
+def read_strings(spark, d):
+    path = f"{shared_folder(spark)}/strings-{uuid.uuid4().hex}.csv"
+    T.write_result(R.applications_raw(spark, d).select("row_id", "Sector", "nationality", "year"), path)
+    return T.read_strings(spark, path)
+
+
+@register("recognised_table", f"WITH {RAW} SELECT row_id, \"Sector\" FROM raw")
+def recognised_table(spark, d):
+    """The first of several tables that looks like applications."""
+    raw = R.applications_raw(spark, d)
+    frames = [R.read(spark, d, "nation"), R.attendance_raw(spark, d), raw]
+    return T.match_dataset(frames, [c for c in T.APPLICATION_COLUMNS if c not in ("year", "cohort")]).select("row_id", "Sector")
+
+
 @register("stale_documents", f"""WITH {INDEX}
 SELECT row_index, sha256(text) AS text_hash FROM docs WHERE sha256(text) NOT IN (SELECT sha256(text) FROM idx)""")
 def stale_documents(spark, d):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
 from ..functions import text as X
 from ..operators import filters, greedy, search, vectors
-from ..session import stage
+from ..session import shared_folder, stage
 from ..sources import roles as R
-from ..streaming.arrivals import check_batch
+from ..streaming.arrivals import check_arrivals, check_batch, checkable
 from . import register
 from .role_sql import ALL_IDEAS, DOCS, FULL, INDEX, UNITS, clean, norm_name, section, snippet
 
@@ -303,10 +305,13 @@ def pack_batches(spark, d):
     return search.pack_batches(docs, budget=20_000, block=500)
 
 
-@register("arrivals", f"""WITH {UNITS}, d AS (SELECT doc_id AS query_id, trim(string_split(text, chr(10))[1]) AS idea, trim(text) AS description, u AS v FROM documents JOIN units ON row_index = doc_id),
+ARRIVALS_SQL = f"""WITH {UNITS}, d AS (SELECT doc_id AS query_id, trim(string_split(text, chr(10))[1]) AS idea, trim(text) AS description, u AS v FROM documents JOIN units ON row_index = doc_id),
 f AS (SELECT min(query_id) AS query_id FROM d WHERE idea <> '' AND length(idea) + length(description) >= 15 GROUP BY idea || chr(10) || description),
 m AS (SELECT d.query_id, units.row_index, list_inner_product(u, v) AS s, row_number() OVER (PARTITION BY d.query_id ORDER BY list_inner_product(u, v) DESC, units.row_index) AS rank FROM units, d JOIN f ON f.query_id = d.query_id)
-SELECT query_id, row_index, round(round(s, 9), 6) AS sim, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3 AND s >= 0.3""")
+SELECT query_id, row_index, round(round(s, 9), 6) AS sim, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3 AND s >= 0.3"""
+
+
+@register("arrivals", ARRIVALS_SQL)
 def arrivals(spark, d):
     index = R.idea_vectors(spark, d)
     docs = R.read(spark, d, "documents").select(
@@ -315,3 +320,29 @@ def arrivals(spark, d):
     )
     incoming = docs.join(index.withColumnRenamed("row_index", "query_id"), "query_id")
     return check_batch(incoming, index, min_score=0.3).withColumn("sim", F.round("sim", 6))
+
+
+@register("arrivals_stream", ARRIVALS_SQL)
+def arrivals_stream(spark, d):
+    """The same check as a stream over the documents' files: state, watermark, a folder a batch.
+
+    Equal texts come with the number and vector of the first of them, so it does not matter
+    which of them the stream sees first.
+    """
+    index = R.idea_vectors(spark, d)
+    path, folder = f"{d}/documents.parquet", f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(path).select("doc_id", "text").schema
+
+    def ideas(docs):
+        return checkable(docs.select(F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("idea"), F.col("text").alias("description")))
+
+    vectors_ = index.withColumnRenamed("row_index", "query_id")
+    first = ideas(spark.read.schema(schema).parquet(path)).join(vectors_.select("query_id"), "query_id", "left_semi").groupBy("text_hash").agg(F.min("query_id").alias("query_id"))
+    # as a pattern, the path may be one file or a folder of files
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("query_id") % 86_400)
+    stream = ideas(spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/documents.parque[t]")).drop("query_id").join(stage(first), "text_hash")
+    incoming = stream.join(vectors_, "query_id").select("query_id", "idea", "description", "vec", arrived.alias("arrived_at"))
+    query = check_arrivals(incoming, index, f"{folder}/out", f"{folder}/state", min_score=0.3)
+    query.awaitTermination()
+    found = spark.read.schema("query_id long, row_index long, sim double, rank int").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return found.withColumn("sim", F.round("sim", 6))

@@ -1,7 +1,10 @@
-"""The idea index: one table with metadata, text and vector per row, plus a manifest."""
+"""The idea index: snapshots of a table with metadata, text and vector per row, and a note on each."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..functions.documents import text_hash
 # Fixed value: the sections an indexed document is made of.
 INDEX_FIELDS = ("Project", "Problem", "Solution", "Differentiation", "Impact", "Inspiration", "Keywords")
 
+SNAPSHOTS_TRIED = 10  # newest ones that are looked at for a whole one
+
 
 def index_gaps(metadata: DataFrame, vectors: DataFrame, key: str = "row_index") -> DataFrame:
     """Keys present on one side only; an index is complete when there are none."""
@@ -49,28 +54,77 @@ def manifest(df: DataFrame, model: str, vector: str = "vec", order: str = "row_i
     )
 
 
-def write_index(df: DataFrame, folder: str, model: str, vector: str = "vec") -> None:
-    """Write rows (with text hashes) and manifest; all vectors must have one width."""
+def write_index(df: DataFrame, folder: str, model: str, vector: str = "vec") -> int:
+    """Write rows (with text hashes) as a new snapshot, then the note that points to it.
+
+    All vectors must have one width. Nothing that exists is overwritten: readers keep the
+    snapshot they have, and a run that dies before the note is written leaves the index as
+    it was. Returns the snapshot's version. Writers must take turns.
+    """
     widths = df.agg(F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi")).first()
     if widths.lo != widths.hi:
         raise ValueError(f"vectors have {widths.lo} to {widths.hi} dimensions")
-    df.withColumn("text_hash", text_hash(F.col("text"))).write.mode("overwrite").parquet(f"{folder}/rows")
-    manifest(df, model, vector).withColumn("created_at", F.current_timestamp()).write.mode(
-        "overwrite"
-    ).json(f"{folder}/manifest")
+    spark = df.sparkSession
+    notes = read_notes(spark, folder)
+    version = 1 if notes is None else (notes.agg(F.max("version").alias("v")).first().v or 0) + 1
+    snapshot = f"rows-{version}-{uuid.uuid4().hex}"
+    df.withColumn("text_hash", text_hash(F.col("text"))).write.parquet(f"{folder}/{snapshot}")
+    written = spark.read.parquet(f"{folder}/{snapshot}")
+    note = manifest(written, model, vector).select(F.lit(version).cast("long").alias("version"), F.lit(snapshot).alias("snapshot"), "*", F.current_timestamp().alias("created_at"))
+    note.coalesce(1).write.mode("append").json(f"{folder}/notes")
+    return version
+
 
+NOTE = (
+    "version long, snapshot string, model string, dimensions int, input_type string, content_hash string, rows long, text_fields string, created_at timestamp"
+)
 
-def load_index(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The stored rows, or None when rows and manifest are absent or disagree."""
+
+def read_notes(spark: SparkSession, folder: str) -> DataFrame | None:
+    """One row per snapshot that was finished, or None where there is no index."""
     try:
-        rows = spark.read.parquet(f"{folder}/rows")
-        note = spark.read.json(f"{folder}/manifest").first()
-    except Exception as error:  # a missing or unreadable folder means there is no index
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+        return spark.read.schema(NOTE).json(f"{folder}/notes")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    complete = rows.agg(F.count("vec").alias("n")).first().n
-    return rows if note is not None and note["rows"] == complete else None
+
+
+def load_index(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame | None:
+    """Rows of the newest whole snapshot (or of one version), or None if there is none.
+
+    A snapshot is whole if as many rows with a vector of the noted width, and with the
+    noted content hash, are there; if not, the one before it is tried.
+    """
+    notes = read_notes(spark, folder)
+    if notes is None:
+        return None
+    wanted = notes if version is None else notes.filter(F.col("version") == version)
+    for note in wanted.orderBy(F.desc("version")).limit(SNAPSHOTS_TRIED).collect():
+        try:
+            rows = spark.read.parquet(f"{folder}/{note.snapshot}")
+        except AnalysisException:  # rows that were removed or never written whole
+            continue
+        widths = rows.agg(F.count("vec").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
+        there = content_hash(rows.filter("vec IS NOT NULL")).first()
+        whole = (widths.n, there.content_hash) == (note["rows"], note.content_hash)
+        if whole and (not widths.n or widths.lo == widths.hi == note.dimensions):
+            return rows
+    return None
+
+
+def prune_index(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
+    """Remove the rows of all but the newest ``keep`` snapshots; returns their names."""
+    notes = read_notes(spark, folder)
+    if notes is None:
+        return []
+    names = [r.snapshot for r in notes.orderBy(F.desc("version")).select("snapshot").collect()][keep:]  # one note a refresh
+    removed = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True):
+            removed.append(name)
+    return removed
 
 
 def stale_rows(docs: DataFrame, index: DataFrame, hash_column: str = "text_hash") -> DataFrame:

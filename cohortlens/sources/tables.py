@@ -52,16 +52,18 @@ ATTENDANCE_SCHEMA = T.StructType(
 )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Parquet, JSON or CSV by ending; CSV may hold quoted multi-line text and a BOM.
 
-    CSV columns are matched to ``schema`` by header name, so their order is free.
+    CSV columns are matched to ``schema`` by header name, so their order is free. With
+    ``multi_line`` a JSON file is one array or object, and a file is one task's work; without
+    it JSON has an object and CSV a row on each line, and large files are split among tasks.
     """
     if path.endswith(".json"):
-        return (spark.read.schema(schema) if schema else spark.read).json(path, multiLine=True)
+        return (spark.read.schema(schema) if schema else spark.read).json(path, multiLine=multi_line)
     if not path.endswith(".csv"):
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    df = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
     if schema is None:
         return df
     types = {f.name: f.dataType for f in schema.fields}

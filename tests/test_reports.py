@@ -170,6 +170,35 @@ def test_index_store(spark, tmp_path):
         I.write_index(uneven, folder, "m")
 
 
+def test_index_survives_crashes_and_damage(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0])], "row_index long, text string, vec array<float>")
+    newer = docs.withColumn("text", F.concat("text", F.lit("!")))
+    folder = str(tmp_path / "index")
+    texts = lambda df: sorted(r.text for r in df.collect())
+    assert I.write_index(docs, folder, "m") == 1
+    held = I.load_index(spark, folder)
+
+    def crash(*_):
+        raise RuntimeError("lost between rows and note")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(I, "manifest", crash)
+        with pytest.raises(RuntimeError):
+            I.write_index(newer, folder, "m")
+    assert texts(I.load_index(spark, folder)) == ["a", "b"]
+    assert I.write_index(newer, folder, "m") == 2
+    assert texts(I.load_index(spark, folder)) == ["a!", "b!"] and texts(held) == ["a", "b"]
+    assert texts(I.load_index(spark, folder, 1)) == ["a", "b"] and I.load_index(spark, folder, 9) is None
+    # the same number of rows with other texts is no whole snapshot
+    snapshot = I.read_notes(spark, folder).filter("version = 2").first().snapshot
+    other = docs.withColumn("text_hash", F.sha2("text", 256)).collect()
+    spark.createDataFrame(other, I.load_index(spark, folder).schema).write.mode("overwrite").parquet(f"{folder}/{snapshot}")
+    assert texts(I.load_index(spark, folder)) == ["a", "b"]
+    assert I.write_index(newer, folder, "m") == 3
+    assert len(I.prune_index(spark, folder, 1)) == 2 and texts(I.load_index(spark, folder)) == ["a!", "b!"]
+    assert I.load_index(spark, folder, 1) is None
+
+
 def test_merge_cache_and_results(spark, tmp_path):
     cache = spark.createDataFrame([("a", 1.0), ("b", None), ("c", None)], "identity string, score double")
     new = spark.createDataFrame([("a", 9.0), ("b", 2.0), ("d", 4.0)], "identity string, score double")

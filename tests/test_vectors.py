@@ -233,6 +233,16 @@ def test_arrivals(spark, base, tmp_path):
     assert query.exception() is None
     streamed = {(min(r.query_id, 2), r.row_index) if r.query_id < 3 else (r.query_id, r.row_index) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {r for _, r in streamed} == {r for _, r in got} and {q for q, _ in streamed} in ({1, 4}, {2, 4})
+    # started again, the stream checks nothing twice; a later file brings one known and one new text
+    more = [(7, "other idea", "another description", [0.0, 1.0, 0.0, 0.0]), (8, "third idea", "with a description", [0.0, 0.0, 1.0, 0.0])]
+    late = spark.createDataFrame(more, "query_id long, idea string, description string, vec array<float>").withColumn("arrived_at", F.lit("2024-01-02").cast("timestamp"))
+    for step, added in (("replayed", set()), ("later", {8})):
+        if added:
+            late.select(*df.columns).coalesce(1).write.mode("append").parquet(folder)
+        query = check_arrivals(spark.readStream.schema(df.schema).parquet(folder), base, str(tmp_path / "out"), str(tmp_path / "state"), min_score=-1.0)
+        query.awaitTermination(60)
+        asked = {r.query_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert asked - {1, 2, 4} == added, step
 
 
 @pytest.mark.parametrize("seed", [1, 2])
