@@ -11,13 +11,16 @@ from ..functions.text import strip
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """Keep the row with the smallest ``order`` per key (null is a key of its own).
 
-    One grouped minimum over whole rows, meant for narrow frames: it combines map-side, so
-    a key held by a third of all rows stays cheap, and its partitioning serves a join on
-    the same key.
+    First the least ``order`` of each key, from two columns alone and combined map-side, so a
+    key held by a third of all rows stays cheap; then the rows that have it. Rows that share
+    key and order, if there are any, are settled among themselves by their other columns.
     """
+    least = df.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min(f"`{order}`").alias("_least"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_key")) & F.col(f"`{order}`").eqNullSafe(F.col("_least"))
+    found = df.join(least, same, "left_semi")
     rest = [c for c in df.columns if c not in (key, order)]
-    row = F.struct(order, *[F.col(f"`{c}`") for c in rest])
-    return df.groupBy(key).agg(F.min(row).alias("_first")).select(key, "_first.*").select(
+    row = F.struct(*[F.col(f"`{c}`") for c in (order, *rest)])
+    return found.groupBy(key).agg(F.min(row).alias("_first")).select(key, "_first.*").select(
         *[F.col(f"`{c}`") for c in df.columns]
     )
 

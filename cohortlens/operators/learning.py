@@ -19,7 +19,7 @@ from ..session import stage
 from .filters import assert_no_leak
 from .neighbours import nearest_neighbours
 from .ordering import global_row_number
-from .ranking import confusion_metrics, model_rank, pick_threshold, portable_key, threshold_sweep
+from .ranking import confusion_metrics, pick_threshold, portable_key, threshold_sweep
 
 # Seed, shares and thresholds of the training run.
 SEED = 42
@@ -295,7 +295,8 @@ def score_table(df: DataFrame, model: Transformer, threshold: float = DECISION_T
     Probabilities are kept to PROBABILITY_DIGITS, so noise in the last bits ranks nothing.
     """
     found = probabilities(df, model, "accept_probability").withColumn("accept_probability", F.round("accept_probability", PROBABILITY_DIGITS))
-    scored = df.join(found, "row_id")
+    ranked = global_row_number(found, [F.desc("accept_probability"), F.asc("row_id")], "model_rank")  # two columns are written
+    scored = df.join(ranked, "row_id")
     out = scored.withColumns(
         {
             "predicted_accepted": (F.col("accept_probability") >= threshold).cast("int"),
@@ -303,5 +304,4 @@ def score_table(df: DataFrame, model: Transformer, threshold: float = DECISION_T
         }
     )
     kept = [c for c in ("row_id", "identity", "project_name", "year", "y") if c in df.columns]
-    out = out.select(*kept, "accept_probability", "predicted_accepted", "prediction_threshold")
-    return model_rank(out, "accept_probability")
+    return out.select(*kept, "accept_probability", "predicted_accepted", "prediction_threshold", "model_rank")

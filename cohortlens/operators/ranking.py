@@ -186,8 +186,13 @@ def model_top_k(df: DataFrame, k: int, score: str = "model_prob", order: str = "
 
 
 def model_rank(df: DataFrame, score: str = "model_prob", order: str = "row_id") -> DataFrame:
-    """Rank 1..n over all rows by falling score."""
-    return global_row_number(df, [F.desc(score), F.asc(order)], "model_rank")
+    """Rank 1..n over all rows by falling score.
+
+    Only score and ``order``, which must be unique, are sorted and written; the ranks are
+    joined to the rows.
+    """
+    ranks = global_row_number(df.select(score, order), [F.desc(score), F.asc(order)], "model_rank")
+    return df.join(ranks.select(order, "model_rank"), order)
 
 
 def primary_shortlist(ranked: DataFrame, n: int) -> DataFrame:

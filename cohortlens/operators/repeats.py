@@ -43,9 +43,11 @@ def repeat_submissions(
 ) -> DataFrame:
     """First and latest round of every repeated idea side by side.
 
-    One grouped pass: an identity repeats when its smallest and largest cohort differ,
-    and the first and latest rows are the extremes of one struct. All of it combines
-    map-side, so a heavily repeated identity is no hot spot. Filters test the latest row.
+    One grouped pass over cohorts and row numbers: an identity repeats when its smallest and
+    largest cohort differ, and its first and latest rows are the extremes of one struct. All
+    of it combines map-side, so a heavily repeated identity is no hot spot. Texts and labels
+    are then fetched for those two rows alone, by ``order``, which must be unique. Filters
+    test the latest row.
     """
     if not {"year", "project_name", "cohort_id"} <= set(df.columns):
         return df.sparkSession.createDataFrame([], REPEAT_SCHEMA)
@@ -55,9 +57,7 @@ def repeat_submissions(
     row = F.struct(
         F.col("cohort_id").isNull().alias("_late"),  # a missing cohort sorts last
         F.col("cohort_id").alias("cohort_id"),
-        F.col(order).alias("_order"),
-        F.col("project_name").alias("name"),
-        *[_pick(df, choices).alias(name) for name, choices in ATTRIBUTES.items()],
+        F.col(order).alias("row"),
     )
     if years:
         df = df.filter(F.col("year").isin(*years))
@@ -72,6 +72,11 @@ def repeat_submissions(
         )
         .filter(F.col("_lo") != F.col("_hi"))
     )
+    picked = {name: _pick(df, choices).alias(name) for name, choices in ATTRIBUTES.items()}
+    for side, wanted in (("first", ("sector", "stage", "outcome")), ("latest", tuple(ATTRIBUTES))):
+        values = F.struct(F.col("cohort_id"), F.col("project_name").alias("name"), *(picked[name] for name in wanted))
+        rows = df.select(F.col(order).alias("_row"), values.alias("_values"))
+        groups = groups.join(rows, F.col(f"{side}.row") == F.col("_row")).withColumn(side, F.col("_values")).drop("_row", "_values")
     applicant_type = clean_applicant_type(F.col("latest.type"))
     for column, values in (
         (F.col("latest.sector"), sectors),
