@@ -25,7 +25,8 @@ from .registry import register
 from .tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PIECE_CACHE = 300_000  # pieces kept with their ids; a full cache starts anew
+PIECE_CACHE = 150_000  # pieces in each of the two generations that are kept with their ids
+ONE_BYTE = (1,)
 OUTPUTS = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType()),
@@ -45,7 +46,12 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks), default=1)
+        ending: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 1:
+                ending.setdefault(token[-2:], {1}).add(len(token))
+        # by the last two bytes of a prefix: the lengths of the tokens that can end there, longest first
+        self.lengths = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in ending.items()}
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
@@ -86,11 +92,12 @@ class PrefixTokens:
     def append(self, more: bytes) -> None:
         """Add bytes; the entries so far stay as they are."""
         voc, old = self.vocabulary, len(self.data)
-        ranks, valid, last, longest = voc.ranks, voc.valid, self.last, voc.longest
+        ranks, valid, last, lengths = voc.ranks, voc.valid, self.last, voc.lengths
         self.data = data = self.data + more
         for end in range(old + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
+            for size in lengths.get(data[max(0, end - 2) : end], ONE_BYTE):
+                start = end - size
+                token = ranks.get(data[start:end]) if start >= 0 else None
                 if token is None:
                     continue
                 if valid(last[start], token) if start else voc.whole(token):
@@ -115,29 +122,38 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
         """Ids of one piece, as little-endian 32-bit integers."""
         found = self.cache.get(text)
         if found is None:
+            found = self.older.get(text)
+            if found is None:
+                found = np.array(PrefixTokens(self.vocabulary, text.encode()).ids(), dtype="<u4").tobytes()
             if len(self.cache) >= PIECE_CACHE:
-                self.cache.clear()
-            ids = PrefixTokens(self.vocabulary, text.encode()).ids()
-            found = self.cache[text] = np.array(ids, dtype="<u4").tobytes()
+                self.older, self.cache = self.cache, {}
+            self.cache[text] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        cache, pieces = self.cache, self.split.findall(text)
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            return b"".join([self.piece(p) for p in pieces])
+        pieces = self.split.findall(text)
+        codes = list(map(self.cache.get, pieces))
+        if None in codes:
+            codes = [self.piece(p) if code is None else code for p, code in zip(pieces, codes, strict=True)]
+        return b"".join(codes)
 
     def decode(self, ids: bytes) -> bytes:
         table = self.vocabulary.table
         return b"".join([table[k] for k in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
+@lru_cache(maxsize=2)
+def encoder_of(vocabulary: bytes, pattern: str) -> Encoder:
+    """One encoder, with its caches, for all tasks of a Python worker."""
+    return Encoder(load_ranks(vocabulary), pattern)
+
+
 class EditableText:
     """A text with its pieces, kept encoded while it grows or is edited."""
 
@@ -200,7 +216,7 @@ def encode_documents(
     schema = T.StructType([T.StructField(id_column, key.dataType), *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(vocabulary), pattern)
+        encoder = encoder_of(vocabulary, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
