@@ -275,10 +275,11 @@ crit AS (SELECT row_id, {_int(_wc("problem_en") + " >= 20")} + {_int(_wc("proble
   {_CR} + {_int(_MATURITY + " >= 1")} + {_int(_SIZE + " >= 2")} + CAST(aged AS INTEGER) AS crit_feasibility FROM full_apps LEFT JOIN per USING (row_id) JOIN ages USING (row_id))"""
 
 
-@register("feat_criteria", f"""WITH {FULL}, {CRITERIA} SELECT *, crit_problem + crit_solution + crit_innovation + crit_market + crit_feasibility AS crit_total, crit_solution * crit_feasibility AS crit_solution_feasibility FROM crit""")
+@register("feat_criteria", f"""WITH {FULL}, {CRITERIA}, {TECH.replace("FROM seeded", "FROM full_apps")}
+SELECT crit.*, crit_problem + crit_solution + crit_innovation + crit_market + crit_feasibility AS crit_total, crit_solution * crit_feasibility AS crit_solution_feasibility,
+  crit_market * tech_coupled AS crit_tech_market FROM crit JOIN tech USING (row_id)""")
 def feat_criteria(spark, d):
-    names = [c for c in K.NUMERIC["criteria_proxy"] if c != "crit_tech_market"]
-    return K.engineer_features(_full(spark, d)).select("row_id", *names)
+    return K.engineer_features(_full(spark, d)).select("row_id", *K.NUMERIC["criteria_proxy"])
 
 
 @register("feat_name", f"WITH {FULL} SELECT row_id, CAST(length(project_name) AS INTEGER) AS name_len, CAST(regexp_matches(project_name, '[0-9]') AS INTEGER) AS name_has_digit, CAST(regexp_matches(project_name, '[\\x{{0600}}-\\x{{06FF}}]') AS INTEGER) AS name_has_arabic FROM full_apps")
