@@ -1,7 +1,9 @@
 import base64
 import gzip
 import hashlib
+import time
 import uuid
+import zlib
 from html.parser import HTMLParser
 
 import pytest
@@ -114,3 +116,65 @@ def test_tables(spark):
     bad = spark.createDataFrame([(1, None), (2, b""), (3, b"junk"), (4, b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")], "page_id long, record binary")
     assert w.derived_records(bad).count() == 0
     assert w.derived_records(w.page_responses(df.limit(0))).count() == 0
+
+
+def response(headers, body, names=("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date")):
+    values = ("response", "<urn:x>", "http://e.org/", "2024-05-05T00:00:00Z")
+    block = "".join(f"{k}: {v}\r\n" for k, v in headers).encode("latin-1")
+    return w.build_record(list(zip(names, values)), b"HTTP/1.1 200 OK\r\n" + block + b"\r\n" + body)
+
+
+def blocks(record):
+    return {kind: w.parse_record(data)[1].decode() for kind, data in w.derive(record)}
+
+
+def test_header_names_in_any_case():
+    for names in (("warc-type", "warc-record-id", "warc-target-uri", "warc-date"), ("WARC-TYPE", "WARC-RECORD-ID", "WARC-TARGET-URI", "WARC-DATE")):
+        for _, data in w.derive(response([], b"<p>x", names)):
+            h = w.parse_record(data)[0]
+            assert ("WARC-Target-URI", "http://e.org/") in h and ("WARC-Date", "2024-05-05T00:00:00Z") in h
+            assert w.header(h, "WARC-Refers-To") == "<urn:x>"
+
+
+@pytest.mark.parametrize("charset", ["idna", "undefined", "nothing", "hex", "punycode\xe9"])
+def test_charsets_that_cannot_be_used(charset):
+    assert blocks(response([("Content-Type", f"text/html; charset={charset}")], "<p>größe".encode()))["conversion"] in ("größe",)
+
+
+def test_packed_and_broken_bodies_lose_no_page():
+    html = ("<title>T</title>" + "".join(f"<p>line {k * k}" for k in range(400))).encode()
+    text = w.read_page(html.decode())["text"]
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(html) + raw.flush()
+    for coding, body in (("deflate", zlib.compress(html)), ("deflate", raw), ("gzip", gzip.compress(html[:900]) + gzip.compress(html[900:])), ("gzip, deflate", zlib.compress(gzip.compress(html))), ("identity", html)):
+        made = blocks(response([("Content-Encoding", coding)], body))
+        assert made["conversion"] == text and "source-problem" not in made["metadata"], coding
+    for coding, body in (("gzip", gzip.compress(html)[:-300]), ("deflate", zlib.compress(html)[:-300])):
+        made = blocks(response([("Content-Encoding", coding)], body))
+        assert text.startswith(made["conversion"][:-12]) and len(made["conversion"]) > 100 and f"source-problem: the {coding} body is broken\r\n" in made["metadata"]
+    made = blocks(response([("Content-Encoding", "gzip")], b"no stream"))
+    assert made["conversion"] == "" and "source-problem: the gzip body is broken\r\n" in made["metadata"]
+    made = w.derive(response([("Content-Encoding", "br")], b"\x8b\x02\x80ab\x03"))
+    assert [kind for kind, _ in made] == ["metadata"] and b"source-problem: unknown content coding br\r\n" in made[0][1] and b"Concurrent" not in made[0][1]
+    chunks = b"".join(b"%x;q=1\r\n%s\r\n" % (len(html[k : k + 7]), html[k : k + 7]) for k in range(0, len(html), 7))
+    for end, problem in ((b"0\r\n\r\n", False), (b"", True), (b"zz\r\nrest", True)):
+        made = blocks(response([("Transfer-Encoding", "chunked")], chunks + end))
+        assert made["conversion"] == text and ("source-problem: the chunked body has no end" in made["metadata"]) == problem
+
+
+def test_unclosed_quotes_are_no_quotes():
+    page = w.read_page("""<p>one</p><a href="/x>two</a> <b>three</b>""")
+    assert page["text"] == "one\ntwo three"
+    assert w.read_page("""<a title='it"s' href="/l">x</a><i class="q>y</i>""")["links"] == ["/l"]
+    assert w.read_page("a < b <3 <x")["text"] == "a < b <3 <x"
+    assert w.read_page("&#" + "9" * 5000 + "; <b>x</b> &#65;")["text"] == "\ufffd x A"
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<a", "<!", "<!-", "<noscript>", "<title>", "<head><script></head>", "<body ", "<head><title>", "<a\"'", "&#9", "<a x=' y=\"", "a=<"])
+def test_time_grows_with_length(piece):
+    page = piece * (1_000_000 // len(piece))
+    begin = time.process_time()
+    w.read_page(page)
+    w.read_page("<a " + page + ">")
+    w.read_page("<a " + "b" * 500_000 + ">" + page[:500_000] + '"')
+    assert time.process_time() - begin < 20
