@@ -29,7 +29,7 @@ from .arrays import BLANK_WORDS, Slice, mix, ragged, slices, words_of
 from .counts import summed
 from .graph import components
 from .registry import register
-from .tables import table
+from .tables import field, table, whole_row
 
 PERCENT = 80
 SLOT_BITS = 22  # slots of the rarity table: 16 MB of counts at any corpus size
@@ -54,6 +54,11 @@ def probe_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def least_size(percent: int) -> int:
+    """Words of the smallest line that a different line can match."""
+    return -(-percent // (100 - percent)) if percent < 100 else np.iinfo(np.int32).max
+
+
 class LineSets:
     """Distinct words of the lines of a slice, flat: ``line`` (ascending), ``token``."""
 
@@ -107,7 +112,7 @@ def prefixes(sets: LineSets, slots: np.ndarray, percent: int) -> tuple[np.ndarra
     key = np.minimum(rank, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | sets.token >> np.uint64(24)
     order = np.lexsort((key, sets.number))
     pos = np.arange(len(order)) - np.repeat(sets.begin, sets.size)
-    near = pos < np.repeat(np.where(sets.size > 3, probe_length(sets.size, percent), 0), sets.size)
+    near = pos < np.repeat(np.where(sets.size >= least_size(percent), probe_length(sets.size, percent), 0), sets.size)
     shared = near & (rank[order] > 1)  # a count of one: no other line has the token
     return sets.number[order][shared], sets.token[order][shared], pos[shared]
 
@@ -328,7 +333,7 @@ class Found:
         self.lines = stage(all_lines(docs))
         self.classes = stage(self.lines.groupBy("sig").agg(F.min(place()).alias("first"), F.max("n").alias("n")))
         self.held = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-        total = self.classes.where("n > 3").agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 1
+        total = self.classes.where(F.col("n") >= least_size(percent)).agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 1
         self.buckets = int(-(-total // BUCKET_POSTINGS))
         self.found = stage(candidates(postings(docs, self.held, self.buckets, percent), percent, nearest))
         self.pairs = stage(self.found.groupBy("x", "y").agg(F.min("distance").alias("distance")))
@@ -460,15 +465,24 @@ def line_decisions(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def without_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the removed lines cut from ``text``; adds ``n_removed``. All columns stay."""
+def cut_lines(docs: DataFrame, **options) -> DataFrame:
+    """(row, text, n_removed): all columns of a row as one struct, its text without the removed lines, and their number."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__mark": F.xxhash64(text)})
-    gone = removed_lines(prepared(docs), **options).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("__gone", k.cast("long")))
-    joined = keyed.join(gone, ["__id", "__mark"], "left")
-    cut = F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return joined.select(*(cut.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
+    keyed = docs.select(whole_row(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("mark"))
+    gone = removed_lines(prepared(docs), **options).groupBy("id", "mark").agg(F.collect_set("line_no").alias("gone"))
+    joined = keyed.join(gone, ["id", "mark"], "left")
+    kept = F.filter(F.split(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "\n"), lambda line, k: ~F.array_contains("gone", k.cast("long")))
+    cut = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("row.text"))
+    return joined.select("row", cut.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+
+
+def without_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the removed lines cut from ``text``, and ``n_removed``.
+
+    All columns stay, whatever their names, but an ``n_removed`` that was there before.
+    """
+    fields = [field(c) if c.lower() != "text" else F.col("text").alias(c) for c in docs.columns if c.lower() != "n_removed"]
+    return cut_lines(docs, **options).select(*fields, "n_removed")
 
 
 @register("op1_line_dedup")

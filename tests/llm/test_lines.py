@@ -147,3 +147,13 @@ def test_long_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.removed for r in L.line_decisions(df).collect()}
     assert [got[d] for d, _ in rows] == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 67, 75, 95, 100])
+def test_short_lines_at_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    rows = [(k, "\n".join(" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 6))) for _ in range(3))) for k in range(15)]
+    rows += [(100, "p q r"), (101, "p q r s"), (102, "x y"), (103, "x y z"), (104, "u"), (105, "u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in L.line_decisions(df, percent=percent).collect()}
+    assert [got[doc] for doc, _ in rows] == brute(rows, percent)
