@@ -1,11 +1,13 @@
 import hashlib
 
 import numpy as np
+import pytest
 import test_contamination
 import test_jaccard
 import test_lines
 import test_quality
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from cohortlens.llm import bpe, quality
@@ -51,7 +53,7 @@ def test_every_stage_equals_brute_force(spark):
     got = p.line_dedup(spark, spark.createDataFrame(want, frame.schema), FOLDER)
     assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == cut and any(gone)
 
-    names = {doc: name for doc, _, name in test_jaccard.brute([d[:2] for d in cut])}
+    names = {doc: name for doc, _, name in test_jaccard.brute([d[:2] for d in cut], 80, 5)}
     near = [d for d in cut if names[d[0]] == d[0]]
     got = p.ngram_jaccard_join(spark, spark.createDataFrame(cut, frame.schema), FOLDER)
     assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == near
@@ -94,3 +96,20 @@ def test_empty_table(spark):
     for _, apply in p.STAGES:
         out = apply(spark, df, FOLDER)
         assert out.count() == 0
+
+
+NAMES = ["id", "mark", "row", "gone", "n_removed", "first", "__id", "__mark", "__gone", "__text", "sig", "lead", "leads", "label", "node", "kept", "n_words", "n_hit", "component_id", "a.b", "c d", "e`f", "line_no", "tokens"]
+
+
+@pytest.mark.parametrize("name,apply", p.STAGES[:-1])
+def test_columns_of_any_name_pass_unchanged(spark, name, apply):
+    """Every internal name as an input column, with dots, blanks and nulls."""
+    source = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 120")
+    plain = {r.doc_id: r.text for r in apply(spark, source, FOLDER).collect()}
+    extra = source.select("*", *((F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") + k)).alias(c) for k, c in enumerate(NAMES)))
+    out = apply(spark, extra, FOLDER)
+    assert out.columns == extra.columns
+    rows = [r.asDict() for r in out.collect()]
+    assert {r["doc_id"]: r["text"] for r in rows} == plain and len(rows) == len(plain) > 0
+    for r in rows:
+        assert [r[c] for c in NAMES] == [r["doc_id"] + k if r["doc_id"] % 3 else None for k in range(len(NAMES))]
