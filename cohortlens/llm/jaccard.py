@@ -1,11 +1,18 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-Documents with equal sets are one row of the incidence matrix. Two rows of sizes n and m
-that reach the threshold differ in at most ``h`` n-grams, a bound that follows from the
-sizes. The columns are therefore dealt by hash into more than ``h`` blocks (as many for
-all sizes of a class, and a row takes part in its own class and the one below): two rows
-that can link agree in a whole block. Rows that agree in a block are a family after
-closure; other rows never meet, whatever single n-grams they share. Within a family the
+Documents with equal sets are one row of the incidence matrix. A row of n n-grams can only
+link over at least ``percent`` of them, so two linked rows share a column among the
+n - ceil(percent * n) + 1 columns of each that come first in any common order. The order is
+by the columns' counts over the whole corpus (in a table of fixed size, which any column
+may share): the lead columns of a row are its rarest, and a passage that many documents
+quote leads none of them. Rows with a lead column in common are a family after closure.
+
+Where n-grams are few, single ones meet by chance and a family grows large. Such a family is dealt
+again by whole blocks of columns. Two rows of sizes n and m that reach the threshold differ in
+at most ``h`` n-grams, a bound that follows from the sizes. The columns are dealt by hash into
+more than ``h`` blocks (as many for all sizes of a class, and a row takes part in its own
+class and the one below): two rows that can link agree in a whole block. Both conditions hold
+for all links, so none is lost, and rows that meet by neither never meet. Within a family the
 product runs block of rows by block of rows inside tasks of bounded size, accumulating
 overlap counts and dropping pairs that the rest of a row can't lift over the bound, and
 gives back a spanning forest of the links, never the pairs of a dense group.
@@ -14,16 +21,17 @@ gives back a spanning forest of the links, never the pairs of a dense group.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
 from .arrays import BLANK_WORDS, Slice, mix, ragged, slices, windows, words_of
+from .counts import summed
 from .graph import components
 from .registry import register
 from .tables import table
@@ -31,6 +39,7 @@ from .tables import table
 BLOCK_ENTRIES = 1_000_000  # matrix entries of a block of rows, on average
 COLUMN_BLOCK = 512
 LEVEL_BITS = 8
+SLOT_BITS = 22  # slots of the table of counts: 16 MB at any corpus size
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -56,6 +65,11 @@ class Levels:
         return differ + 1 + spare, spare
 
 
+def lead_length(n: int, percent: int) -> int:
+    """Lead columns of a row of ``n``; none where only an equal row reaches ``percent``."""
+    return 0 if 100 * n < percent * (n + 1) else n - -(-percent * n // 100) + 1
+
+
 def sets_of(part: Slice, size: int) -> list[np.ndarray]:
     """Sorted distinct n-gram fingerprints of each text; a text of fewer words is one n-gram."""
     words, _ = words_of(part, BLANK_WORDS)
@@ -96,9 +110,39 @@ def block_keys(grams: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def document_sets(docs: DataFrame, levels: Levels, size: int) -> DataFrame:
-    """doc_id, n_shingles, sig (of the set; null when empty) and the keys of each row."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+def slot_of(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams + SALT) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def column_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """How often the n-grams of each slot occur in the whole corpus; 2**SLOT_BITS counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        slots = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                for grams in sets_of(part, size):
+                    np.add.at(slots, slot_of(grams), 1)
+        return slots
+
+    found = summed(docs.select(F.col("text").cast("string")), count, 1 << SLOT_BITS)
+    return np.minimum(found, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def lead_columns(grams: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest n-grams of a set (sorted), as many as its size asks for; those that no other row has are left out."""
+    count = counts[slot_of(grams)]
+    first = np.argsort(count, kind="stable")[: lead_length(len(grams), percent)]
+    return grams[first[count[first] > 1]]
+
+
+def document_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, sig (of the set; null when empty) and the lead columns of each row.
+
+    Of equal sets that a task meets, one has its columns.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(column_counts(docs, size))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("leads", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
@@ -106,22 +150,33 @@ def document_sets(docs: DataFrame, levels: Levels, size: int) -> DataFrame:
             for part in slices(batch.column(1)):
                 sets = sets_of(part, size)
                 sigs = [signature(s) if len(s) else None for s in sets]
-                keys = []
+                leads = []
                 for sig, grams in zip(sigs, sets):
                     again = sig is None or sig in seen
-                    keys.append(np.zeros(0, np.int64) if again else block_keys(grams, levels).view(np.int64))
+                    leads.append(np.zeros(0, np.int64) if again else lead_columns(grams, held.value, percent).view(np.int64))
                     if not again:
                         if len(seen) > 100_000:
                             seen.clear()
                         seen[sig] = None
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "sig", "keys"],
+                    [batch.column(0).slice(part.first, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(leads, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "sig", "leads"],
                 )
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def families(rows: DataFrame, *by: str) -> DataFrame:
+    """(node, label) of the rows ``sig`` that a chain of common keys (the columns ``by``) connects.
+
+    Every row hangs on the least row of each of its keys. That row comes from a grouped
+    minimum, which combines before the shuffle, and is joined back, where a key of very many rows
+    can be split; keys of one row are gone by then.
+    """
+    least = rows.groupBy(*by).agg(F.min("sig").alias("b"), F.max("sig").alias("top")).where("b <> top").select(*by, "b")
+    return components(rows.join(least, list(by)).where("sig <> b").select(F.col("sig").alias("a"), "b").distinct())
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
@@ -199,8 +254,8 @@ def family_links(sets: DataFrame, percent: int) -> DataFrame:
     return cells.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def grams_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``wanted`` (doc_id, sig and more) with the n-grams of those documents.
+def grams_of(docs: DataFrame, wanted: DataFrame, size: int, made: Callable[[np.ndarray], np.ndarray] = lambda grams: grams) -> DataFrame:
+    """``wanted`` (doc_id, sig and more) with ``grams``: the n-grams of those documents, or what is ``made`` of them.
 
     Of repeated ids only the rows with the wanted set are taken.
     """
@@ -215,7 +270,7 @@ def grams_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 own = batch.slice(part.first, len(part))
                 sets = sets_of(part, size)
                 same = [len(s) > 0 and signature(s) == sig for s, sig in zip(sets, own.column(rest.index("sig")).to_pylist())]
-                grams = pa.array([s.view(np.int64) if ok else None for s, ok in zip(sets, same)], pa.list_(pa.int64()))
+                grams = pa.array([made(s).view(np.int64) if ok else None for s, ok in zip(sets, same)], pa.list_(pa.int64()))
                 found = pa.RecordBatch.from_arrays([*(own.column(k) for k in range(len(rest))), grams], names=[*rest, "grams"])
                 yield found.filter(pa.array(same))
 
@@ -233,15 +288,18 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block_
     out. An empty table gives an empty result. Sets are
     compared by 64-bit fingerprints of their n-grams.
     """
-    levels = Levels(percent)
-    staged = stage(document_sets(docs, levels, size))
+    staged = stage(document_sets(docs, size, percent))
     classes = staged.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_equal"))
-    rows = staged.where("sig is not null").select("sig", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    met = rows.withColumn("least", F.min("sig").over(by_key)).where("sig <> least").select(F.col("sig").alias("a"), F.col("least").alias("b"))
-    family = stage(components(met.distinct()))
-    members = classes.where("doc_id is not null").join(family, F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
+    rows = staged.where("sig is not null").select("sig", F.explode("leads").alias("lead"))
+    members = classes.where("doc_id is not null").join(families(rows, "lead"), F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
     members = stage(members)
+    large = members.groupBy("family").agg(F.sum("n").alias("entries")).where(F.col("entries") > block_entries).select("family")
+    again = members.join(large, "family").select("doc_id", "sig", "family", "n")
+    levels = Levels(percent)
+    rows = stage(grams_of(docs, again.select("doc_id", "sig", "family"), size, lambda grams: block_keys(grams, levels)))
+    dealt = families(rows.select("sig", "family", F.explode("grams").alias("key")), "family", "key")
+    dealt = again.drop("family").join(dealt, F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
+    members = stage(members.join(large, "family", "left_anti").select("doc_id", "sig", "family", "n").union(dealt))
     totals = members.groupBy("family").agg(F.ceil(F.sum("n") / block_entries).alias("blocks"))
     sets = grams_of(docs, members.join(totals, "family").select("doc_id", "sig", "family", "blocks"), size)
     links = stage(family_links(sets, percent))

@@ -15,8 +15,8 @@ def shingles(text, size=3):
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def brute(rows, percent=90):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=90, size=3):
+    sets = [shingles(t, size) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(k):
@@ -53,12 +53,12 @@ def corpus(seed):
     return rows + [(3000, ""), (3001, None), (3002, " \n"), (3003, "same"), (3004, "SAME")]
 
 
-@pytest.mark.parametrize("seed,entries", [(1, j.BLOCK_ENTRIES), (2, 300)])
-def test_components_equal_brute_force(spark, seed, entries):
+@pytest.mark.parametrize("seed,entries,size,percent", [(1, j.BLOCK_ENTRIES, 3, 90), (2, 300, 3, 90), (3, 300, 5, 80), (4, j.BLOCK_ENTRIES, 2, 60), (5, 300, 1, 100)])
+def test_components_equal_brute_force(spark, seed, entries, size, percent):
     rows = corpus(seed)
-    df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, key string")
-    out = j.jaccard_components(df, block_entries=entries).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows)
+    df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, lead string")
+    out = j.jaccard_components(df, size, percent, block_entries=entries).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, percent, size)
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -80,6 +80,30 @@ def test_size_classes_leave_no_pair_out():
             assert differ == 0 or count - differ >= spare + 1
 
 
+@pytest.mark.parametrize("slots", ["counted", "one", "few"])
+def test_lead_columns_leave_no_pair_out(slots):
+    """Linked sets have a lead column in common, however the columns share slots."""
+    rng = np.random.default_rng(7)
+    pool = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    met = 0
+    for percent in (50, 80, 90, 95, 100):
+        for _ in range(100):
+            base = rng.choice(pool, rng.integers(1, 120), replace=False)
+            gone = rng.integers(0, 1 + len(base) * (100 - percent) // 100)
+            more = rng.integers(0, 1 + len(base) * (100 - percent) // 100)
+            a, b = np.unique(base), np.unique(np.concatenate([base[gone:], rng.choice(pool, more)]))
+            counts = np.full(1 << j.SLOT_BITS, 2, dtype=np.int32) if slots == "one" else np.zeros(1 << j.SLOT_BITS, dtype=np.int32)
+            if slots != "one":
+                for part in (a, b):
+                    np.add.at(counts, j.slot_of(part), 1)
+            if slots == "few":
+                counts += np.arange(len(counts), dtype=np.int32) % 3
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) and len(np.union1d(a, b)) > min(len(a), len(b)):
+                met += 1
+                assert len(np.intersect1d(j.lead_columns(a, counts, percent), j.lead_columns(b, counts, percent)))
+    assert met > 80
+
+
 def test_product_links_connect_what_brute_force_connects():
     rng = np.random.default_rng(4)
     for _ in range(20):
