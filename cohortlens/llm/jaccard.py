@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
+from ..session import discard, stage
 from .arrays import BLANK_WORDS, Slice, mix, ragged, slices, windows, words_of
 from .counts import summed
 from .graph import components
@@ -288,18 +288,21 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block_
     out. An empty table gives an empty result. Sets are
     compared by 64-bit fingerprints of their n-grams.
     """
-    staged = stage(document_sets(docs, size, percent))
+    columns = stage(document_sets(docs, size, percent))
+    staged = stage(columns.drop("leads"))
     classes = staged.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_equal"))
-    rows = staged.where("sig is not null").select("sig", F.explode("leads").alias("lead"))
+    rows = columns.where("sig is not null").select("sig", F.explode("leads").alias("lead"))
     members = classes.where("doc_id is not null").join(families(rows, "lead"), F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
-    members = stage(members)
-    large = members.groupBy("family").agg(F.sum("n").alias("entries")).where(F.col("entries") > block_entries).select("family")
-    again = members.join(large, "family").select("doc_id", "sig", "family", "n")
+    met = stage(members)
+    discard(columns)
+    large = met.groupBy("family").agg(F.sum("n").alias("entries")).where(F.col("entries") > block_entries).select("family")
+    again = met.join(large, "family").select("doc_id", "sig", "family", "n")
     levels = Levels(percent)
     rows = stage(grams_of(docs, again.select("doc_id", "sig", "family"), size, lambda grams: block_keys(grams, levels)))
     dealt = families(rows.select("sig", "family", F.explode("grams").alias("key")), "family", "key")
     dealt = again.drop("family").join(dealt, F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
-    members = stage(members.join(large, "family", "left_anti").select("doc_id", "sig", "family", "n").union(dealt))
+    members = stage(met.join(large, "family", "left_anti").select("doc_id", "sig", "family", "n").union(dealt))
+    discard(rows, met)
     totals = members.groupBy("family").agg(F.ceil(F.sum("n") / block_entries).alias("blocks"))
     sets = grams_of(docs, members.join(totals, "family").select("doc_id", "sig", "family", "blocks"), size)
     links = stage(family_links(sets, percent))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import discard, stage
 from .arrays import BLANK_WORDS, Slice, mix, ragged, slices, words_of
 from .counts import summed
 from .graph import components
@@ -341,6 +341,10 @@ class Found:
         self.places = self.classes.select("sig", F.col("first.doc").alias("id"), F.col("first.line").alias("line_no"))
         self.tokens = stage(line_tokens(docs, ends.join(self.places, "sig")))
 
+    def done(self, *others: DataFrame) -> None:
+        """Candidates and tokens are needed no more: what was decided by them is written."""
+        discard(self.found, self.pairs, self.tokens, *others)
+
     def partners(self, more: DataFrame) -> DataFrame:
         return _all_partners(self.docs, self.held, more, self.tokens, self.places, self.buckets, self.percent)
 
@@ -364,13 +368,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = NEARES
     """
     f = Found(docs, percent, nearest)
     best = f.pairs.groupBy("x").agg(F.min_by("y", F.struct("distance", "y")).alias("y"))
-    settled = stage(verified(best, f.tokens, percent))
-    others = f.pairs.join(best, ["x", "y"], "left_anti").join(settled, "x", "left_anti").select("x", "y")
-    settled = stage(settled.union(verified(others, f.tokens, percent)))
+    near = stage(verified(best, f.tokens, percent))
+    others = f.pairs.join(best, ["x", "y"], "left_anti").join(near, "x", "left_anti").select("x", "y")
+    settled = stage(near.union(verified(others, f.tokens, percent)))
     more = f.found.where("more > 0").select(F.col("x").alias("sig")).distinct().join(settled.select(F.col("x").alias("sig")), "sig", "left_anti")
     more = stage(more)
+    first = settled
     if not more.isEmpty():
-        settled = stage(settled.union(f.partners(more)))
+        settled = stage(first.union(f.partners(more)))
+        discard(first)
+    f.done(near, more)
     return f.removed(settled)
 
 
@@ -389,6 +396,7 @@ def linked_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = ALL) ->
     if not more.isEmpty():
         links = links.union(f.partners(more)).distinct()
     links = stage(links)
+    f.done(more)
     ends = links.select(F.col("x").alias("sig")).unionAll(links.select(F.col("y").alias("sig")))
     degrees = ends.groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
     label = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "sig")
@@ -401,6 +409,7 @@ def linked_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = ALL) ->
     chains = components(rows.select("node", "label").distinct().join(star, "label").select(F.col("node").alias("a"), "b"))
     counts = rows.groupBy("id", "mark", "node").agg(F.sum("links").alias("n_links"))
     held = stage(counts.join(chains, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    discard(rows)
     named = held.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("class_id"))
     return f.removed(links), held.join(named, "label").select("id", "mark", "class_id", "n_links")
 
