@@ -16,8 +16,12 @@ one bucket is sorted at a time:
   by the 16 bytes its head and tail leave over, and ties by the rank of its cover column.
   Ranks are exact: bytes are compared, not fingerprints of them.
 
-Equal texts are one text with a count. A class of more than ``HOT`` rows is dealt again by
-the bytes its suffixes have in common, sixteen starts at a time.
+Equal texts are one text with a count, and equal aligned rows are one row, merged in the
+task that reads them and again before the shuffle: what a class holds follows its different
+bytes, not its holders. The runs found in a row go back to its holders by the row's digest.
+A class of more than ``HOT`` different rows is dealt again by the bytes its suffixes have in
+common, sixteen starts at a time. Only texts that a bit filter of fixed size can't rule out
+are shuffled to the samples they share; full of ids, it lets all texts pass.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
+from ..session import discard, stage
 from .arrays import Rolling, Slice, mix, slices
+from .counts import summed
 from .registry import register
 from .tables import table
 
@@ -44,8 +49,11 @@ REACH = LENGTH - GRAM  # starts before a sample that it may stand for
 WIDTH = REACH + LENGTH
 CHUNK = 1 << 18
 BUCKET_ROWS = 2000
-HOT = 50_000
+HOT = 20_000
+FILTER_SLOTS = 1 << 22
+SEEN = 200_000  # digests a task keeps to send the bytes of a row once
 NO_ID = -(1 << 63)
+RUNS = "array<struct<first: long, last: long>>"
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -101,43 +109,78 @@ def sampled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def bucket_rows(texts: DataFrame) -> DataFrame:
-    """Aligned rows of the live samples of ``texts`` (owner, sha, grams, hot, text).
+def aligned(texts: DataFrame, bodies: bool) -> DataFrame:
+    """Aligned rows of the live samples of ``texts`` (owner, grams, text).
 
-    A row is class, owner, ``left`` (place of column 0 in the text), ``skip`` (its first
-    column) and the bytes of the suffixes it holds.
+    A row is its class, ``skip`` (its first column) and the bytes of the suffixes it holds;
+    ``name`` is a 128-bit digest of the three. With ``bodies``: class, skip, name, body and the
+    least and greatest mark of its holders, rows merged within the task (a body is null when
+    the task sent it before). Without: name, owner and ``left`` (place of column 0 in the text).
     """
-    schema = "class long, owner string, left long, skip int, body binary"
+    schema = "class long, skip int, name binary, body binary, a long, b long" if bodies else "name binary, owner binary, left long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in batches:
-            live = [set(x or ()) for x in batch.column(1).to_pylist()]
-            hot = [set(x or ()) for x in batch.column(2).to_pylist()]
             owners = batch.column(0).to_pylist()
-            for part in slices(batch.column(3)):
-                rows = []
-                for doc, place, first, last, gram in samples(part):
-                    gram = gram.view(np.int64)
-                    for k, (d, p, a, b, g) in enumerate(zip(doc.tolist(), place.tolist(), first.tolist(), last.tolist(), gram.tolist())):
+            live = [set(x or ()) for x in batch.column(1).to_pylist()]
+            for part in slices(batch.column(2)):
+                offsets = part.offsets.tolist()
+                for found in samples(part):
+                    merged: dict[bytes, list] = {}
+                    members = []
+                    doc, place, first, last, gram = found
+                    head = np.array([int.from_bytes(o[:8], "little") for o in owners[part.first : part.first + len(part)]], dtype=np.uint64)
+                    marks = mix(head[doc] ^ mix((place - part.offsets[doc]).astype(np.uint64))).view(np.int64).tolist()
+                    for d, p, x, y, g, mark in zip(doc.tolist(), place.tolist(), first.tolist(), last.tolist(), gram.view(np.int64).tolist(), marks):
                         at = part.first + d
                         if g not in live[at]:
                             continue
                         column0 = p - REACH
-                        pieces = [(g, a, b)]
-                        if g in hot[at]:
-                            pieces = []
-                            for band in range((a - column0) // COLUMN, (b - column0) // COLUMN + 1):
-                                x, y = column0 + band * COLUMN, column0 + band * COLUMN + COLUMN - 1
-                                core = part.data[y : x + LENGTH].tobytes()
-                                name = hashlib.blake2b(core, digest_size=8, salt=g.to_bytes(8, "little", signed=True) + bytes([band]) + bytes(7)).digest()
-                                pieces.append((int.from_bytes(name, "little", signed=True), max(a, x), min(b, y)))
-                        for name, x, y in pieces:
-                            rows.append((name, owners[at], column0 - int(part.offsets[d]), x - column0, part.data[x : y + LENGTH].tobytes()))
-                columns = list(zip(*rows)) or [()] * 5
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["class", "owner", "left", "skip", "body"])
-
-    return texts.select("owner", "grams", "hot", "text").mapInArrow(run, schema)
+                        body = part.data[x : y + LENGTH].tobytes()
+                        name = hashlib.blake2b(body, digest_size=16, salt=g.to_bytes(8, "little", signed=True) + (x - column0).to_bytes(8, "little")).digest()
+                        if not bodies:
+                            members.append((name, owners[at], column0 - offsets[d]))
+                        elif name in merged:
+                            held = merged[name]
+                            held[4], held[5] = min(held[4], mark), max(held[5], mark)
+                        else:
+                            merged[name] = [g, x - column0, name, None if name in sent else body, mark, mark]
+                    if bodies:
+                        if len(sent) > SEEN:
+                            sent.clear()
+                        sent.update(merged)
+                    yield arrow_rows(list(merged.values()) if bodies else members, schema)
+
+    return texts.select("owner", "grams", "text").mapInArrow(run, schema)
+
+
+def arrow_rows(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [field.split() for field in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
+
+
+def dealt_again(rows: DataFrame) -> DataFrame:
+    """Rows of hot classes in pieces of sixteen starts, classed by the bytes these have in common."""
+    schema = "class long, skip int, name binary, body binary, many boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                pieces = []
+                for klass, skip, name, body, many in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
+                    a, b = skip, skip + len(body) - LENGTH
+                    for band in range(a // COLUMN, b // COLUMN + 1):
+                        x, y = band * COLUMN, band * COLUMN + COLUMN - 1
+                        salt = klass.to_bytes(8, "little", signed=True) + bytes([band]) + bytes(7)
+                        core = hashlib.blake2b(body[y - skip : x + LENGTH - skip], digest_size=8, salt=salt).digest()
+                        x, y = max(a, x), min(b, y)
+                        pieces.append((int.from_bytes(core, "little", signed=True), x, name, body[x - skip : y + LENGTH - skip], many))
+                yield arrow_rows(pieces, schema)
+
+    return rows.select("class", "skip", "name", "body", "many").mapInArrow(run, schema)
 
 
 def dense(*keys: np.ndarray) -> np.ndarray:
@@ -151,11 +194,9 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(klass: np.ndarray, matrix: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Which starts (row, column) of aligned rows are equal for LENGTH bytes to another row of the class."""
+def repeated_starts(klass: np.ndarray, matrix: np.ndarray, first: np.ndarray, last: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """Which starts (row, column) of aligned rows occur twice: LENGTH equal bytes in rows of the class with two holders or more."""
     rows, found = len(klass), np.zeros((len(klass), REACH + 1), dtype=bool)
-    if rows < 2:
-        return found
     halves = np.ascontiguousarray(matrix).view(">u8").reshape(rows, WIDTH // COLUMN, 2)
     ranks = {COLUMN: [dense(halves[:, c, 1], halves[:, c, 0]) for c in range(WIDTH // COLUMN)]}
     size = COLUMN
@@ -166,46 +207,66 @@ def repeated_starts(klass: np.ndarray, matrix: np.ndarray, first: np.ndarray, la
     rest = ranks[RANKED - size]
     for c in range(REACH // COLUMN + 1):
         tied = dense(rest[c + size // COLUMN], ranks[size][c], klass)
-        many = np.bincount(tied)[tied] > 1
+        many = np.bincount(tied, holders)[tied] > 1
         for start in range(max(0, (c - 1) * COLUMN + 1), min(c * COLUMN, REACH) + 1):
             live = np.flatnonzero(many & (first <= start) & (start <= last))
-            if len(live) < 2:
+            if not len(live):
                 continue
             cover = c * COLUMN
             over = np.concatenate([matrix[live, start:cover], matrix[live, cover + RANKED : start + LENGTH]], axis=1)
             over = np.ascontiguousarray(over).view(">u8")
             name = dense(over[:, 1], over[:, 0], tied[live])
-            found[live, start] = np.bincount(name)[name] > 1
+            found[live, start] = np.bincount(name, holders[live])[name] > 1
     return found
 
 
 def sorted_buckets(rows: DataFrame, buckets: int) -> DataFrame:
-    """owner and runs of repeated starts (first, last) of every row, bucket by bucket."""
+    """name and runs of repeated starts (first, last, as columns) of every row, bucket by bucket."""
+    schema = "name binary, first long, last long"
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.select(["class", "owner", "left", "skip", "body"]).combine_chunks()
-        klass = group["class"].to_numpy()
-        _, owner = np.unique(np.array(group["owner"].to_pylist(), dtype=object).astype(str), return_inverse=True)
-        left, skip = group["left"].to_numpy(), group["skip"].to_numpy()
-        _, keep = np.unique(np.stack([klass, owner, left, skip]), axis=1, return_index=True)
-        _, number, count = np.unique(klass[keep], return_inverse=True, return_counts=True)
-        keep = keep[count[number] > 1]
-        group, klass, left, skip = group.take(keep), klass[keep], left[keep], skip[keep].astype(np.int64)
+        group = group.select(["class", "skip", "name", "body", "many"]).combine_chunks()
+        holders = group["many"].to_numpy() + 1
+        _, number = np.unique(group["class"].to_numpy(), return_inverse=True)
+        keep = np.flatnonzero(np.bincount(number, holders)[number] > 1)
         if not len(keep):
-            return pa.table({"owner": pa.array([], pa.string()), "first": pa.array([], pa.int64()), "last": pa.array([], pa.int64())})
+            return pa.Table.from_batches([arrow_rows([], schema)])
+        group, holders, skip = group.take(keep), holders[keep], group["skip"].to_numpy()[keep].astype(np.int64)
         matrix, lengths = np.zeros((len(keep), WIDTH), dtype=np.uint8), np.zeros(len(keep), dtype=np.int64)
         for k, body in enumerate(group["body"]):
             held = np.frombuffer(body.as_buffer(), dtype=np.uint8)
             lengths[k] = len(held)
             matrix[k, skip[k] : skip[k] + len(held)] = held
-        found = repeated_starts(klass, matrix, skip, skip + lengths - LENGTH)
+        found = repeated_starts(number[keep], matrix, skip, skip + lengths - LENGTH, holders)
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
         _, last = np.nonzero(edge == -1)
-        return pa.table({"owner": group["owner"].take(row), "first": pa.array(left[row] + first), "last": pa.array(left[row] + last - 1)})
+        return pa.table({"name": group["name"].take(row), "first": pa.array(first), "last": pa.array(last - 1)})
 
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("class"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(run, "owner string, first long, last long")
+    return dealt.groupBy("bucket").applyInArrow(run, schema)
+
+
+def with_ids_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``source`` (id, text) but for those whose id is surely not in ``wanted``."""
+
+    def slots(ids: pa.Array) -> np.ndarray:
+        return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(FILTER_SLOTS - 1)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(FILTER_SLOTS, dtype=np.int64)
+        for batch in batches:
+            out[slots(batch.column(0))] = 1
+        return out
+
+    held = source.sparkSession.sparkContext.broadcast(np.packbits(summed(wanted.select("id"), count, FILTER_SLOTS) > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(held.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[slots(batch.column(0))]))
+
+    return source.mapInArrow(run, source.schema)
 
 
 def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -233,19 +294,31 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, bucket_rows_target: int = BU
     columns are left out; an empty table gives an empty result.
     """
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = stage(sampled(source))
-    texts = rows.groupBy("sha").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_equal"))
-    each = rows.select("sha", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("sha", F.col("s.grams").alias("gram"), F.col("s.places").alias("place"))
-    many = each.groupBy("gram").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
-    live = stage(many.select("gram", "n", (F.col("n") > hot).alias("is_hot")))
-    own = each.select("sha", "gram").join(live, "gram").groupBy("sha").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("is_hot"), F.col("gram"))).alias("hot"))
-    wanted = own.join(texts, "sha").select("id", "sha", "grams", "hot", "n_equal")
-    fetched = stage(wanted.join(source, "id").where(F.sha2("text", 256) == F.col("sha")).select(F.col("sha").alias("owner"), "grams", "hot", "text", "n_equal"))
-    total = live.agg(F.sum("n")).first()[0] or 1
-    runs = sorted_buckets(bucket_rows(fetched), -(-total // bucket_rows_target))
-    runs = runs.groupBy("owner").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    single = fetched.where("n_equal = 1").select("owner", "text")
-    schema = "owner string, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+    owner = lambda sha: F.unhex(F.substring(sha, 1, 32))
+    rows = stage(sampled(source)).withColumn("owner", owner(F.col("sha")))
+    texts = rows.groupBy("owner").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_equal"))
+    each = rows.select("owner", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("owner", F.col("s.grams").alias("gram"), F.col("s.places").alias("place"))
+    live = each.groupBy("gram").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("gram")
+    own = each.select("owner", "gram").join(live, "gram").groupBy("owner").agg(F.collect_set("gram").alias("grams"))
+    wanted = stage(own.join(texts, "owner").select("id", "owner", "grams", "n_equal"))
+    fetched = with_ids_of(source, wanted).join(wanted, "id").where(owner(F.sha2("text", 256)) == F.col("owner"))
+    fetched = stage(fetched.select("owner", "grams", "text", "n_equal"))
+    discard(wanted)
+    merged = aligned(fetched, True).groupBy("class", "skip", "name").agg(F.max("body").alias("body"), F.min("a").alias("a"), F.max("b").alias("b"))
+    merged = stage(merged.select("class", "skip", "name", "body", (F.col("a") != F.col("b")).alias("many")))
+    crowded = stage(merged.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("class"))
+    dealt = merged
+    if not crowded.isEmpty():
+        dealt = merged.join(crowded, "class", "left_anti").unionByName(dealt_again(merged.join(crowded, "class")))
+    found = sorted_buckets(dealt, -(-merged.count() // bucket_rows_target) or 1)
+    found = stage(found.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("found")))
+    discard(merged, crowded)
+    single = fetched.where("n_equal = 1").select("owner", "grams", "text")
+    runs = aligned(single, False).join(found, "name")
+    moved = F.transform("found", lambda r: F.struct((F.col("left") + r["first"]).alias("first"), (F.col("left") + r["last"]).alias("last")))
+    runs = runs.select("owner", moved.cast(RUNS).alias("runs")).groupBy("owner").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    single = single.select("owner", "text")
+    schema = "owner binary, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,9 +329,10 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, bucket_rows_target: int = BU
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array([k for k, _ in out], pa.binary())], names=["owner", "n_removed", "spans", "kept"])
 
     cuts = single.join(runs, "owner").select("owner", "text", "runs").mapInArrow(run, schema)
-    cuts = cuts.select(F.col("owner").alias("sha"), F.struct("n_removed", "spans", "kept").alias("cut"))
+    cuts = cuts.select("owner", F.struct("n_removed", "spans", "kept").alias("cut"))
     ids = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
-    return rows.select("id", "sha", "n_bytes").join(texts.select("sha", "n_equal"), "sha").join(cuts, "sha", "left").select(ids, "n_bytes", "sha", "n_equal", "cut")
+    out = rows.select("id", "sha", "n_bytes", "owner").join(texts.select("owner", "n_equal"), "owner").join(cuts, "owner", "left")
+    return out.select(ids, "n_bytes", "sha", "n_equal", "cut")
 
 
 SQL = f"""
