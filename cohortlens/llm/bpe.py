@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,7 +28,6 @@ from .tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PIECE_CACHE = 150_000  # pieces in each of the two generations that are kept with their ids
-ONE_BYTE = (1,)
 OUTPUTS = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType()),
@@ -46,23 +47,24 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        ending: dict[bytes, set[int]] = {}
-        for token in ranks:
-            if len(token) > 1:
-                ending.setdefault(token[-2:], {1}).add(len(token))
-        # by the last two bytes of a prefix: the lengths of the tokens that can end there, longest first
-        self.lengths = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in ending.items()}
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
+        # lists the tokens that end at each byte of a text, longest first; bytes go in as characters below 256
+        self.ending = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.ending.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.ending.make_automaton()
+        self.longest = max(map(len, ranks), default=0)
         self.whole = lru_cache(maxsize=1 << 17)(self._whole)
+        self.parts = lru_cache(maxsize=1 << 17)(self._parts)
         self.valid = lru_cache(maxsize=1 << 19)(self._valid)
 
-    def merge(self, data: bytes) -> list[int]:
-        """Merge neighbours by lowest rank; used on single tokens and pairs only."""
+    def merge(self, data: bytes, leave: int = 1) -> list[bytes]:
+        """Merge neighbours by lowest rank until ``leave`` parts are left; used on single tokens only."""
         ranks = self.ranks
         parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > leave:
             best, at = None, -1
             for k in range(len(parts) - 1):
                 rank = ranks.get(parts[k] + parts[k + 1])
@@ -71,13 +73,36 @@ class Vocabulary:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts
 
     def _whole(self, token: int) -> bool:
-        return self.merge(self.table[token]) == [token]
+        return len(self.merge(self.table[token])) == 1
+
+    def _parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; none for a single byte."""
+        data = self.table[token]
+        return tuple(self.ranks[p] for p in self.merge(data, 2)) if len(data) > 1 else None
 
     def _valid(self, left: int, right: int) -> bool:
-        return self.merge(self.table[left] + self.table[right]) == [left, right]
+        """Whether no merge across the border comes before the merges that made the two (whole) tokens.
+
+        The merges are undone from the last one back. The two tokens next to the border must
+        not merge earlier than what was undone; of equal ranks, the left one merges first.
+        """
+        if not self.whole(right):
+            return False
+        ranks, table, before = self.ranks, self.table, len(self.table)
+        while True:
+            joined = ranks.get(table[left] + table[right])
+            if joined is not None and joined < before:
+                return False
+            made_left, made_right = self.parts(left), self.parts(right)
+            if made_left and (not made_right or left > right):
+                before, left = left, made_left[1]
+            elif made_right:
+                before, right = right + 1, made_right[0]
+            else:
+                return True
 
 
 class PrefixTokens:
@@ -92,19 +117,19 @@ class PrefixTokens:
     def append(self, more: bytes) -> None:
         """Add bytes; the entries so far stay as they are."""
         voc, old = self.vocabulary, len(self.data)
-        ranks, valid, last, lengths = voc.ranks, voc.valid, self.last, voc.lengths
+        valid, last = voc.valid, self.last
         self.data = data = self.data + more
-        for end in range(old + 1, len(data) + 1):
-            for size in lengths.get(data[max(0, end - 2) : end], ONE_BYTE):
-                start = end - size
-                token = ranks.get(data[start:end]) if start >= 0 else None
-                if token is None:
-                    continue
-                if valid(last[start], token) if start else voc.whole(token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"the vocabulary has no token for byte {data[end - 1]}")
+        last.extend([-1] * len(more))
+        begin = max(0, old - voc.longest + 1)
+        for end, (token, size) in voc.ending.iter(data[begin:].decode("latin-1")):
+            end += begin + 1
+            if end <= old or last[end] >= 0:
+                continue
+            start = end - size
+            if (last[start] >= 0 and valid(last[start], token)) if start else voc.whole(token):
+                last[end] = token
+        if -1 in last[old + 1 :]:
+            raise ValueError(f"the vocabulary has no token for byte {data[last.index(-1, 1) - 1]}")
 
     def ids(self) -> list[int]:
         out, end, table = [], len(self.data), self.vocabulary.table
@@ -130,7 +155,10 @@ class Encoder:
         if found is None:
             found = self.older.get(text)
             if found is None:
-                found = np.array(PrefixTokens(self.vocabulary, text.encode()).ids(), dtype="<u4").tobytes()
+                data = text.encode()
+                token = self.vocabulary.ranks.get(data)
+                ids = PrefixTokens(self.vocabulary, data).ids() if token is None else [token]
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.cache) >= PIECE_CACHE:
                 self.older, self.cache = self.cache, {}
             self.cache[text] = found
