@@ -296,14 +296,15 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, bucket_rows_target: int = BU
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     owner = lambda sha: F.unhex(F.substring(sha, 1, 32))
     rows = stage(sampled(source)).withColumn("owner", owner(F.col("sha")))
-    texts = rows.groupBy("owner").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_equal"))
+    texts = stage(rows.groupBy("owner").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_equal")))
     each = rows.select("owner", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("owner", F.col("s.grams").alias("gram"), F.col("s.places").alias("place"))
-    live = each.groupBy("gram").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("gram")
+    # written tables, so that the joins with hot keys (grams, owners) read plain shuffles, whose skew can be split
+    live = stage(each.groupBy("gram").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("gram"))
     own = each.select("owner", "gram").join(live, "gram").groupBy("owner").agg(F.collect_set("gram").alias("grams"))
     wanted = stage(own.join(texts, "owner").select("id", "owner", "grams", "n_equal"))
     fetched = with_ids_of(source, wanted).join(wanted, "id").where(owner(F.sha2("text", 256)) == F.col("owner"))
-    fetched = stage(fetched.select("owner", "grams", "text", "n_equal"))
-    discard(wanted)
+    fetched = stage(fetched.select("id", "owner", "grams", "text", "n_equal"))
+    discard(live, wanted)
     merged = aligned(fetched, True).groupBy("class", "skip", "name").agg(F.max("body").alias("body"), F.min("a").alias("a"), F.max("b").alias("b"))
     merged = stage(merged.select("class", "skip", "name", "body", (F.col("a") != F.col("b")).alias("many")))
     crowded = stage(merged.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("class"))
@@ -313,25 +314,26 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, bucket_rows_target: int = BU
     found = sorted_buckets(dealt, -(-merged.count() // bucket_rows_target) or 1)
     found = stage(found.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("found")))
     discard(merged, crowded)
-    single = fetched.where("n_equal = 1").select("owner", "grams", "text")
+    single = fetched.where("n_equal = 1").select("id", "owner", "grams", "text")
     runs = aligned(single, False).join(found, "name")
     moved = F.transform("found", lambda r: F.struct((F.col("left") + r["first"]).alias("first"), (F.col("left") + r["last"]).alias("last")))
     runs = runs.select("owner", moved.cast(RUNS).alias("runs")).groupBy("owner").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    single = single.select("owner", "text")
-    schema = "owner binary, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+    schema = "id long, owner binary, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [cut(t.encode(), [(r["first"], r["last"]) for r in rs]) for t, rs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            out = [cut(t.encode(), [(r["first"], r["last"]) for r in rs]) for t, rs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             spans = [[{"start": a, "end": b} for a, b in s] for _, s in out]
             removed = [sum(b - a for a, b in s) for _, s in out]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array([k for k, _ in out], pa.binary())], names=["owner", "n_removed", "spans", "kept"])
+            columns = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array([k for k, _ in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "owner", "n_removed", "spans", "kept"])
 
-    cuts = single.join(runs, "owner").select("owner", "text", "runs").mapInArrow(run, schema)
-    cuts = cuts.select("owner", F.struct("n_removed", "spans", "kept").alias("cut"))
+    cuts = single.join(runs, "owner").select("id", "owner", "text", "runs").mapInArrow(run, schema)
+    cuts = cuts.select("id", "owner", F.struct("n_removed", "spans", "kept").alias("cut"))
     ids = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
-    out = rows.select("id", "sha", "n_bytes", "owner").join(texts.select("owner", "n_equal"), "owner").join(cuts, "owner", "left")
+    # the second join also goes by id, so that the copies of one text are dealt over all tasks
+    out = rows.select("id", "sha", "n_bytes", "owner").join(texts.select("owner", "n_equal"), "owner").join(cuts, ["id", "owner"], "left")
     return out.select(ids, "n_bytes", "sha", "n_equal", "cut")
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortlens.llm import suffixes as s
@@ -74,6 +75,21 @@ def test_repeated_and_missing_ids(spark):
     assert s.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_common_passage_is_one_row_for_all_holders(spark):
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(1200)
+    texts = [prose(rng.randrange(500)) + passage + prose(rng.randrange(500)) for _ in range(120)] + [passage] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = results(df)
+    for k, want in enumerate(brute(texts)):
+        assert got[k] == [(*want[:3], hashlib.sha256(want[3]).hexdigest())], k
+    grams = {g for part in s.slices(pa.array([passage])) for found in s.samples(part) for g in found[4].view(np.int64).tolist()}
+    held = spark.createDataFrame([(bytes(16), sorted(grams), passage), (bytes(15) + b"1", sorted(grams), passage)], "owner binary, grams array<long>, text string")
+    rows = s.aligned(held.coalesce(1), True).collect()
+    assert sum(r.body is not None for r in rows) == len({r.name for r in rows})
+
+
 def test_sliding_least():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 50, 1000).astype(np.uint64)
@@ -82,8 +98,6 @@ def test_sliding_least():
 
 
 def test_samples_do_not_depend_on_the_chunk(monkeypatch):
-    import pyarrow as pa
-
     from cohortlens.llm.arrays import slices
 
     rng = random.Random(3)
