@@ -137,7 +137,7 @@ def staged_search(df: DataFrame, space: Space, k: int = FOLDS, seed: int = SEED,
             for fold in range(k):
                 model = trained(candidate, fold, model_seed)
                 held = train.filter(F.col("fold") == fold)
-                scored = held.select("row_id", "y", "fold").join(probabilities(held, model), "row_id")
+                scored = held.select("row_id", "y", "fold").join(probabilities(held, model).hint("merge"), "row_id")
                 parts.append(scored.select("row_id", F.col("y").cast("int").alias("y"), "fold", F.lit(model_seed).alias("seed"), "prob"))
         return reduce(DataFrame.unionByName, parts)
 
@@ -174,7 +174,7 @@ def staged_search(df: DataFrame, space: Space, k: int = FOLDS, seed: int = SEED,
     chosen = Candidate(**{**{f: final[f] for f in Candidate.__dataclass_fields__}, "seeds": tuple(map(int, final["seeds"].split()))})
     models = [trained(chosen, None, s) for s in chosen.seeds]
     held = reduce(DataFrame.unionByName, (probabilities(test, m) for m in models)).groupBy("row_id").agg(F.avg("prob").alias("prob"))
-    result = stage(test.select("row_id", F.col("y").cast("int").alias("y")).join(held, "row_id"))
+    result = stage(test.select("row_id", F.col("y").cast("int").alias("y")).join(held.hint("merge"), "row_id"))
     at = confusion_metrics(result, final["threshold"], "prob", "y").select("f2", "recall", "precision", "fn_rate").first()
     reached = {name: None if at is None else round(at[name], DIGITS) for name in ("f2", "recall", "precision", "fn_rate")}
     state = [{**r, "chosen": r is final} for r in rows]
