@@ -39,3 +39,13 @@ def test_customers_are_not_broadcast(spark, tmp_path):
     apps = R.applications_raw(spark, str(tmp_path))
     assert plan(apps).count("BroadcastHashJoin") == 1  # nations
     assert [r.applicant_name for r in apps.collect()] == ["x"]
+
+
+def test_answers_are_dealt_before_they_are_sorted(spark):
+    from cohortlens.operators import rubric
+
+    flat = spark.createDataFrame([(i, s, "Feasibility", "4", "r") for i in range(20) for s in range(3)], "review_id long, slot int, dimension string, score string, rationale string")
+    scored = rubric.score_dimensions(flat, rubric.DEFAULT_CRITERIA)
+    text = plan(scored)
+    assert "Sort" not in text[text.index("Exchange"):]  # the plan is printed from its end
+    assert scored.count() == 20
