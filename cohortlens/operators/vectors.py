@@ -116,7 +116,7 @@ def _match_tiles(index: DataFrame, queries: DataFrame, top_k: int, min_score: fl
     """Both sides shuffled as tiles; queries are the marked rows and only they ask."""
     rows = index.select((F.col("row_index").cast("long") * 2).alias("id"), F.col("vec"), F.lit(0).alias("asks"))
     asked = queries.select((F.col("query_id").cast("long") * 2 + 1).alias("id"), F.col("vec"), F.lit(1).alias("asks"))
-    tiles = build_tiles(rows.unionByName(asked), min_score, F.col("asks"))
+    tiles = build_tiles(rows.unionByName(asked), min_score, F.col("asks"), apart=True)
     found = tiles.run(
         nearest_kernel(min_score, top_k, only_marked=True),
         "v long, u long, sim double, v_load long, u_load long",
