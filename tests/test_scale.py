@@ -49,3 +49,15 @@ def test_answers_are_dealt_before_they_are_sorted(spark):
     text = plan(scored)
     assert "Sort" not in text[text.index("Exchange"):]  # the plan is printed from its end
     assert scored.count() == 20
+
+
+def test_sparse_tiles_send_a_record_an_id(spark):
+    from cohortlens.operators import search
+
+    entries = spark.createDataFrame([(i, s, 0.1 * (1 + (i + s) % 5)) for i in range(40) for s in range(i % 4, 9)], "row_index long, slot int, x double")
+    asked = entries.filter("row_index % 10 = 0")
+    found = search.sparse_matches(entries, asked, 3, 8)
+    text = plan(found)
+    assert "slots" in text and "FlatMapGroupsInArrow" in text
+    whole = search.sparse_matches(entries, asked, 3)
+    assert sorted(found.collect()) == sorted(whole.collect()) and found.count() == 12
