@@ -72,11 +72,15 @@ def section(lines: Column, label: str) -> Column:
 
 def document_sections(col: Column) -> Column:
     """Label to text map of a document, the last line winning for a repeated label."""
-    lines = document_lines(col)
-    entries = F.array(
-        *[F.struct(F.lit(x).alias("k"), section(lines, x).alias("v")) for x in DOCUMENT_LABELS]
-    )
-    return F.map_from_entries(F.filter(entries, lambda e: e.v.isNotNull()))
+
+    def sections(lines: Column) -> Column:
+        entries = F.array(
+            *[F.struct(F.lit(x).alias("k"), section(lines, x).alias("v")) for x in DOCUMENT_LABELS]
+        )
+        return F.map_from_entries(F.filter(entries, lambda e: e.v.isNotNull()))
+
+    # Bound to a variable, the lines are split and cleaned once, not for every use of them.
+    return F.transform(F.array(document_lines(col)), sections)[0]
 
 
 def with_sections(df: DataFrame, text: str, **named: str) -> DataFrame:

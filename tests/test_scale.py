@@ -61,3 +61,12 @@ def test_sparse_tiles_send_a_record_an_id(spark):
     assert "slots" in text and "FlatMapGroupsInArrow" in text
     whole = search.sparse_matches(entries, asked, 3)
     assert sorted(found.collect()) == sorted(whole.collect()) and found.count() == 12
+
+
+def test_sections_read_the_lines_once(spark):
+    from cohortlens.functions import documents as D
+
+    doc = spark.createDataFrame([("Project: a\nProblem: b\nProblem: c",), (None,)], "t string")
+    found = doc.select(D.document_sections(F.col("t")).alias("s"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.s for r in found.collect()] == [{"Project": "a", "Problem": "c"}, {}]
