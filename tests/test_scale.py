@@ -70,3 +70,10 @@ def test_sections_read_the_lines_once(spark):
     found = doc.select(D.document_sections(F.col("t")).alias("s"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert [r.s for r in found.collect()] == [{"Project": "a", "Problem": "c"}, {}]
+
+
+def test_openings_split_no_more_than_their_words(spark, tmp_path):
+    spark.createDataFrame([(1, " a  b c d\ne", "s"), (2, "x", "s"), (3, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ideas = R.idea_documents(spark, str(tmp_path))
+    assert " , 4)" in ideas._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.row_index: r.project_name for r in ideas.collect()} == {1: "a b c", 2: "x", 3: ""}
