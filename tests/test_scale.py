@@ -51,6 +51,19 @@ def test_answers_are_dealt_before_they_are_sorted(spark):
     assert scored.count() == 20
 
 
+def test_tasks_follow_the_number_of_answers(spark, monkeypatch):
+    from cohortlens.operators import rubric
+
+    monkeypatch.setattr(rubric, "ANSWERS_PER_TASK", 10)
+    rows = [(i, s, name, "4", f"r{s}") for i in range(20) for s, name in enumerate(["Feasibility", "FEASIBILITY!", "other", None])]
+    flat = spark.createDataFrame([*rows, rows[0]], "review_id long, slot int, dimension string, score string, rationale string")
+    scored = rubric.score_dimensions(flat, rubric.DEFAULT_CRITERIA)
+    assert "REPARTITION_BY_NUM" in plan(scored) and "hashpartitioning(review_id" in plan(scored) and ", 9)" in plan(scored)
+    found = {r.review_id: r.dimensions[4] for r in scored.collect()}
+    assert len(found) == 20 and all((d.score, d.rationale, d.evidence) == (4.0, "r0", []) for d in found.values())
+    assert rubric.score_dimensions(flat.limit(0), rubric.DEFAULT_CRITERIA).collect() == []
+
+
 def test_sparse_tiles_send_a_record_an_id(spark):
     from cohortlens.operators import search
 
