@@ -5,9 +5,12 @@ link over at least ``percent`` of them, so two linked rows share a column among
 n - ceil(percent * n) + 1 columns of each that come first in any common order. The order is
 by the columns' counts over the whole corpus (in a table of fixed size, which any column
 may share): the lead columns of a row are its rarest, and a passage that many documents
-quote leads none of them. Rows with a lead column in common are a family after closure.
+quote leads none of them. With k more lead columns each, two linked rows share k + 1 of them
+(see ``shared_leads``), which rows that meet by chance hardly do: of a column of few rows the pairs are
+counted, and pairs that share enough columns are joined. All rows of a column of many are joined
+by it, and are never paired. A family is what these joins connect.
 
-Where n-grams are few, single ones meet by chance and a family grows large. Such a family is dealt
+Where n-grams are few, columns of many rows meet by chance and a family grows large. Such a family is dealt
 again by whole blocks of columns. Two rows of sizes n and m that reach the threshold differ in
 at most ``h`` n-grams, a bound that follows from the sizes. The columns are dealt by hash into
 more than ``h`` blocks (as many for all sizes of a class, and a row takes part in its own
@@ -25,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,8 @@ BLOCK_ENTRIES = 1_000_000  # matrix entries of a block of rows, on average
 COLUMN_BLOCK = 512
 LEVEL_BITS = 8
 SLOT_BITS = 22  # slots of the table of counts: 16 MB at any corpus size
+SHARED = 4  # lead columns that two rows must share to be joined by columns of few rows
+FEW = 8  # rows of a column whose pairs are counted
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -70,6 +75,18 @@ def lead_length(n: int, percent: int) -> int:
     return 0 if 100 * n < percent * (n + 1) else n - -(-percent * n // 100) + 1
 
 
+def shared_leads(percent: int) -> int:
+    """How many lead columns two linked, different rows have in common at least.
+
+    Of the columns that two rows share, the k-th from the front lies, in each row, at most at the place
+    n - ceil(percent * n) + k if they share that many; the smallest rows that can link bound k.
+    """
+    if percent >= 100:
+        return 1
+    smallest = max(1, -(-percent // (100 - percent)))
+    return max(1, min(SHARED, -(-percent * smallest // 100)))
+
+
 def sets_of(part: Slice, size: int) -> list[np.ndarray]:
     """Sorted distinct n-gram fingerprints of each text; a text of fewer words is one n-gram."""
     words, _ = words_of(part, BLANK_WORDS)
@@ -132,7 +149,8 @@ def column_counts(docs: DataFrame, size: int) -> np.ndarray:
 def lead_columns(grams: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The rarest n-grams of a set (sorted), as many as its size asks for; those that no other row has are left out."""
     count = counts[slot_of(grams)]
-    first = np.argsort(count, kind="stable")[: lead_length(len(grams), percent)]
+    length = lead_length(len(grams), percent)
+    first = np.argsort(count, kind="stable")[: length + shared_leads(percent) - 1 if length else 0]
     return grams[first[count[first] > 1]]
 
 
@@ -177,6 +195,23 @@ def families(rows: DataFrame, *by: str) -> DataFrame:
     return components(rows.join(least, list(by)).where("sig <> b").select(F.col("sig").alias("a"), "b").distinct())
 
 
+def lead_families(rows: DataFrame, shared: int) -> DataFrame:
+    """(node, label) of the rows ``sig`` that may link by their lead columns ``lead``.
+
+    A row may come several times. Two rows that share a column of more than FEW rows are connected as
+    in ``families``; others when they share ``shared`` columns.
+    """
+    columns = rows.groupBy("lead").agg(F.min("sig").alias("b"), F.max("sig").alias("top"), F.count(F.lit(1)).alias("held"))
+    columns = columns.where("b <> top").select("lead", "b", "held")
+    crowded = rows.join(columns.where(F.col("held") > FEW), "lead").where("sig <> b").select(F.col("sig").alias("a"), "b")
+    held = Window.partitionBy("lead").orderBy("sig")
+    later = F.array(*(F.lead("sig", k).over(held) for k in range(1, FEW)))
+    pairs = rows.join(columns.where(F.col("held") <= FEW).select("lead"), "lead").select(F.col("sig").alias("a"), later.alias("later"))
+    pairs = pairs.select("a", F.explode("later").alias("b")).where("b is not null and a <> b")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select("a", "b")
+    return components(crowded.union(pairs).distinct())
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
@@ -292,17 +327,19 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block_
     staged = stage(columns.drop("leads"))
     classes = staged.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_equal"))
     rows = columns.where("sig is not null").select("sig", F.explode("leads").alias("lead"))
-    members = classes.where("doc_id is not null").join(families(rows, "lead"), F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
+    members = classes.where("doc_id is not null").join(lead_families(rows, shared_leads(percent)), F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
     met = stage(members)
     discard(columns)
-    large = met.groupBy("family").agg(F.sum("n").alias("entries")).where(F.col("entries") > block_entries).select("family")
-    again = met.join(large, "family").select("doc_id", "sig", "family", "n")
-    levels = Levels(percent)
-    rows = stage(grams_of(docs, again.select("doc_id", "sig", "family"), size, lambda grams: block_keys(grams, levels)))
-    dealt = families(rows.select("sig", "family", F.explode("grams").alias("key")), "family", "key")
-    dealt = again.drop("family").join(dealt, F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
-    members = stage(met.join(large, "family", "left_anti").select("doc_id", "sig", "family", "n").union(dealt))
-    discard(rows, met)
+    large = stage(met.groupBy("family").agg(F.sum("n").alias("entries")).where(F.col("entries") > block_entries).select("family"))
+    members = met
+    if not large.isEmpty():  # else no text is shuffled for it
+        again = met.join(large, "family").select("doc_id", "sig", "family", "n")
+        levels = Levels(percent)
+        rows = stage(grams_of(docs, again.select("doc_id", "sig", "family"), size, lambda grams: block_keys(grams, levels)))
+        dealt = families(rows.select("sig", "family", F.explode("grams").alias("key")), "family", "key")
+        dealt = again.drop("family").join(dealt, F.col("sig") == F.col("node")).select("doc_id", "sig", F.col("label").alias("family"), "n")
+        members = stage(met.join(large, "family", "left_anti").select("doc_id", "sig", "family", "n").union(dealt))
+        discard(rows, met)
     totals = members.groupBy("family").agg(F.ceil(F.sum("n") / block_entries).alias("blocks"))
     sets = grams_of(docs, members.join(totals, "family").select("doc_id", "sig", "family", "blocks"), size)
     links = stage(family_links(sets, percent))

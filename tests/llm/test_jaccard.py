@@ -133,3 +133,39 @@ def test_components_of_paths_stars_and_loops(spark):
     assert {label[k] for k in range(100, 130)} == {100}
     assert label[200] == label[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_linked_sets_share_as_many_lead_columns_as_are_asked():
+    rng = np.random.default_rng(11)
+    pool = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
+    met = 0
+    for percent in (50, 60, 80, 90):
+        shared = j.shared_leads(percent)
+        for _ in range(150):
+            base = rng.choice(pool, rng.integers(1, 60), replace=False)
+            gone = rng.integers(0, 1 + len(base) * (100 - percent) // 100)
+            a, b = np.unique(base), np.unique(np.concatenate([base[gone:], rng.choice(pool, rng.integers(0, 4))]))
+            counts = rng.integers(2, 5, 1 << j.SLOT_BITS).astype(np.int32)
+            both = np.intersect1d(a, b)
+            if len(b) and 100 * len(both) >= percent * len(np.union1d(a, b)) and len(np.union1d(a, b)) > min(len(a), len(b)):
+                met += 1
+                assert len(np.intersect1d(j.lead_columns(a, counts, percent), j.lead_columns(b, counts, percent))) >= shared
+    assert met > 100 and [j.shared_leads(p) for p in (50, 60, 80, 90, 100)] == [1, 2, 4, 4, 1]
+
+
+def test_rows_that_meet_by_chance_are_no_family(spark, monkeypatch):
+    """Each text shares one five-word passage with the next one; only the last two are near copies."""
+    texts = [[f"p{k}_{w}" for w in range(5)] + [f"t{k}_{w}" for w in range(30)] + [f"p{k + 1}_{w}" for w in range(5)] for k in range(30)]
+    texts.append([*texts[-1][:-1], "other"])
+    met, links = [], j.family_links
+    monkeypatch.setattr(j, "family_links", lambda sets, percent: met.append(sets.count()) or links(sets, percent))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in j.jaccard_components(df, 5, 80).collect()}
+    assert out == {k: min(k, 29) for k in range(31)} and met == [2]
+
+
+def test_columns_of_many_rows_connect_them_without_pairs(spark):
+    rows = [(sig, lead) for sig in range(j.FEW + 4) for lead in (1,)] + [(s, lead) for s in (100, 101, 102) for lead in (2, 3, 4)] + [(200, 2), (200, 2), (300, 9)]
+    df = spark.createDataFrame(rows, "sig long, lead long")
+    found = {r.node: r.label for r in j.lead_families(df, 3).collect()}
+    assert found == {**{s: 0 for s in range(j.FEW + 4)}, 100: 100, 101: 100, 102: 100}
