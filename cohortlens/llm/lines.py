@@ -12,7 +12,9 @@ token; length, position and a parity sketch (each differing token flips one bit,
 the bits that differ bound the tokens that do) discard pairs, and what is left is verified
 token by token. Where only removals are asked for, a line takes its nearest earlier partners
 from a column, and lines that these don't settle are joined with all of theirs, so a dense
-column never gives all pairs. Classes and link counts need every pair, and verify every pair.
+column never gives all pairs. Classes and link counts need every pair: the columns then tell only
+which lines hang together, and the lines of such a family are verified pair by pair inside tasks
+that give one row a line.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ from .tables import field, table, whole_row
 PERCENT = 80
 SLOT_BITS = 22  # slots of the rarity table: 16 MB of counts at any corpus size
 BUCKET_POSTINGS = 100_000
+BLOCK_TOKENS = 1 << 15  # of a family's lines that meet in one task, and of the small families dealt to one
+MARK_BITS = 23
+CELLS_AT_ONCE = 1 << 25
 NEAREST = 3
 ALL = np.iinfo(np.int64).max
 PAIRS_AT_ONCE = 1 << 18
@@ -59,6 +64,20 @@ def least_size(percent: int) -> int:
     return -(-percent // (100 - percent)) if percent < 100 else np.iinfo(np.int32).max
 
 
+def by_line(line: np.ndarray, key: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Order by line, key and token. One sort of packed values; bits of the key that don't fit are looked at only where they decide."""
+    if not len(line):
+        return np.zeros(0, dtype=np.int64)
+    bits = np.uint64(max(1, int(line.max()).bit_length()))
+    packed = line.astype(np.uint64) << (np.uint64(64) - bits) | key >> bits
+    order = np.argsort(packed)
+    packed = packed[order]
+    tied = np.flatnonzero(packed[1:] == packed[:-1])
+    if (token[order[tied]] != token[order[tied + 1]]).any():
+        return np.lexsort((token, key, line))
+    return order
+
+
 class LineSets:
     """Distinct words of the lines of a slice, flat: ``line`` (ascending), ``token``."""
 
@@ -68,7 +87,7 @@ class LineSets:
         cuts = np.unique(np.concatenate([part.offsets[1:-1], feeds]))
         words, _ = words_of(part, BLANK_WORDS)
         line = np.searchsorted(cuts, words.starts, side="right")
-        order = np.lexsort((words.code, line))
+        order = by_line(line, words.code, words.code)
         line, token = line[order], words.code[order]
         new = np.ones(len(line), dtype=bool)
         new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
@@ -108,9 +127,8 @@ def slot_of(code: np.ndarray) -> np.ndarray:
 def prefixes(sets: LineSets, slots: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """Line, token and position of the entries in each line's probing prefix, rarest first."""
     rank = slots[slot_of(sets.token)]
-    # Entries of a line come in token order, and the sort is stable: ties of the key keep that order.
     key = np.minimum(rank, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | sets.token >> np.uint64(24)
-    order = np.lexsort((key, sets.number))
+    order = by_line(sets.number, key, sets.token)
     pos = np.arange(len(order)) - np.repeat(sets.begin, sets.size)
     near = pos < np.repeat(np.where(sets.size >= least_size(percent), probe_length(sets.size, percent), 0), sets.size)
     shared = near & (rank[order] > 1)  # a count of one: no other line has the token
@@ -224,6 +242,57 @@ def column_pairs(rows: np.ndarray, wide: np.ndarray, percent: int) -> Iterator[t
             yield matching(rows, wide, np.repeat(own, own - b), ragged(np.full(len(own), b), own - b), percent)
 
 
+def columns_of(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The postings of a bucket by token and place, one of each line, and the wide sketches by sig."""
+    blobs, wides = [], []
+    for batch in batches:
+        blobs += batch.column(batch.schema.get_field_index("packed")).to_pylist()
+        wides += batch.column(batch.schema.get_field_index("wide")).to_pylist()
+    rows, wide = np.frombuffer(b"".join(blobs), dtype=POSTING), np.frombuffer(b"".join(wides), dtype=WIDE)
+    del blobs, wides
+    wide = wide[np.unique(wide["sig"], return_index=True)[1]]
+    order = np.argsort(rows["token"])
+    token = rows["token"][order]
+    met = np.zeros(len(order), dtype=bool)
+    met[1:] = token[1:] == token[:-1]
+    met[:-1] |= met[1:]
+    rows = rows[order[met]]  # columns of one line are done
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["sig"], rows["token"]))]
+    keep = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1]))[: len(rows)]
+    rows = rows[keep]
+    return rows[np.lexsort((rows["sig"], rows["line"], rows["doc"], rows["token"]))], wide
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the least number of each one's component) after the pairs (a, b) are connected too."""
+    while True:
+        a, b = label[a], label[b]
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def column_stars(packed: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the lines of each bucket as its passing pairs do; fewer than it has lines."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, wide = columns_of(batches)
+        sig, number = np.unique(rows["sig"], return_inverse=True)
+        label = np.arange(len(sig))
+        for later, earlier, _ in column_pairs(rows, wide, percent):
+            label = joined(label, number[later], number[earlier])
+        moved = np.flatnonzero(label != np.arange(len(sig)))
+        yield pa.RecordBatch.from_arrays([pa.array(sig[moved]), pa.array(sig[label[moved]])], names=["a", "b"])
+
+    return packed.groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
 def candidates(packed: DataFrame, percent: int, nearest: int, asking=None) -> DataFrame:
     """Of each line and bucket, the ``nearest`` earlier partners (x, y, distance) and how many more there are.
 
@@ -231,23 +300,7 @@ def candidates(packed: DataFrame, percent: int, nearest: int, asking=None) -> Da
     """
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, wides = [], []
-        for batch in batches:
-            blobs += batch.column(batch.schema.get_field_index("packed")).to_pylist()
-            wides += batch.column(batch.schema.get_field_index("wide")).to_pylist()
-        rows, wide = np.frombuffer(b"".join(blobs), dtype=POSTING), np.frombuffer(b"".join(wides), dtype=WIDE)
-        del blobs, wides
-        wide = wide[np.unique(wide["sig"], return_index=True)[1]]
-        order = np.argsort(rows["token"])
-        token = rows["token"][order]
-        met = np.zeros(len(order), dtype=bool)
-        met[1:] = token[1:] == token[:-1]
-        met[:-1] |= met[1:]
-        rows = rows[order[met]]  # columns of one line are done
-        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["sig"], rows["token"]))]
-        keep = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1]))[: len(rows)]
-        rows = rows[keep]
-        rows = rows[np.lexsort((rows["sig"], rows["line"], rows["doc"], rows["token"]))]
+        rows, wide = columns_of(batches)
         kept: list[tuple] = []
         for later, earlier, distance in column_pairs(rows, wide, percent):
             if asking is not None:
@@ -325,6 +378,12 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("x", "y")
 
 
+def buckets_for(classes: DataFrame, percent: int) -> int:
+    """Buckets for the postings of the lines ``classes`` (n)."""
+    total = classes.where(F.col("n") >= least_size(percent)).agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 1
+    return int(-(-total // BUCKET_POSTINGS))
+
+
 class Found:
     """Lines, their classes by equal sets, and the candidate pairs of different ones, all staged."""
 
@@ -333,8 +392,7 @@ class Found:
         self.lines = stage(all_lines(docs))
         self.classes = stage(self.lines.groupBy("sig").agg(F.min(place()).alias("first"), F.max("n").alias("n")))
         self.held = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-        total = self.classes.where(F.col("n") >= least_size(percent)).agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 1
-        self.buckets = int(-(-total // BUCKET_POSTINGS))
+        self.buckets = buckets_for(self.classes, percent)
         self.found = stage(candidates(postings(docs, self.held, self.buckets, percent), percent, nearest))
         self.pairs = stage(self.found.groupBy("x", "y").agg(F.min("distance").alias("distance")))
         ends = self.pairs.select(F.col("x").alias("sig")).union(self.pairs.select(F.col("y").alias("sig"))).distinct()
@@ -381,37 +439,164 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = NEARES
     return f.removed(settled)
 
 
+def marked_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, id, line_no, tokens): the first line of each slice that has a ``wanted`` sig, and some lines more.
+
+    The sigs go to the tasks as a table of 2**MARK_BITS marks, so no text is shuffled; a line
+    that shares a slot with a wanted one comes along.
+    """
+    size = 1 << MARK_BITS
+
+    def slot(sig: np.ndarray) -> np.ndarray:
+        return (sig.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            out[slot(batch.column(0).to_numpy())] = 1
+        return out
+
+    marked = docs.sparkSession.sparkContext.broadcast(summed(wanted.select("sig"), marks, size) > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for part in slices(batch.column(1)):
+                sets = LineSets(part)
+                here = np.flatnonzero(marked.value[slot(sets.sig)])
+                doc, sig, line_no = ids[part.first + sets.doc[here]], sets.sig[here], sets.line_no[here]
+                order = np.lexsort((line_no, doc, sig))
+                order = order[np.append(True, sig[order][1:] != sig[order][:-1])[: len(order)]]
+                size = sets.size[here[order]]
+                flat = pa.array(sets.token[ragged(sets.begin[here[order]], size)].view(np.int64))
+                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[order]), pa.array(doc[order]), pa.array(line_no[order], pa.int64()), tokens], names=["sig", "id", "line_no", "tokens"])
+
+    return docs.select("id", "text").mapInArrow(run, "sig long, id long, line_no long, tokens array<long>")
+
+
+def family_pairs(family: np.ndarray, block: np.ndarray, across: bool, size: np.ndarray, token: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Matching pairs (later, earlier) of lines by ``family``, which have ``size`` tokens each; ``across``: of different blocks only."""
+    if not len(family):
+        return
+    start = np.cumsum(size) - size
+    names, column = np.unique(token, return_inverse=True)
+    end = np.searchsorted(family, family, side="right")
+    strip = max(1, CELLS_AT_ONCE // len(names))
+    for top in range(0, len(family), strip):
+        own = np.arange(top, min(len(family), top + strip))
+        has = np.zeros((len(own), len(names)), dtype=bool)
+        has[np.repeat(own - top, size[own]), column[start[top] : start[own[-1]] + size[own[-1]]]] = True
+        ahead = end[own] - own - 1
+        steps = np.cumsum(ahead)
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            earlier, later = np.repeat(own[at:to], ahead[at:to]), ragged(own[at:to] + 1, ahead[at:to])
+            at = to
+            n, m = size[earlier], size[later]
+            good = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            if across:
+                good &= block[earlier] != block[later]
+            earlier, later = earlier[good], later[good]
+            work = np.cumsum(size[later])
+            cuts = [0, *np.searchsorted(work, np.arange(8 * PAIRS_AT_ONCE, work[-1] if len(work) else 0, 8 * PAIRS_AT_ONCE)).tolist(), len(work)]
+            for a, b in zip(cuts, cuts[1:]):
+                x, y = later[a:b], earlier[a:b]
+                if not len(x):
+                    continue
+                n = size[x]
+                hit = has[np.repeat(y - top, n), column[ragged(start[x], n)]]
+                both = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+                match = 100 * both >= percent * (n + size[y] - both)
+                yield x[match], y[match]
+
+
+def family_links(sets: DataFrame, parts: int, percent: int) -> DataFrame:
+    """What the lines ``sets`` (sig, doc, line, tokens, family, blocks) match, by task: (sig, root, links, doc, line, split).
+
+    ``links`` counts the matching lines, ``doc`` and ``line`` are the earliest place of an earlier one, lines
+    of one ``root`` hang together. A family of one block is whole in one of the ``parts``; the
+    blocks of a larger one meet two by two, and its rows are ``split``.
+    """
+    whole = F.col("blocks") == 1
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    cells = sets.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select(
+        F.when(whole, F.pmod(F.xxhash64("family"), F.lit(parts))).otherwise(F.col("family")).alias("part"),
+        F.when(whole, -1).otherwise(F.least("block", "other")).alias("i"),
+        F.when(whole, -1).otherwise(F.greatest("block", "other")).alias("j"),
+        "family", "block", "sig", "doc", "line", "tokens",
+    )
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        group = group.select(["family", "block", "sig", "doc", "line", "tokens"]).combine_chunks()
+        family, block, sig, doc, line = (group[c].to_numpy() for c in ("family", "block", "sig", "doc", "line"))
+        order = np.lexsort((sig, line, doc, family))
+        order = order[np.append(True, (sig[order][1:] != sig[order][:-1]))[: len(order)]]  # repeated rows
+        family, block, sig, doc, line = family[order], block[order], sig[order], doc[order], line[order]
+        lists = group["tokens"].chunk(0)
+        at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        size = np.diff(at)[order]
+        links, near = np.zeros(len(sig), np.int64), np.full(len(sig), len(sig))
+        label = np.arange(len(sig))
+        for later, earlier in family_pairs(family, block, i != j, size, flat[ragged(at[:-1][order], size)], percent):
+            links += np.bincount(later, minlength=len(sig)) + np.bincount(earlier, minlength=len(sig))
+            np.minimum.at(near, later, earlier)  # by place
+            label = joined(label, later, earlier)
+        out = np.flatnonzero(links)
+        near, first = near[out], near[out] == len(sig)
+        near = np.where(first, 0, near)
+        columns = [pa.array(sig[out]), pa.array(sig[label[out]]), pa.array(links[out]), pa.array(doc[near], mask=first), pa.array(line[near], mask=first), pa.array(np.full(len(out), i >= 0))]
+        return pa.table(columns, names=["sig", "root", "links", "doc", "line", "split"])
+
+    return cells.groupBy("part", "i", "j").applyInArrow(run, "sig long, root long, links long, doc long, line long, split boolean")
+
+
 def linked_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = ALL) -> tuple[DataFrame, DataFrame]:
-    """The lines that go, as ``removed_lines``, and (id, mark, class_id, n_links) of each document.
+    """The lines that go, as ``removed_lines``, and (id, mark, class_id, n_links) of each document that shares or links a line.
 
-    Every pair of different lines is verified. Documents are of one class when a chain of equal
+    Every pair of different lines is verified, inside tasks: lines that a chain of candidate pairs
+    connects are a family, and a family is compared with itself, block by block. Documents are of one class when a chain of equal
     or matching lines leads from one to the other; a class is named by its least id. ``n_links``
     counts, for each different line of a document, the different lines of the corpus that match
-    it. ``nearest`` bounds what a column gives at once: lines with more partners get all
-    theirs in a second pass, with the same result.
+    it. ``nearest`` is an option of ``removed_lines``; here it changes nothing.
     """
-    f = Found(docs, percent, nearest)
-    links = verified(f.pairs.select("x", "y"), f.tokens, percent)
-    more = stage(f.found.where("more > 0").select(F.col("x").alias("sig")).distinct())
-    if not more.isEmpty():
-        links = links.union(f.partners(more)).distinct()
-    links = stage(links)
-    f.done(more)
-    ends = links.select(F.col("x").alias("sig")).unionAll(links.select(F.col("y").alias("sig")))
-    degrees = ends.groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
-    label = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "sig")
-    classes = f.classes.select("sig").join(label, "sig", "left").join(degrees, "sig", "left")
-    rows = f.lines.select("id", "mark", "sig").distinct().join(classes, "sig")
+    lines = stage(all_lines(docs))
+    sizes = stage(lines.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n")))
+    held = docs.sparkSession.sparkContext.broadcast(rarity(docs))
+    stars = stage(column_stars(postings(docs, held, buckets_for(sizes, percent), percent), percent))
+    families = components(stars).select(F.col("node").alias("sig"), F.col("label").alias("family"))
+    # A line that no other equals or may match goes nowhere and links nothing.
+    busy = sizes.where("held > 1").select("sig", F.lit(None).cast("long").alias("family")).union(families).groupBy("sig").agg(F.max("family").alias("family"))
+    met = stage(lines.join(busy, "sig"))
+    firsts = stage(met.groupBy("sig").agg(F.min(place()).alias("first"), F.max("n").alias("n"), F.max("family").alias("family")))
+    discard(lines, sizes, stars)
+    members = firsts.where("family is not null")
+    parts = int(-(-(members.agg(F.sum("n")).first()[0] or 1) // BLOCK_TOKENS))
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    dealt = members.join(blocks, "family").select("sig", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "family", "blocks")
+    tokens = marked_tokens(docs, members).withColumnsRenamed({"id": "doc", "line_no": "line"})
+    links = stage(family_links(tokens.join(dealt, ["sig", "doc", "line"]), parts, percent))
+    split = components(links.where("split").select(F.col("sig").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "sig")
+    found = links.groupBy("sig").agg(F.sum("links").alias("links"), F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "line"))).alias("near"), F.min("root").alias("root"))
+    found = found.join(split, "sig", "left").select("sig", "links", "near", F.coalesce("label", "root").alias("label"))
+    judged = firsts.select("sig", "first").join(found, "sig", "left")
+    every = stage(met.select("id", "mark", "line_no", "sig").join(judged, "sig"))
+    discard(met, firsts, links)
+    earlier = F.least(F.when(F.col("first") < place(), F.col("first")), F.col("near"))
+    removed = every.withColumn("match", earlier).where("match is not null").select("id", "mark", "line_no", F.col("match.doc").alias("first_doc"), F.col("match.line").alias("first_line"))
     node = F.xxhash64("id", "mark").alias("node")
-    rows = stage(rows.select("id", "mark", node, F.coalesce("label", "sig").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    rows = stage(every.select("id", "mark", "sig", F.coalesce("label", "sig").alias("label"), F.coalesce("links", F.lit(0)).alias("links")).distinct().select("id", "mark", node, "label", "links"))
     # Documents of a line class hang on one of them: a spanning star, never their pairs.
     star = rows.groupBy("label").agg(F.min("node").alias("b"))
     chains = components(rows.select("node", "label").distinct().join(star, "label").select(F.col("node").alias("a"), "b"))
     counts = rows.groupBy("id", "mark", "node").agg(F.sum("links").alias("n_links"))
-    held = stage(counts.join(chains, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    classes = stage(counts.join(chains, "node", "left").withColumn("label", F.coalesce("label", "node")))
     discard(rows)
-    named = held.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("class_id"))
-    return f.removed(links), held.join(named, "label").select("id", "mark", "class_id", "n_links")
+    named = classes.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("class_id"))
+    return removed, classes.join(named, "label").select("id", "mark", "class_id", "n_links")
 
 
 def _all_partners(docs: DataFrame, held, more: DataFrame, tokens: DataFrame, places: DataFrame, buckets: int, percent: int) -> DataFrame:

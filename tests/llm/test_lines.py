@@ -157,3 +157,34 @@ def test_short_lines_at_other_thresholds(spark, percent):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.removed for r in L.line_decisions(df, percent=percent).collect()}
     assert [got[doc] for doc, _ in rows] == brute(rows, percent)
+
+
+def test_pairs_stay_inside_tasks(spark, monkeypatch):
+    """A group of near copies gives a row a line, never its pairs, also when it is dealt over many blocks."""
+    monkeypatch.setattr(L, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(L, "CELLS_AT_ONCE", 500)
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        line = [f"k{j}" for j in range(40)]
+        for at in rng.sample(range(40), rng.choice([1, 2, 4])):
+            line[at] = f"z{at}{k % 5}"
+        rows.append((k * 7 % 50, " ".join(line)))
+    written = []
+    stage = L.stage
+    monkeypatch.setattr(L, "stage", lambda df: written.append(stage(df)) or written[-1])
+    monkeypatch.setattr(L, "discard", lambda *staged: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in L.line_decisions(df).collect()}
+    assert [got[d].removed for d, _ in rows] == brute(rows)
+    assert {d: (r.class_id, r.n_links) for d, r in got.items()} == brute_classes(rows)
+    links = sum(r.n_links for r in got.values())
+    assert links > 500 and max(t.count() for t in written) < links / 2
+    assert any("split" in t.columns and t.where("split").count() for t in written)
+
+
+def test_lines_are_ordered_by_all_bits():
+    line, token = np.array([1, 0, 1, 1, 0]), np.array([5, 9, 3, 5, 2], np.uint64)
+    for key in (token, np.zeros(5, np.uint64), token << np.uint64(40)):
+        order = L.by_line(line, key, token)
+        assert list(zip(line[order], token[order])) == sorted(zip(line, token))
