@@ -47,7 +47,9 @@ WIDE_WORDS = 8
 SMALL_COLUMN = 64
 NO_ID = -(1 << 63)
 POSTING = np.dtype([("token", "u8"), ("sig", "i8"), ("doc", "i8"), ("line", "i4"), ("n", "i4"), ("pos", "i4"), ("s0", "u8"), ("s1", "u8")])
+STAR = np.dtype([("token", "u8"), ("sig", "i8"), ("n", "i4"), ("pos", "i4"), ("s0", "u8"), ("s1", "u8")])  # a POSTING without its place
 WIDE = np.dtype([("sig", "i8"), ("bits", "u8", (WIDE_WORDS,))])
+HEAD = np.dtype([("sig", "i8"), ("doc", "i8"), ("line", "i4"), ("n", "i4")])
 
 
 def index_length(n, percent: int):
@@ -78,33 +80,89 @@ def by_line(line: np.ndarray, key: np.ndarray, token: np.ndarray) -> np.ndarray:
     return order
 
 
-class LineSets:
-    """Distinct words of the lines of a slice, flat: ``line`` (ascending), ``token``."""
+class Sets:
+    """Distinct words of some lines, flat: the words of line ``k`` are ``size[k]`` entries from ``begin[k]``, ascending.
+
+    An entry is ``vocab[index]``; ``vocab`` is ascending.
+    """
+
+    def __init__(self, vocab: np.ndarray, index: np.ndarray, size: np.ndarray, sig: np.ndarray):
+        self.vocab, self.index, self.size, self.sig = vocab, index, size, sig
+        self.token = vocab[index]
+        self.begin = np.cumsum(size) - size
+        self.number = np.repeat(np.arange(len(size)), size)  # of the line an entry belongs to
+
+
+class LineSets(Sets):
+    """The lines of a slice that have a word, with their text ``doc`` in the slice and ``line_no``."""
 
     def __init__(self, part: Slice):
-        data = part.data
-        feeds = np.flatnonzero(data == 10)
+        feeds = np.flatnonzero(part.data == 10)
         cuts = np.unique(np.concatenate([part.offsets[1:-1], feeds]))
         words, _ = words_of(part, BLANK_WORDS)
-        line = np.searchsorted(cuts, words.starts, side="right")
-        order = by_line(line, words.code, words.code)
-        line, token = line[order], words.code[order]
-        new = np.ones(len(line), dtype=bool)
-        new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-        line, self.token = line[new], token[new]
-        first = np.ones(len(line), dtype=bool)
-        first[1:] = line[1:] != line[:-1]
-        self.begin = np.flatnonzero(first)
-        self.number = np.cumsum(first) - 1  # of the worded line an entry belongs to
-        self.size = np.diff(np.append(self.begin, len(line)))
-        inside = words.starts[order][new][first]  # a byte of each line
+        vocab, index = np.unique(words.code, return_inverse=True)
+        ends = np.searchsorted(words.starts, np.append(cuts, len(part.data)))  # words before each line's end
+        held = np.diff(ends, prepend=0)
+        worded = np.flatnonzero(held)
+        held = held[worded]
+        inside = words.starts[ends[worded] - held]  # the first word of each line
+        bits = np.uint64(len(vocab).bit_length())
+        packed = np.sort(np.repeat(np.arange(len(held), dtype=np.uint64), held) << bits | index.astype(np.uint64))
+        packed = packed[np.append(True, packed[1:] != packed[:-1])[: len(packed)]]
+        size = np.bincount((packed >> bits).astype(np.int64), minlength=len(held))
+        super().__init__(vocab, (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), size, np.zeros(0, np.int64))
         self.doc = np.searchsorted(part.offsets, inside, side="right") - 1
         self.line_no = np.searchsorted(feeds, inside) - np.searchsorted(feeds, part.offsets[self.doc])
-        sums = np.add.reduceat(mix(self.token), self.begin) if len(self.begin) else np.zeros(0, np.uint64)
-        folds = np.bitwise_xor.reduceat(mix(self.token + np.uint64(77)), self.begin) if len(self.begin) else sums
+        sums = np.add.reduceat(mix(vocab)[self.index], self.begin) if len(self.begin) else np.zeros(0, np.uint64)
+        folds = np.bitwise_xor.reduceat(mix(vocab + np.uint64(77))[self.index], self.begin) if len(self.begin) else sums
         self.sig = mix(sums ^ mix(folds)).view(np.int64)
 
 
+def firsts_of(sig: np.ndarray, doc: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+    """Which line of each ``sig`` has the first place."""
+    order = np.lexsort((line_no, doc, sig))
+    keep = np.zeros(len(order), dtype=bool)
+    keep[order] = np.append(True, sig[order][1:] != sig[order][:-1])[: len(order)]
+    return keep
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """The number of ``values`` and their bytes, all first ones, then all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return np.int64(len(values)).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes, kind: np.dtype) -> np.ndarray:
+    n = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
+    if not n:
+        return np.zeros(0, dtype=kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).reshape(n)
+
+
+def packed_sets(sets: LineSets, doc: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+    """The lines ``keep`` as one row of HEAD records, their words and the numbers of these in each line; ``opened`` reads it."""
+    entries = keep[sets.number]
+    used = np.bincount(sets.index[entries], minlength=len(sets.vocab)) > 0
+    heads = np.empty(int(keep.sum()), dtype=HEAD)
+    heads["sig"], heads["doc"], heads["line"], heads["n"] = sets.sig[keep], doc[keep], sets.line_no[keep], sets.size[keep]
+    vocab = sets.vocab[used]
+    index = (np.cumsum(used) - 1)[sets.index[entries]].astype(np.min_scalar_type(len(vocab)))
+    index[1:] -= index[:-1].copy()  # steps, modulo the type: small ones inside a line
+    parts = [squeezed(heads), squeezed(np.diff(vocab, prepend=np.uint64(0))), squeezed(index)]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.binary()) for part in parts], names=["heads", "vocab", "index"])
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Sets, np.ndarray]]:
+    """The lines of each row of ``packed_sets`` and their HEAD records."""
+    for batch in batches:
+        for heads, vocab, index in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            heads, vocab = unsqueezed(heads, HEAD), np.cumsum(unsqueezed(vocab, np.dtype("u8")), dtype=np.uint64)
+            steps = unsqueezed(index, np.min_scalar_type(len(vocab)))
+            index = np.cumsum(steps, dtype=steps.dtype).astype(np.int64)
+            yield Sets(vocab, index, heads["n"].astype(np.int64), np.ascontiguousarray(heads["sig"])), heads
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
     """Occurrences of the words of each slot, over the whole corpus; 2**SLOT_BITS counts."""
 
@@ -120,22 +178,40 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return np.minimum(found, np.iinfo(np.int32).max).astype(np.int32)
 
 
+def rarity_of(sets: DataFrame) -> np.ndarray:
+    """Lines that hold the words of each slot, of the lines in ``sets``; 2**SLOT_BITS counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        slots = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for lines, _ in opened(batches):
+            np.add.at(slots, slot_of(lines.vocab), np.bincount(lines.index, minlength=len(lines.vocab)))
+        return slots
+
+    return np.minimum(summed(sets, count, 1 << SLOT_BITS), np.iinfo(np.int32).max).astype(np.int32)
+
+
 def slot_of(code: np.ndarray) -> np.ndarray:
     return (code >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def prefixes(sets: LineSets, slots: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+def prefixes(sets: Sets, slots: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """Line, token and position of the entries in each line's probing prefix, rarest first."""
-    rank = slots[slot_of(sets.token)]
-    key = np.minimum(rank, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | sets.token >> np.uint64(24)
-    order = by_line(sets.number, key, sets.token)
-    pos = np.arange(len(order)) - np.repeat(sets.begin, sets.size)
-    near = pos < np.repeat(np.where(sets.size >= least_size(percent), probe_length(sets.size, percent), 0), sets.size)
-    shared = near & (rank[order] > 1)  # a count of one: no other line has the token
-    return sets.number[order][shared], sets.token[order][shared], pos[shared]
-
-
-def sketches(sets: LineSets) -> tuple[np.ndarray, np.ndarray]:
+    rank = slots[slot_of(sets.vocab)]
+    key = np.minimum(rank, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | sets.vocab >> np.uint64(24)
+    order = np.argsort(key, kind="stable")  # equal keys stay in the order of the words
+    place = np.empty(len(order), dtype=np.uint64)
+    place[order] = np.arange(len(order), dtype=np.uint64)
+    bits = np.uint64(len(order).bit_length())
+    packed = np.sort(sets.number.astype(np.uint64) << bits | place[sets.index])
+    pos = np.arange(len(packed)) - np.repeat(sets.begin, sets.size)
+    near = np.flatnonzero(pos < np.repeat(np.where(sets.size >= least_size(percent), probe_length(sets.size, percent), 0), sets.size))
+    word = order[(packed[near] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+    shared = rank[word] > 1  # a count of one: no other line has the token
+    near, word = near[shared], word[shared]
+    return sets.number[near], sets.vocab[word], pos[near]
+
+
+def sketches(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     """128 parity bits of each line."""
     if not len(sets.begin):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -145,7 +221,7 @@ def sketches(sets: LineSets) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduceat(np.where(high, zero, bit), sets.begin), np.bitwise_xor.reduceat(np.where(high, bit, zero), sets.begin)
 
 
-def wide_sketches(sets: LineSets, lines: np.ndarray) -> np.ndarray:
+def wide_sketches(sets: Sets, lines: np.ndarray) -> np.ndarray:
     """64 * WIDE_WORDS parity bits of each of some ``lines``."""
     out = np.zeros(len(lines), dtype=WIDE)
     out["sig"] = sets.sig[lines]
@@ -157,7 +233,7 @@ def wide_sketches(sets: LineSets, lines: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, held, buckets: int, percent: int, marked=None) -> DataFrame:
-    """(bucket, packed POSTING records, WIDE records of their long lines).
+    """(bucket, squeezed POSTING records, WIDE records of their long lines).
 
     Equal lines of a slice count once, at their first place. ``marked`` is a broadcast table
     of slots: only tokens of marked slots are sent.
@@ -169,69 +245,87 @@ def postings(docs: DataFrame, held, buckets: int, percent: int, marked=None) ->
             for part in slices(batch.column(1)):
                 sets = LineSets(part)
                 doc = ids[part.first + sets.doc]
-                order = np.lexsort((sets.line_no, doc, sets.sig))
-                keep = np.zeros(len(order), dtype=bool)
-                keep[order] = np.append(True, sets.sig[order][1:] != sets.sig[order][:-1])[: len(order)]
+                keep = firsts_of(sets.sig, doc, sets.line_no)
                 number, token, pos = prefixes(sets, held.value, percent)
-                s0, s1 = sketches(sets)
                 use = keep[number]
                 if marked is not None:
                     use &= marked.value[slot_of(token)]
                 number = number[use]
                 out = np.empty(len(number), dtype=POSTING)
-                out["token"], out["pos"], out["sig"], out["n"] = token[use], pos[use], sets.sig[number], sets.size[number]
-                out["doc"], out["line"], out["s0"], out["s1"] = doc[number], sets.line_no[number], s0[number], s1[number]
-                bucket = (mix(out["token"]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                names, begin = np.unique(bucket[order], return_index=True)
-                out, bounds = out[order], [*begin.tolist(), len(order)]
-                packed = [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-                wide = [b""] * len(packed)
-                long = np.flatnonzero(sets.size > LONG)
-                if len(long):
-                    bits, line = wide_sketches(sets, long), number[order]
-                    at = np.flatnonzero(sets.size[line] > LONG)
-                    key = np.unique(bucket[order[at]] << 32 | np.searchsorted(long, line[at]))
-                    ends = np.searchsorted(key >> 32, [*names.tolist(), buckets])
-                    wide = [bits[key[a:b] & 0xFFFFFFFF].tobytes() for a, b in zip(ends, ends[1:])]
-                arrays = [pa.array(names, pa.int64()), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "packed", "wide"])
+                out["doc"], out["line"] = doc[number], sets.line_no[number]
+                yield dealt_postings(sets, number, token[use], pos[use], out, buckets)
 
     return docs.select("id", "text").mapInArrow(run, "bucket long, packed binary, wide binary")
 
 
-def matching(rows: np.ndarray, wide: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+def star_postings(sets: DataFrame, held, buckets: int, percent: int) -> DataFrame:
+    """As ``postings``, of parsed lines and in STAR records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, _ in opened(batches):
+            number, token, pos = prefixes(lines, held.value, percent)
+            yield dealt_postings(lines, number, token, pos, np.empty(len(number), dtype=STAR), buckets)
+
+    return sets.mapInArrow(run, "bucket long, packed binary, wide binary")
+
+
+def dealt_postings(sets: Sets, number: np.ndarray, token: np.ndarray, pos: np.ndarray, out: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The records ``out`` of some entries, filled and packed by bucket."""
+    s0, s1 = sketches(sets)
+    out["token"], out["pos"], out["sig"], out["n"] = token, pos, sets.sig[number], sets.size[number]
+    out["s0"], out["s1"] = s0[number], s1[number]
+    bucket = (mix(out["token"]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    names, begin = np.unique(bucket[order], return_index=True)
+    out, bounds = out[order], [*begin.tolist(), len(order)]
+    packed = [squeezed(out[a:b]) for a, b in zip(bounds, bounds[1:])]
+    wide = [b""] * len(packed)
+    long = np.flatnonzero(sets.size > LONG)
+    if len(long):
+        bits, line = wide_sketches(sets, long), number[order]
+        at = np.flatnonzero(sets.size[line] > LONG)
+        key = np.unique(bucket[order[at]] << 32 | np.searchsorted(long, line[at]))
+        ends = np.searchsorted(key >> 32, [*names.tolist(), buckets])
+        wide = [bits[key[a:b] & 0xFFFFFFFF].tobytes() for a, b in zip(ends, ends[1:])]
+    arrays = [pa.array(names, pa.int64()), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "packed", "wide"])
+
+
+def matching(rows: dict[str, np.ndarray], wide: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """Pairs (a, b) of one column that pass all filters, and their sketch distance."""
-    n, m = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
-    good = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    n, m = rows["n"][a], rows["n"][b]
+    good = np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     a, b, n, m = a[good], b[good], n[good], m[good]
-    x, y = rows[a], rows[b]
-    at, to, total = x["pos"], y["pos"], n + m
+    at, to, total = rows["pos"][a], rows["pos"][b], n + m
     small = np.where(n <= m, at, to)
-    distance = np.bitwise_count(x["s0"] ^ y["s0"]).astype(np.int64) + np.bitwise_count(x["s1"] ^ y["s1"])
+    good = small < index_length(np.minimum(n, m), percent)
+    good &= (1 + np.minimum(n - at - 1, m - to - 1)) * (100 + percent) >= percent * total
+    good = np.flatnonzero(good)
+    a, b, n, m, total = a[good], b[good], n[good], m[good], total[good]
+    distance = np.bitwise_count(rows["s0"][a] ^ rows["s0"][b]).astype(np.int64) + np.bitwise_count(rows["s1"][a] ^ rows["s1"][b])
     good = distance * (100 + percent) <= (100 - percent) * total
-    good &= (small < index_length(np.minimum(n, m), percent)) & ((1 + np.minimum(n - at - 1, m - to - 1)) * (100 + percent) >= percent * total)
     long = np.flatnonzero(good & (np.minimum(n, m) > LONG))
     if len(long):
-        one, two = (np.searchsorted(wide["sig"], side["sig"][long]) for side in (x, y))
+        one, two = (np.searchsorted(wide["sig"], rows["sig"][side[long]]) for side in (a, b))
         distance[long] = np.bitwise_count(wide["bits"][one] ^ wide["bits"][two]).sum(axis=1)
         good[long] = distance[long] * (100 + percent) <= (100 - percent) * total[long]
     return a[good], b[good], distance[good]
 
 
-def column_pairs(rows: np.ndarray, wide: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Passing pairs (later, earlier, distance) of ``rows`` sorted by (token, place), some columns at a time."""
-    new = np.append(True, rows["token"][1:] != rows["token"][:-1])
+def column_pairs(rows: dict[str, np.ndarray], wide: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Passing pairs (later, earlier, distance) of ``rows`` in their order by columns, some columns at a time."""
+    total = len(rows["token"])
+    new = np.append(True, rows["token"][1:] != rows["token"][:-1])[:total]
     begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(rows)))
+    size = np.diff(np.append(begin, total))
 
-    rank = np.arange(len(rows)) - np.repeat(begin, size)
+    rank = np.arange(total) - np.repeat(begin, size)
     ahead = np.where(np.repeat(size, size) <= SMALL_COLUMN, rank, 0)
     steps = np.cumsum(ahead)
     at = 0
-    while at < len(rows):
+    while at < total:
         end = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
-        own = np.arange(at, min(end, len(rows)))
+        own = np.arange(at, min(end, total))
         later = np.repeat(own, ahead[own])
         yield matching(rows, wide, later, ragged(own - rank[own], ahead[own]), percent)
         at = end
@@ -242,25 +336,35 @@ def column_pairs(rows: np.ndarray, wide: np.ndarray, percent: int) -> Iterator[t
             yield matching(rows, wide, np.repeat(own, own - b), ragged(np.full(len(own), b), own - b), percent)
 
 
-def columns_of(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """The postings of a bucket by token and place, one of each line, and the wide sketches by sig."""
+def columns_of(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The postings of a bucket by token and place (STAR: sig), one of each line, and the wide sketches by sig."""
     blobs, wides = [], []
     for batch in batches:
-        blobs += batch.column(batch.schema.get_field_index("packed")).to_pylist()
+        blobs += [unsqueezed(raw, kind) for raw in batch.column(batch.schema.get_field_index("packed")).to_pylist()]
         wides += batch.column(batch.schema.get_field_index("wide")).to_pylist()
-    rows, wide = np.frombuffer(b"".join(blobs), dtype=POSTING), np.frombuffer(b"".join(wides), dtype=WIDE)
+    rows, wide = np.concatenate([np.zeros(0, dtype=kind), *blobs]), np.frombuffer(b"".join(wides), dtype=WIDE)
     del blobs, wides
     wide = wide[np.unique(wide["sig"], return_index=True)[1]]
-    order = np.argsort(rows["token"])
-    token = rows["token"][order]
+    token = np.ascontiguousarray(rows["token"])
+    order = np.argsort(token)
+    token = token[order]
     met = np.zeros(len(order), dtype=bool)
     met[1:] = token[1:] == token[:-1]
     met[:-1] |= met[1:]
-    rows = rows[order[met]]  # columns of one line are done
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["sig"], rows["token"]))]
-    keep = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1]))[: len(rows)]
-    rows = rows[keep]
-    return rows[np.lexsort((rows["sig"], rows["line"], rows["doc"], rows["token"]))], wide
+    rows, token = rows[order[met]], token[met]  # columns of one line are done
+    column = np.cumsum(np.append(0, token[1:] != token[:-1]))[: len(token)]
+    sig = np.ascontiguousarray(rows["sig"])
+    if kind is STAR:
+        order = by_line(column, sig.view(np.uint64), sig.view(np.uint64))
+    else:
+        order = np.lexsort((rows["line"], rows["doc"], sig, column))
+    keep = np.append(True, (column[order][1:] != column[order][:-1]) | (sig[order][1:] != sig[order][:-1]))[: len(order)]
+    order = order[keep]
+    if kind is not STAR:
+        order = order[np.lexsort((sig[order], rows["line"][order], rows["doc"][order], column[order]))]
+    held = np.bincount(column[order])
+    rows = rows[order[held[column[order]] > 1]]
+    return {name: rows[name].astype(np.int64 if name in ("n", "pos") else rows[name].dtype) for name in kind.names}, wide
 
 
 def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -282,11 +386,17 @@ def column_stars(packed: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect the lines of each bucket as its passing pairs do; fewer than it has lines."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, wide = columns_of(batches)
+        rows, wide = columns_of(batches, STAR)
         sig, number = np.unique(rows["sig"], return_inverse=True)
         label = np.arange(len(sig))
+        waiting: list[tuple] = []
         for later, earlier, _ in column_pairs(rows, wide, percent):
-            label = joined(label, number[later], number[earlier])
+            waiting.append((number[later], number[earlier]))
+            if sum(len(a) for a, _ in waiting) > PAIRS_AT_ONCE:
+                label = joined(label, *(np.concatenate(c) for c in zip(*waiting)))
+                waiting = []
+        if waiting:
+            label = joined(label, *(np.concatenate(c) for c in zip(*waiting)))
         moved = np.flatnonzero(label != np.arange(len(sig)))
         yield pa.RecordBatch.from_arrays([pa.array(sig[moved]), pa.array(sig[label[moved]])], names=["a", "b"])
 
@@ -300,7 +410,7 @@ def candidates(packed: DataFrame, percent: int, nearest: int, asking=None) -> Da
     """
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, wide = columns_of(batches)
+        rows, wide = columns_of(batches, POSTING)
         kept: list[tuple] = []
         for later, earlier, distance in column_pairs(rows, wide, percent):
             if asking is not None:
@@ -353,6 +463,34 @@ def all_lines(docs: DataFrame) -> DataFrame:
     return docs.select("id", "mark", "text").mapInArrow(run, schema)
 
 
+def parsed_lines(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``all_lines``, and (heads, vocab, index) of ``packed_sets``: the lines of each slice that a different one may match.
+
+    Both are written, in one table, by one pass over the texts. Equal lines of a slice are packed once, at their first place.
+    """
+    schema = "id long, mark long, line_no long, sig long, n long, heads binary, vocab binary, index binary"
+    kinds = pa.schema([(c, pa.int64()) for c in ("id", "mark", "line_no", "sig", "n")] + [(c, pa.binary()) for c in ("heads", "vocab", "index")])
+
+    def row_batch(columns: dict[str, pa.Array], rows: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in kinds], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(2)):
+                sets = LineSets(part)
+                at = pa.array(part.first + sets.doc)
+                id_, mark = batch.column(0).take(at), batch.column(1).take(at)
+                yield row_batch({"id": id_, "mark": mark, "line_no": pa.array(sets.line_no, pa.int64()), "sig": pa.array(sets.sig), "n": pa.array(sets.size, pa.int64())}, len(at))
+                doc = id_.to_numpy(zero_copy_only=False)
+                packed = packed_sets(sets, doc, firsts_of(sets.sig, doc, sets.line_no) & (sets.size >= least_size(percent)))
+                yield row_batch(dict(zip(packed.schema.names, packed.columns)), 1)
+
+    both = stage(docs.select("id", "mark", "text").mapInArrow(run, schema))
+    lines, sets = both.where("heads is null").select("id", "mark", "line_no", "sig", "n"), both.where("heads is not null").select("heads", "vocab", "index")
+    lines._stage_path = both._stage_path
+    return lines, sets
+
+
 def line_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, tokens) of the ``wanted`` (sig, id, line_no) lines; one row per sig."""
     per_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("line_no", "sig")).alias("lines"))
@@ -439,8 +577,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = NEARES
     return f.removed(settled)
 
 
-def marked_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, id, line_no, tokens): the first line of each slice that has a ``wanted`` sig, and some lines more.
+def marked_tokens(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, doc, line, tokens): the first line of each slice that has a ``wanted`` sig, and some lines more.
 
     The sigs go to the tasks as a table of 2**MARK_BITS marks, so no text is shuffled; a line
     that shares a slot with a wanted one comes along.
@@ -456,23 +594,17 @@ def marked_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out[slot(batch.column(0).to_numpy())] = 1
         return out
 
-    marked = docs.sparkSession.sparkContext.broadcast(summed(wanted.select("sig"), marks, size) > 0)
+    marked = sets.sparkSession.sparkContext.broadcast(summed(wanted.select("sig"), marks, size) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in slices(batch.column(1)):
-                sets = LineSets(part)
-                here = np.flatnonzero(marked.value[slot(sets.sig)])
-                doc, sig, line_no = ids[part.first + sets.doc[here]], sets.sig[here], sets.line_no[here]
-                order = np.lexsort((line_no, doc, sig))
-                order = order[np.append(True, sig[order][1:] != sig[order][:-1])[: len(order)]]
-                size = sets.size[here[order]]
-                flat = pa.array(sets.token[ragged(sets.begin[here[order]], size)].view(np.int64))
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[order]), pa.array(doc[order]), pa.array(line_no[order], pa.int64()), tokens], names=["sig", "id", "line_no", "tokens"])
+        for lines, heads in opened(batches):
+            here = np.flatnonzero(marked.value[slot(lines.sig)])
+            size = lines.size[here]
+            flat = pa.array(lines.token[ragged(lines.begin[here], size)].view(np.int64))
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(lines.sig[here]), pa.array(heads["doc"][here]), pa.array(heads["line"][here].astype(np.int64)), tokens], names=["sig", "doc", "line", "tokens"])
 
-    return docs.select("id", "text").mapInArrow(run, "sig long, id long, line_no long, tokens array<long>")
+    return sets.mapInArrow(run, "sig long, doc long, line long, tokens array<long>")
 
 
 def family_pairs(family: np.ndarray, block: np.ndarray, across: bool, size: np.ndarray, token: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -563,22 +695,23 @@ def linked_lines(docs: DataFrame, percent: int = PERCENT, nearest: int = ALL) ->
     counts, for each different line of a document, the different lines of the corpus that match
     it. ``nearest`` is an option of ``removed_lines``; here it changes nothing.
     """
-    lines = stage(all_lines(docs))
+    lines, sets = parsed_lines(docs, percent)
     sizes = stage(lines.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n")))
-    held = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    stars = stage(column_stars(postings(docs, held, buckets_for(sizes, percent), percent), percent))
+    held = docs.sparkSession.sparkContext.broadcast(rarity_of(sets))
+    stars = stage(column_stars(star_postings(sets, held, buckets_for(sizes, percent), percent), percent))
     families = components(stars).select(F.col("node").alias("sig"), F.col("label").alias("family"))
     # A line that no other equals or may match goes nowhere and links nothing.
     busy = sizes.where("held > 1").select("sig", F.lit(None).cast("long").alias("family")).union(families).groupBy("sig").agg(F.max("family").alias("family"))
     met = stage(lines.join(busy, "sig"))
     firsts = stage(met.groupBy("sig").agg(F.min(place()).alias("first"), F.max("n").alias("n"), F.max("family").alias("family")))
-    discard(lines, sizes, stars)
+    discard(sizes, stars)
     members = firsts.where("family is not null")
     parts = int(-(-(members.agg(F.sum("n")).first()[0] or 1) // BLOCK_TOKENS))
     blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
     dealt = members.join(blocks, "family").select("sig", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "family", "blocks")
-    tokens = marked_tokens(docs, members).withColumnsRenamed({"id": "doc", "line_no": "line"})
+    tokens = marked_tokens(sets, members)
     links = stage(family_links(tokens.join(dealt, ["sig", "doc", "line"]), parts, percent))
+    discard(lines)  # with the sets
     split = components(links.where("split").select(F.col("sig").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "sig")
     found = links.groupBy("sig").agg(F.sum("links").alias("links"), F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "line"))).alias("near"), F.min("root").alias("root"))
     found = found.join(split, "sig", "left").select("sig", "links", "near", F.coalesce("label", "root").alias("label"))

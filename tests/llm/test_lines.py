@@ -188,3 +188,31 @@ def test_lines_are_ordered_by_all_bits():
     for key in (token, np.zeros(5, np.uint64), token << np.uint64(40)):
         order = L.by_line(line, key, token)
         assert list(zip(line[order], token[order])) == sorted(zip(line, token))
+
+
+def test_packed_lines_come_back():
+    texts = pa.array([t for _, t in corpus(11, 50)] + ["", None, "one two\none two"])
+    for part in slices(texts, limit=3000):
+        sets = L.LineSets(part)
+        doc = 90 - sets.doc
+        keep = L.firsts_of(sets.sig, doc, sets.line_no) & (sets.size >= 4)
+        [(back, heads)] = L.opened([L.packed_sets(sets, doc, keep)])
+        want = [(sets.sig[k], doc[k], sets.line_no[k], sets.token[sets.begin[k] : sets.begin[k] + sets.size[k]].tolist()) for k in np.flatnonzero(keep)]
+        assert [(back.sig[k], h["doc"], h["line"], back.token[back.begin[k] : back.begin[k] + h["n"]].tolist()) for k, h in enumerate(heads)] == want
+        assert all(sorted(set(tokens)) == tokens for *_, tokens in want) and len({sig for sig, *_ in want}) == len(want)
+    wide = np.zeros(5, dtype=L.STAR)
+    wide["token"], wide["pos"] = np.arange(5) << 40, 3
+    assert (L.unsqueezed(L.squeezed(wide), L.STAR) == wide).all() and len(L.unsqueezed(L.squeezed(wide[:0]), L.STAR)) == 0
+
+
+def test_classes_read_the_texts_once(spark, monkeypatch):
+    """Counts, postings and the words of family lines come from the lines parsed first."""
+    for name in ("all_lines", "rarity", "postings", "line_tokens"):
+        monkeypatch.setattr(L, name, lambda *args, **options: pytest.fail("parses the texts again"))
+    parsed = []
+    whole = L.prepared
+    monkeypatch.setattr(L, "parsed_lines", lambda docs, percent, f=getattr(L, "parsed_lines", None): parsed.append(1) or f(docs, percent))
+    rows = [(1, "a b c d e f\nx y"), (2, "a b c d e f g"), (3, "p q r s")]
+    removed, linked = L.linked_lines(whole(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(r.id, r.line_no, r.first_doc) for r in removed.collect()] == [(2, 0, 1)]
+    assert sorted((r.id, r.class_id, r.n_links) for r in linked.collect()) == [(1, 1, 1), (2, 1, 1)] and parsed == [1]
