@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import staged
+from cohortlens.operators import learning, staged
 
 SWEEP = """
 WITH g AS (SELECT round(0.05::DOUBLE + 0.025::DOUBLE * unnest(range(29)), 3) AS t),
@@ -81,3 +81,27 @@ def test_draws_are_seeded():
     assert one == [staged.drawn_params(choices, "forest", n) for n in range(1, 30)]
     assert len({json.dumps(p) for p in one}) == 6
     assert one != [staged.drawn_params(choices, "forest", n, 7) for n in range(1, 30)]
+
+
+def test_experiments_try_every_stage_and_mark_the_best(found, space, monkeypatch):
+    df, folder, first = found
+    monkeypatch.setattr(staged, "staged_search", lambda *given: first if given[:3] == (df, space, 2) else None)
+    table = staged.experiments(df, space, k=2)
+    rows = [r.asDict() for r in table.orderBy("config").collect()]
+    assert [r["config"] for r in rows] == list(range(len(rows))) and [r["stage"] for r in rows] == [1, 1, 2, 2, 3, 3, 3, 4, 4, 5, 6]
+    tried = first.state.filter("stage < 7").orderBy("stage", "candidate").collect()
+    assert [(r["model"], r["params"], r["threshold"], r["f2"], r["recall"]) for r in rows] == [(r.model, r.params, r.threshold, r.f2, r.recall) for r in tried]
+    assert [r for r in rows if r["chosen"]] == [learning.best_experiment(table).first().asDict()]
+
+
+def test_the_experiments_query_names_every_step(monkeypatch):
+    from cohortlens.plans import learning as plans
+
+    asked = []
+    monkeypatch.setattr(plans, "_base", lambda spark, d: None)
+    monkeypatch.setattr(plans, "tried", lambda df, space, k: asked.append(space))
+    plans.experiments(None, None)
+    space = asked[0]
+    assert set(space.families) == {"logistic", "forest", "boosted"} and len(space.feature_sets) > 1 and set(space.feature_sets["full"]) == set(plans.NUMERIC)
+    assert set(space.imputes) == {"median", "mean", "none"} and set(space.scales) == {"standard", "robust", "minmax"} and set(space.samples) == {"smote", "under"}
+    assert space.choices[space.booster] and space.draws == staged.DRAWS and tuple(space.bag_seeds) == staged.BAG_SEEDS
