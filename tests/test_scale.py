@@ -76,6 +76,20 @@ def test_sparse_tiles_send_a_record_an_id(spark):
     assert sorted(found.collect()) == sorted(whole.collect()) and found.count() == 12
 
 
+def test_many_sparse_queries_meet_rows_that_stay_in_place(spark, monkeypatch):
+    from cohortlens.operators import search
+
+    entries = spark.createDataFrame([(i, s, 0.1 * (1 + (i * s) % 5)) for i in range(40) for s in range(i % 4, 9)], "row_index long, slot int, x double")
+    whole = search.sparse_matches(entries, entries.filter("row_index < 3"), 4)
+    found = search.sparse_matches(entries, entries, 4, 8)
+    assert "FlatMapGroupsInArrow" in plan(whole) and "FlatMapGroupsInArrow" not in plan(found)
+    assert sorted(found.filter("query_id < 3").collect()) == sorted(whole.collect()) and found.count() == 160
+    texts = spark.createDataFrame([(1, "a a b"), (1, "b c"), (2, "c"), (3, None)], "row_index long, text string")
+    counted = search.word_counts(texts, 1 << 18)
+    assert sorted((r.row_index, sorted(r.ns)) for r in counted.collect()) == [(1, [1, 2, 2]), (2, [1]), (3, [])]
+    assert "Exchange" not in plan(search.word_counts(texts.filter("row_index > 1"), 1 << 18))
+
+
 def test_sections_read_the_lines_once(spark):
     from cohortlens.functions import documents as D
 
